@@ -199,18 +199,18 @@ def fold_report(df: DataFrame, scheme: Scheme) -> DataFrame:
 
     Looks up the rows at the two ends of each range instead of scanning growing training sets.
     """
-    ranges = fold_bounds(df, scheme).select(
-        "ticker",
-        "fold",
-        F.inline(
-            F.array(
-                F.struct(F.lit("train").alias("role"), F.lit(0).cast("long").alias("lo"),
-                         F.col("train_end").alias("hi")),
-                F.struct(F.lit("purge"), F.col("train_end"), F.col("test_start")),
-                F.struct(F.lit("test"), F.col("test_start"), F.col("test_end")),
-            )
-        ),
-    ).where("hi > lo")
+    def span(role, lo, hi):
+        return F.struct(F.lit(role).alias("role"), lo.alias("lo"), hi.alias("hi"))
+
+    train_end, test_start, test_end = map(F.col, ("train_end", "test_start", "test_end"))
+    spans = F.array(
+        span("train", F.lit(0).cast("long"), train_end),
+        span("purge", train_end, test_start),
+        span("test", test_start, test_end),
+    )
+    ranges = (
+        fold_bounds(df, scheme).select("ticker", "fold", F.inline(spans)).where("hi > lo")
+    )
     days = df.select("ticker", "rn", "date")
     ends = ranges.select(
         "ticker", "fold", "role", "lo", "hi", F.explode(F.array("lo", F.expr("hi - 1"))).alias("rn")

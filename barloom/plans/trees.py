@@ -16,6 +16,7 @@ from barloom.plans.scoring import mean_fold_mse
 from barloom.plans.splits import Scheme, fold_bounds
 
 SEED = 42
+ROWS_PER_PARTITION = 100_000
 
 # Forest of the validation jobs and of the tournament (fixed values).
 VALIDATION_FOREST = {"numTrees": 100, "maxDepth": 5, "minInstancesPerNode": 10}
@@ -109,7 +110,9 @@ def tree_predictions(
 
     def run(task):
         number, bound, name = task
-        own = rows.where(F.col("ticker") == bound.ticker)
+        own = rows.where(F.col("ticker") == bound.ticker).coalesce(
+            1 + bound.n // ROWS_PER_PARTITION
+        )
         model = models[name].fit(own.where(F.col("rn") < bound.train_end))
         tested = own.where(
             (F.col("rn") >= bound.test_start) & (F.col("rn") < bound.test_end)

@@ -116,15 +116,15 @@ def scaled_features(spark, sf_dir):
 
 
 @query("sequence_windows", sql.with_(*sql.TO_DATASET, final=f"""
-    select ticker, role, date, 21 as steps, round(cast(target_5d as float), 4) + 0.0 as y,
+    select ticker, role, date, 21 as steps, round(cast(cast(target_5d as float) as double), 4) + 0.0 as y,
            round(total, 2) + 0.0 as total
     from (select *, sum({' + '.join(f'cast(cast({c} as float) as double)' for c in CORE4)})
                  over (partition by ticker, role order by date
                        rows between 20 preceding and current row) as total,
-                 row_number() over (partition by ticker, role order by date) as at,
+                 row_number() over (partition by ticker, role order by date) as place,
                  count(*) over (partition by ticker, role) as size
           from (select *, {THREE_WAY} from dataset) where role is not null)
-    where at >= 21 and size > 21"""))
+    where place >= 21 and size > 21"""))
 def windows(spark, sf_dir):
     rows = splits.three_way_roles(stages.core_dataset(spark, sf_dir))
     total = F.aggregate(
