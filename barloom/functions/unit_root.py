@@ -47,6 +47,7 @@ def fit(gram: np.ndarray, lags: int) -> tuple[float, float]:
     use = np.arange(1, 3 + lags)
     inner, cross = gram[np.ix_(use, use)], gram[use, 0]
     scale = np.sqrt(np.diag(inner))
+    scale[scale == 0] = 1.0
     inverse = np.linalg.pinv(inner / np.outer(scale, scale), hermitian=True)
     beta = inverse @ (cross / scale)
     rows = gram[2, 2]

@@ -1,5 +1,7 @@
 """Augmented Dickey-Fuller test per ticker."""
 
+from typing import Any
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,18 +19,23 @@ def adf_test(series: DataFrame, column: str, lags: int | None = None) -> DataFra
     """``ticker, series, observations, used_lags, statistic, p_value, stationary``.
 
     Constant only; without ``lags`` the lag count with the lowest Akaike criterion among those
-    fitted on the same rows is taken, then refitted on all rows it allows. The cross products of
+    fitted on the same rows is taken, then refitted on all rows it allows. A series that is
+    constant or too short has no statistic. The cross products of
     the regression are summed block by block, so one task sees 512 rows at a time; the solve runs
     on the sums.
     """
+    if lags is not None and not 0 <= lags < CONTEXT_ROWS:
+        raise ValueError(f"lags must be between 0 and {CONTEXT_ROWS - 1}")
     rows = with_positions(
         series.where(F.col(column).isNotNull()).select(
             "ticker", "date", F.col(column).cast("double").alias("x")
         )
     )
-    blocked = with_context(rows, before=CONTEXT_ROWS).select("ticker", "_blk", "rn", "n", "x", "_core")
+    blocked = with_context(rows, before=CONTEXT_ROWS).select(
+        "ticker", "_blk", "rn", "n", "x", "_core"
+    )
 
-    def products(key, block: pd.DataFrame) -> pd.DataFrame:
+    def products(key: tuple[Any, ...], block: pd.DataFrame) -> pd.DataFrame:
         ticker, blk = key
         block = block.sort_values("rn")
         n = int(block["n"].iloc[0])
@@ -49,13 +56,13 @@ def adf_test(series: DataFrame, column: str, lags: int | None = None) -> DataFra
             }
         )
 
-    def solve(key, parts: pd.DataFrame) -> pd.DataFrame:
+    def solve(key: tuple[Any, ...], parts: pd.DataFrame) -> pd.DataFrame:
         tried = int(parts["lags"].iloc[0])
         n = int(parts["n"].iloc[0])
         gram = np.sum(np.stack(parts["gram"].to_list()), axis=0).reshape(tried + 3, tried + 3)
         head = max(parts["head"].to_list(), key=len)
         used, statistic = tried, float("nan")
-        if gram[2, 2] > tried + 2:
+        if gram[2, 2] > tried + 2 and gram[0, 0] > 0:
             if lags is None:
                 used = min(range(tried + 1), key=lambda k: fit(gram, k)[0])
             keep = used + 3
