@@ -1,6 +1,6 @@
 """Augmented Dickey-Fuller regression from accumulated cross products."""
 
-from math import ceil, erf, log, pi, sqrt
+from math import ceil, erf, pi, sqrt
 
 import numpy as np
 
@@ -38,21 +38,39 @@ def design(values: np.ndarray, start: int, stop: int, lags: int) -> np.ndarray:
     return np.column_stack(columns)
 
 
-def fit(gram: np.ndarray, lags: int) -> tuple[float, float]:
-    """Akaike criterion and t statistic of the level for the leading ``lags`` lags.
-
-    ``gram`` is the cross-product matrix of :func:`design` columns; its constant entry is the
-    number of rows.
-    """
+def _scaled(gram: np.ndarray, lags: int):
     use = np.arange(1, 3 + lags)
     inner, cross = gram[np.ix_(use, use)], gram[use, 0]
     scale = np.sqrt(np.diag(inner))
     scale[scale == 0] = 1.0
-    inverse = np.linalg.pinv(inner / np.outer(scale, scale), hermitian=True)
-    beta = inverse @ (cross / scale)
+    return inner / np.outer(scale, scale), cross / scale
+
+
+def best_lag(gram: np.ndarray, tried: int) -> int:
+    """Lag count up to ``tried`` with the lowest Akaike criterion, the smaller on ties.
+
+    ``gram`` is the cross-product matrix of :func:`design` columns; its constant entry is the
+    number of rows. The models are nested, so one factorisation gives every residual.
+    """
+    inner, cross = _scaled(gram, tried)
+    try:
+        explained = np.cumsum(np.linalg.solve(np.linalg.cholesky(inner), cross) ** 2)
+    except np.linalg.LinAlgError:
+        explained = np.array(
+            [cross[:k] @ np.linalg.pinv(inner[:k, :k]) @ cross[:k] for k in range(1, 3 + tried)]
+        )
     rows = gram[2, 2]
-    residual = max(gram[0, 0] - beta @ (cross / scale), 0.0)
-    variance = residual / (rows - len(use)) * inverse[0, 0]
-    akaike = rows * (log(2 * pi * residual / rows) + 1) + 2 * len(use) if residual else -np.inf
-    statistic = beta[0] / sqrt(variance) if variance > 0 else float("nan")
-    return akaike, statistic
+    residuals = np.maximum(gram[0, 0] - explained[1:], 0.0)
+    with np.errstate(divide="ignore"):
+        criteria = rows * (np.log(2 * pi * residuals / rows) + 1) + 2 * np.arange(2, 3 + tried)
+    return int(np.argmin(criteria))
+
+
+def t_statistic(gram: np.ndarray, lags: int) -> float:
+    """t statistic of the level with the leading ``lags`` lags."""
+    inner, cross = _scaled(gram, lags)
+    inverse = np.linalg.pinv(inner, hermitian=True)
+    beta = inverse @ cross
+    residual = max(gram[0, 0] - beta @ cross, 0.0)
+    variance = residual / (gram[2, 2] - len(beta)) * inverse[0, 0]
+    return beta[0] / sqrt(variance) if variance > 0 else float("nan")

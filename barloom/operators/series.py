@@ -55,8 +55,9 @@ def with_positions(
         F.sum("_count").over(Window.partitionBy(*keys)).alias("n"),
     )
     inside = Window.partitionBy(*keys, "_seg").orderBy(date)
+    # Every row has its offset; as a left join the rows can never become the broadcast side.
     return (
-        rows.join(offsets, [*keys, "_seg"])
+        rows.join(offsets, [*keys, "_seg"], "left")
         .withColumn("rn", F.col("_offset") + F.row_number().over(inside) - 1)
         .select(*df.columns, "rn", "n")
     )
@@ -121,7 +122,7 @@ def forward_fill(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         c: F.coalesce(F.last(c, ignorenulls=True).over(upto), F.col(f"_carry_{c}"))
         for c in columns
     }
-    return rows.join(carries, ["ticker", "_seg"]).withColumns(filled).select(*df.columns)
+    return rows.join(carries, ["ticker", "_seg"], "left").withColumns(filled).select(*df.columns)
 
 
 def ewm_means(df: DataFrame, specs: dict[str, tuple[str, float, int]]) -> DataFrame:
@@ -178,7 +179,7 @@ def ewm_means(df: DataFrame, specs: dict[str, tuple[str, float, int]]) -> DataFr
         & (F.col("_blk") == F.col("_of_blk"))
         & (F.col("date") <= F.col("_last_day"))
     )
-    return df.join(carries, own_block).withColumns(means).select(*df.columns, *specs)
+    return df.join(carries, own_block, "left").withColumns(means).select(*df.columns, *specs)
 
 
 def _folded_carry(end: str, decay: float) -> Column:

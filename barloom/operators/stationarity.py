@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.unit_root import design, fit, max_lag, p_value
+from barloom.functions.unit_root import best_lag, design, max_lag, p_value, t_statistic
 from barloom.operators.series import with_context, with_positions
 
 # Rows a block needs before its own. Dates span at most 10,000 years, whose longest series
@@ -31,8 +31,12 @@ def adf_test(series: DataFrame, column: str, lags: int | None = None) -> DataFra
             "ticker", "date", F.col(column).cast("double").alias("x")
         )
     )
-    blocked = with_context(rows, before=CONTEXT_ROWS).select(
-        "ticker", "_blk", "rn", "n", "x", "_core"
+    # A fixed partition count keeps adaptive execution from merging small but slow tasks.
+    partitions = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocked = (
+        with_context(rows, before=CONTEXT_ROWS)
+        .select("ticker", "_blk", "rn", "n", "x", "_core")
+        .repartition(partitions, "ticker", "_blk")
     )
 
     def products(key: tuple[Any, ...], block: pd.DataFrame) -> pd.DataFrame:
@@ -64,13 +68,13 @@ def adf_test(series: DataFrame, column: str, lags: int | None = None) -> DataFra
         used, statistic = tried, float("nan")
         if gram[2, 2] > tried + 2 and gram[0, 0] > 0:
             if lags is None:
-                used = min(range(tried + 1), key=lambda k: fit(gram, k)[0])
+                used = best_lag(gram, tried)
             keep = used + 3
             final = gram[:keep, :keep]
             if used < tried:
                 early = design(head, used, len(head) - 1, used)
                 final = final + early.T @ early
-            statistic = fit(final, used)[1]
+            statistic = t_statistic(final, used)
         p = p_value(statistic) if np.isfinite(statistic) else None
         return pd.DataFrame(
             {
@@ -87,7 +91,7 @@ def adf_test(series: DataFrame, column: str, lags: int | None = None) -> DataFra
     partial = blocked.groupBy("ticker", "_blk").applyInPandas(
         products, "ticker string, n long, lags int, gram array<double>, head array<double>"
     )
-    return partial.groupBy("ticker").applyInPandas(
+    return partial.repartition(partitions, "ticker").groupBy("ticker").applyInPandas(
         solve,
         "ticker string, series string, observations long, used_lags int, "
         "statistic double, p_value double, stationary boolean",

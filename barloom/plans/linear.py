@@ -2,7 +2,8 @@
 
 Training sets grow fold by fold, so the sums a fit needs (counts, means, cross products) are
 aggregated once per newly added stretch of rows and then accumulated over the folds. Only these
-sums, one row per (ticker, fold), reach the small solve in Python.
+sums, one row per (ticker, fold), reach the small solve in Python. Every test row has a fit, so
+rows meet fits in left joins, where only the fits can become the broadcast side.
 """
 
 from collections.abc import Iterator, Sequence
@@ -68,7 +69,8 @@ def naive_predictions(df: DataFrame, scheme: Scheme) -> DataFrame:
     means = expanding_sums(df, scheme).select(
         "ticker", "fold", (F.col("sum_y") / F.col("train_rows")).alias("prediction")
     )
-    return _as_predictions(rows_under_test(df, scheme).join(means, ["ticker", "fold"]), "Naive")
+    rows = rows_under_test(df, scheme).join(means, ["ticker", "fold"], "left")
+    return _as_predictions(rows, "Naive")
 
 
 def scalers(df: DataFrame, scheme: Scheme, features: Sequence[str]) -> DataFrame:
@@ -110,7 +112,7 @@ def apply_scalers(
         c: (F.col(c) - F.col("means")[i]) / F.col("deviations")[i]
         for i, c in enumerate(features)
     }
-    return rows.join(fitted, list(keys)).withColumns(scaled).drop("means", "deviations")
+    return rows.join(fitted, list(keys), "left").withColumns(scaled).drop("means", "deviations")
 
 
 def ridge_coefficients(
@@ -174,5 +176,5 @@ def ridge_predictions(
     value = F.col("intercept")
     for i, c in enumerate(features):
         value = value + F.col("coefficients")[i] * F.col(c)
-    rows = rows_under_test(df, scheme).join(fits, ["ticker", "fold"])
+    rows = rows_under_test(df, scheme).join(fits, ["ticker", "fold"], "left")
     return _as_predictions(rows.withColumn("prediction", value), "Ridge")

@@ -79,7 +79,7 @@ def landing_summary(
 def newest_landing(landed: DataFrame, key: str = "ticker") -> DataFrame:
     """Rows of the most recent landing of each key."""
     newest = landed.groupBy(key).agg(F.max("landed_at").alias("landed_at"))
-    return landed.join(newest, [key, "landed_at"])
+    return landed.join(newest, [key, "landed_at"], "left_semi")
 
 
 def read_macro_csv(spark: SparkSession, path: str | Sequence[str], series_id: str) -> DataFrame:

@@ -132,7 +132,7 @@ LATEST_SQL = sql.with_(sql.BARS, sql.MOVES, sql.INDICATORS, sql.FEATURES, final=
 
 
 def _features_without_regime(spark, sf_dir):
-    rows = numeric_features(stages.market_data(spark, sf_dir))
+    rows = stages.feature_rows(spark, sf_dir)
     return rows.withColumn("regime", F.lit(0)).select(*FEATURE_STORE.fieldNames())
 
 
@@ -401,8 +401,10 @@ DATASET_COLUMNS = ["rsi_14", "macd", "volatility_20d", "return_1d", "target_5d"]
 @query("modeling_dataset", sql.with_(*sql.TO_DATASET, final=f"""
     select ticker, date, close, {sql.rounded(DATASET_COLUMNS, 4)} from dataset"""))
 def dataset(spark, sf_dir):
-    bars = stages.market_data(spark, sf_dir)
-    return rounded(modeling_dataset(numeric_features(bars), bars, "core4"), DATASET_COLUMNS, 4)
+    rows = modeling_dataset(
+        stages.feature_rows(spark, sf_dir), stages.market_data(spark, sf_dir), "core4"
+    )
+    return rounded(rows, DATASET_COLUMNS, 4)
 
 
 @query("target_describe", sql.with_(*sql.TO_DATASET, final="""

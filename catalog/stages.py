@@ -32,12 +32,20 @@ def market_data(spark, sf_dir) -> DataFrame:
     return _once(spark, sf_dir, "market_data", lambda: tables.bars(spark, sf_dir))
 
 
+def feature_rows(spark, sf_dir) -> DataFrame:
+    """Numeric features of every ticker."""
+    return _once(
+        spark, sf_dir, "feature_rows", lambda: numeric_features(market_data(spark, sf_dir))
+    )
+
+
 def core_dataset(spark, sf_dir) -> DataFrame:
     """Positioned ``core4`` dataset of every ticker."""
 
     def build():
-        bars = market_data(spark, sf_dir)
-        return positioned_dataset(numeric_features(bars), bars, "core4")
+        return positioned_dataset(
+            feature_rows(spark, sf_dir), market_data(spark, sf_dir), "core4"
+        )
 
     return _once(spark, sf_dir, "core_dataset", build)
 
