@@ -23,8 +23,8 @@ def sequence_windows(
     if not 0 < length <= BLOCK_ROWS:
         raise ValueError(f"length must be between 1 and {BLOCK_ROWS}")
     sizes = _role_sizes(df).where(F.col("row_count") > length).drop("row_count")
-    rows = df.where(F.col("role").isNotNull()).join(sizes, ["ticker", "role"])
-    rows = rows.withColumn("_at", F.col("rn") - F.col("_start"))
+    rows = df.where(F.col("role").isNotNull()).join(sizes, ["ticker", "role"], "left")
+    rows = rows.where(F.col("_start").isNotNull()).withColumn("_at", F.col("rn") - F.col("_start"))
     home = F.floor(F.col("_at") / BLOCK_ROWS)
     feeds_next = F.col("_at") % BLOCK_ROWS > BLOCK_ROWS - length
     blocks = F.array_compact(F.array(home, F.when(feeds_next, home + 1)))

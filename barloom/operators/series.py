@@ -38,6 +38,17 @@ def _earlier(keys: Sequence[str], order: str):
     )
 
 
+def _keyed(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows with all keys present, said outright.
+
+    Spark infers it for the summary side of the joins below; saying it for the rows as well keeps
+    both sides of a join the same up to the last shuffle, which then runs once.
+    """
+    for key in keys:
+        df = df.where(F.col(key).isNotNull())
+    return df
+
+
 def with_positions(
     df: DataFrame, keys: Sequence[str] = ("ticker",), date: str = "date"
 ) -> DataFrame:
@@ -46,7 +57,7 @@ def with_positions(
     ``(keys, date)`` must be unique and not null.
     """
     keys = list(keys)
-    rows = df.withColumn("_seg", segment_of(date))
+    rows = _keyed(df.withColumn("_seg", segment_of(date)), *keys, "_seg")
     counts = rows.groupBy(*keys, "_seg").agg(F.count("*").alias("_count"))
     offsets = counts.select(
         *keys,
@@ -96,7 +107,7 @@ def core_rows(df: DataFrame) -> DataFrame:
 
 def forward_fill(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Replace nulls by the last earlier non-null value of the ticker; leading nulls stay."""
-    rows = df.withColumn("_seg", segment_of())
+    rows = _keyed(df.withColumn("_seg", segment_of()), "ticker", "_seg")
     ends = rows.groupBy("ticker", "_seg").agg(
         *[
             F.max_by(c, F.when(F.col(c).isNotNull(), F.col("date"))).alias(f"_end_{c}")
@@ -144,6 +155,7 @@ def ewm_means(df: DataFrame, specs: dict[str, tuple[str, float, int]]) -> DataFr
         weight = F.when(F.col("rn") == 0, F.lit(1.0)).otherwise(F.lit(alpha))
         weighted[name] = weight * F.col(source)
 
+    df = _keyed(df, "ticker", "_blk")
     ends = (
         df.where("_core")
         .groupBy("ticker", "_blk")

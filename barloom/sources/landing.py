@@ -52,8 +52,9 @@ def land(
             landed.select(key).distinct(), key, "left_anti"
         )
         rows = stage(landed.unionByName(kept.select(*landed.columns)), "landing-merged")
+    # Clustered by key; the hash lets a key with very many rows span several partitions.
     (
-        rows.repartitionByRange(key)
+        rows.repartitionByRange(key, F.xxhash64(*batch.columns))
         .sortWithinPartitions(key)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators import cleaning, columns, indicators, regime, series, stationarity, validation
 from barloom.operators.joins import join_features_prices
-from barloom.plans import scoring
+from barloom.plans import jobs, scoring
 from barloom.plans.dataset import modeling_dataset
 from barloom.plans.features import NUMERIC_FEATURES, features, numeric_features
 from barloom.schemas import BAR_COLUMNS, FEATURE_STORE, MACRO, MARKET_DATA, PRICE_COLUMNS
@@ -159,7 +159,7 @@ def latest_features_kv(spark, sf_dir):
 @query("standardize_headers", sql.with_(
     sql.BARS, final='select *, close * 0.98e0 as "Adj Close" from bars'))
 def standardize_headers(spark, sf_dir):
-    renamed = columns.standardize_headers(tables.raw_bars(spark, sf_dir))
+    renamed = columns.standardize_headers(tables.raw_bars(tables.bars(spark, sf_dir)))
     return columns.cast_dates(renamed)
 
 
@@ -235,6 +235,17 @@ def clean_bars(spark, sf_dir):
     return cleaning.clean_bars(tables.dirty_bars(spark, sf_dir))
 
 
+@query("clean_and_load", _dirty_sql("select * from clean", sql.KEPT, sql.CLEAN))
+def clean_and_load(spark, sf_dir):
+    """Landing to bar table: newest landing, headers, cleaning, validation, upsert, scan."""
+    landing_path, table_path = fresh_path(spark, "raw-bars"), fresh_path(spark, "market-data")
+    landing.land(
+        tables.raw_bars(tables.dirty_bars(spark, sf_dir)), landing_path, ingest_date=_day(1)
+    )
+    jobs.clean_and_load(spark.read.parquet(landing_path), table_path)
+    return store.scan_table(spark, table_path, MARKET_DATA)
+
+
 # ---- counts, guards, validation -------------------------------------------------------------
 
 

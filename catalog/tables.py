@@ -97,9 +97,9 @@ DIRTY_BARS_SQL = f"""
     from bars"""
 
 
-def raw_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_bars(bar_rows: DataFrame) -> DataFrame:
     """Bars as a download names them: capitalised headers, an adjusted close, timestamps."""
-    return bars(spark, sf_dir).select(
+    return bar_rows.select(
         "ticker",
         F.col("date").cast("timestamp_ntz").alias("Date"),
         F.col("open").alias("Open"),

@@ -84,3 +84,18 @@ def test_no_row_level_window_over_a_whole_ticker(spark, mixed):
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     row_windows = [line for line in plan.splitlines() if "row_number()" in line and "Window" in line]
     assert row_windows and all("_seg" in line for line in row_windows)
+
+
+def test_exponential_means_shuffle_the_rows_once(spark, mixed):
+    from barloom.operators.indicators import indicators
+
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = indicators(bars_frame(spark, *mixed))
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    by_block = [line for line in plan.splitlines() if "_blk" in line and "Exchange" in line]
+    assert any("ReusedExchange" in line for line in by_block)
