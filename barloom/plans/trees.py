@@ -92,7 +92,7 @@ def tree_predictions(
     features: Sequence[str],
     models: dict[str, object],
     tickers: Sequence[str],
-    workers: int = 8,
+    workers: int = 16,
 ) -> DataFrame:
     """Fit each estimator per (ticker, fold) on the training rows and forecast the test rows.
 

@@ -175,7 +175,7 @@ RIDGE_HOLDOUT_TRAIN = ("training", """
 def _ridge_holdout_sql(scaled):
     return sql.with_(
         *sql.TO_DATASET, RIDGE_HOLDOUT_TRAIN,
-        *sql.ridge(CORE4, "training", "", scaled=scaled),
+        *sql.ridge(CORE4, "training", scaled=scaled),
         final=f"""
         select ticker, date, 'Ridge' as model, round(target_5d, 6) + 0.0 as actual,
                round({sql.ridge_value(CORE4)}, 6) + 0.0 as prediction, 1 as fold
@@ -198,10 +198,7 @@ def ridge_holdout_unscaled(spark, sf_dir):
 
 @query("ridge_walk_forward", sql.with_(
     *sql.TO_DATASET, sql.WALK, sql.WALK_FOLDS,
-    ("training", """
-        select d.*, f.fold from walk_folds f join dataset d
-          on d.ticker = f.ticker and d.rn < 995 + 100 * (f.fold - 1)"""),
-    *sql.ridge(CORE4, "training", ""),
+    sql.WALK_TRAINING, *sql.ridge(CORE4, "training"),
     final=f"""
     select ticker, date, 'Ridge' as model, round(target_5d, 6) + 0.0 as actual,
            round({sql.ridge_value(CORE4)}, 6) + 0.0 as prediction, fold
@@ -273,7 +270,7 @@ def model_summary(spark, sf_dir):
 
 @query("leaderboard", sql.with_(*sql.TO_PREDICTIONS, sql.RESULTS, final=f"""
     select ticker, model, {sql.rounded(SCORE_NAMES)},
-           rank() over (partition by ticker order by rmse) as rank from results"""))
+           cast(rank() over (partition by ticker order by rmse) as integer) as rank from results"""))
 def leaderboard(spark, sf_dir):
     return rounded(scoring.leaderboard(_pooled(spark, sf_dir)), SCORE_NAMES)
 
@@ -311,6 +308,49 @@ def sorted_predictions(spark, sf_dir):
     return _rounded_predictions(scoring.sorted_predictions(stages.predictions(spark, sf_dir)))
 
 
+# ---- comparisons of the models SQL can fit --------------------------------------------------------
+
+
+def _two_models_sql(tested):
+    """Scores of naive and ridge forecasts, given the relation of test rows."""
+    return (
+        ("predictions", f"""
+            select ticker, date, 'Naive' as model, target_5d as actual, my as prediction
+            from {tested} join ridge_moments using (ticker) where fold = test_fold
+            union all
+            select ticker, date, 'Ridge', target_5d, {sql.ridge_value(CORE4)}
+            from {tested} join ridge using (ticker) where fold = test_fold"""),
+        sql.RESULTS,
+    )
+
+
+@query("walk_forward_results", sql.with_(
+    *sql.TO_DATASET, sql.WALK, sql.WALK_FOLDS, sql.WALK_TRAINING,
+    *sql.ridge(CORE4, "training"), *_two_models_sql("walk"),
+    final=f"select ticker, model, {sql.rounded(SCORE_NAMES)} from results"))
+def walk_forward_results(spark, sf_dir):
+    """Multi-ticker validation of every ticker; too short ones have no results."""
+    validation = evaluate.multi_ticker_validation(
+        stages.core_dataset(spark, sf_dir), CORE4, models=("Naive", "Ridge")
+    )
+    return rounded(evaluate.require_results(validation.results), SCORE_NAMES)
+
+
+@query("tournament_results", sql.with_(
+    *sql.TO_DATASET, sql.DEVELOPMENT, sql.purged("development"), sql.FOLDS,
+    sql.PURGED_TRAINING, *sql.ridge(CORE4, "training", scaled=False),
+    *_two_models_sql("purged"),
+    final=f"""
+    select ticker, model, {sql.rounded(SCORE_NAMES)},
+           cast(rank() over (partition by ticker order by rmse) as integer) as rank from results"""))
+def tournament_results(spark, sf_dir):
+    """Tournament leaderboard of every ticker on purged folds of its development rows."""
+    outcome = evaluate.tournament(
+        stages.core_dataset(spark, sf_dir), CORE4, models=("Naive", "Ridge")
+    )
+    return rounded(outcome.results, SCORE_NAMES)
+
+
 # ---- result files and runs --------------------------------------------------------------------------
 
 
@@ -332,7 +372,7 @@ def results_csv(spark, sf_dir):
 
 @query("run_log", sql.with_(*sql.TO_PREDICTIONS, sql.RESULTS, final="""
     select experiment, concat(ticker, '_', model, '_Tournament') as run_name, '3' as n_splits,
-           model, round(rmse, 6) as rmse, 2 as runs
+           model, round(rmse, 6) as rmse, cast(2 as bigint) as runs
     from results, (select 'model_tournament' as experiment)"""))
 def run_log(spark, sf_dir):
     """Log every result twice and read the runs back."""

@@ -78,11 +78,15 @@ TO_DATASET = (BARS, MOVES, INDICATORS, FEATURES, DATASET)
 TO_LONG_DATASET = (LONG_BARS, MOVES, INDICATORS, FEATURES, DATASET)
 
 # Three purged folds: test rows carry test_fold, training rows of fold f have rn < size * f.
-PURGED = ("purged", """
+def purged(source: str) -> tuple[str, str]:
+    return ("purged", f"""
     select *, n // 8 as size,
            case when rn >= n // 8 + 5 and (rn - 5) // (n // 8) <= 3
                 then cast((rn - 5) // (n // 8) as integer) end as test_fold
-    from dataset""")
+    from {source}""")
+
+
+PURGED = purged("dataset")
 
 FOLDS = ("folds", """
     select t.ticker, t.n, t.size, cast(f.fold as integer) as fold from
@@ -90,6 +94,14 @@ FOLDS = ("folds", """
       (select unnest([1, 2, 3]) as fold) f
     where t.size * f.fold + 5 < t.n""")
 
+PURGED_TRAINING = ("training", """
+    select p.*, f.fold from folds f join purged p
+      on p.ticker = f.ticker and p.rn < f.size * f.fold""")
+
+DEVELOPMENT = ("development", """
+    select * replace (cast(floor(n * 0.8e0) as bigint) as n) from dataset
+    where rn < floor(n * 0.8e0)""")
+
 # Walk-forward folds of 100 test rows after 1000, five rows left out of training.
 WALK = ("walk", """
     select *, case when rn >= 1000 and 1000 + 100 * ((rn - 1000) // 100) + 5 < n
@@ -100,6 +112,10 @@ WALK_FOLDS = ("walk_folds", """
     select ticker, n, cast(unnest(range(1, (n - 1006) // 100 + 2)) as integer) as fold
     from (select ticker, max(n) as n from dataset group by ticker) where n >= 1006""")
 
+WALK_TRAINING = ("training", """
+    select d.*, f.fold from walk_folds f join dataset d
+      on d.ticker = f.ticker and d.rn < 995 + 100 * (f.fold - 1)""")
+
 PREDICTIONS = ("predictions", """
     select t.ticker, t.date, 'Naive' as model, t.target_5d as actual, m.prediction, t.test_fold as fold
     from purged t join (
@@ -132,7 +148,7 @@ def rounded(columns: list[str], digits: int = 6) -> str:
 
 
 def ridge(
-    features: list[str], train: str, folds: str, keys: str = "ticker, fold", scaled: bool = True
+    features: list[str], train: str, keys: str = "ticker, fold", scaled: bool = True
 ) -> list[tuple[str, str]]:
     """CTEs that solve one ridge regression per key by Gaussian elimination.
 
