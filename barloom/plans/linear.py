@@ -156,7 +156,7 @@ def _solve_ridge(row, size, upper, alpha, scaled):
     gram = gram + np.triu(gram, 1).T - n * np.outer(mean_x, mean_x)
     cross = np.asarray(row.sum_xy) - n * mean_x * mean_y
     spread = np.sqrt(np.maximum(np.diag(gram), 0.0) / n)
-    unit = np.where(spread * spread > 1e-15 * raw_square, spread, 1.0)
+    unit = np.where(spread * spread > 1e-12 * raw_square, spread, 1.0)
     if not scaled:
         unit = np.ones(size)
     weights = np.linalg.solve(
