@@ -97,7 +97,8 @@ def with_context(df: DataFrame, before: int = 0, after: int = 0) -> DataFrame:
     )
 
 
-def block_window() -> "Window":
+def block_window():
+    """Window over the rows of a block in date order."""
     return Window.partitionBy("ticker", "_blk").orderBy("rn")
 
 
