@@ -9,7 +9,8 @@ from barloom.schemas import PRICE_COLUMNS
 
 
 def positive_close(df: DataFrame) -> DataFrame:
-    return df.where(F.col("close") > 0)
+    """Rows with a close above zero; NaN is no close."""
+    return df.where((F.col("close") > 0) & ~F.isnan("close"))
 
 
 def positive_or_missing(df: DataFrame, columns=("open", "high", "low")) -> DataFrame:
@@ -26,10 +27,19 @@ def fill_volume(df: DataFrame) -> DataFrame:
     return df.withColumn("volume", F.coalesce("volume", F.lit(0.0)))
 
 
+def filter_bars(df: DataFrame) -> DataFrame:
+    """Bars without impossible values; NaN counts as missing. Other columns stay."""
+    return valid_volume(positive_or_missing(positive_close(nan_to_null(df))))
+
+
+def fill_bars(df: DataFrame) -> DataFrame:
+    """Bars unique by (ticker, date) with missing prices carried forward and missing volumes 0."""
+    return fill_volume(forward_fill(df, PRICE_COLUMNS))
+
+
 def clean_bars(df: DataFrame) -> DataFrame:
-    """Whole chain for bars unique by (ticker, date); NaN counts as missing throughout."""
-    kept = valid_volume(positive_or_missing(positive_close(nan_to_null(canonical_bars(df)))))
-    return fill_volume(forward_fill(kept, PRICE_COLUMNS))
+    """Filters and fills for bars unique by (ticker, date). A row without a date fails the job."""
+    return fill_bars(filter_bars(canonical_bars(df)))
 
 
 def clean_guards(df: DataFrame) -> DataFrame:

@@ -58,7 +58,7 @@ def canonical_bars(df: DataFrame) -> DataFrame:
 
 
 def cast_dates(df: DataFrame, column: str = "date") -> DataFrame:
-    """Timestamps and text to dates; text that is no date becomes null."""
+    """Timestamps and text to dates; text that is no date becomes null, which validation reports."""
     if isinstance(df.schema[column].dataType, T.StringType):
         return df.withColumn(column, F.try_to_date(F.substring(column, 1, 10), "yyyy-MM-dd"))
     return df.withColumn(column, F.to_date(column))

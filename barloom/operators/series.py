@@ -39,25 +39,34 @@ def _earlier(keys: Sequence[str], order: str):
 
 
 def _keyed(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows with all keys present, said outright.
+    """Rows with all keys present; a row without one fails the job.
 
-    Spark infers it for the summary side of the joins below; saying it for the rows as well keeps
-    both sides of a join the same up to the last shuffle, which then runs once.
+    Spark infers the filter for the summary side of the joins below; saying it for the rows as
+    well keeps both sides of a join the same up to the last shuffle, which then runs once. As the
+    check raises first, no row is ever filtered out.
     """
     for key in keys:
-        df = df.where(F.col(key).isNotNull())
+        missing = F.raise_error(F.lit(f"a row has no {key.lstrip('_')}, so it has no place in its series"))
+        df = df.withColumn(key, F.coalesce(F.col(key), missing)).where(F.col(key).isNotNull())
     return df
 
 
+def segmented(df: DataFrame, *keys: str, date: str = "date") -> DataFrame:
+    """Rows with their date segment ``_seg``; a row without a key or a date fails the job."""
+    missing = F.raise_error(F.lit(f"a row has no {date}, so it has no place in its series"))
+    rows = df.withColumn("_seg", F.coalesce(segment_of(date), missing.cast("int")))
+    return _keyed(rows, *keys, "_seg")
+
+
 def with_positions(
     df: DataFrame, keys: Sequence[str] = ("ticker",), date: str = "date"
 ) -> DataFrame:
     """Add ``rn`` (0-based position in date order) and ``n`` (rows of the key).
 
-    ``(keys, date)`` must be unique and not null.
+    ``(keys, date)`` must be unique and not null; a null fails the job.
     """
     keys = list(keys)
-    rows = _keyed(df.withColumn("_seg", segment_of(date)), *keys, "_seg")
+    rows = segmented(df, *keys, date=date)
     counts = rows.groupBy(*keys, "_seg").agg(F.count("*").alias("_count"))
     offsets = counts.select(
         *keys,
@@ -107,8 +116,11 @@ def core_rows(df: DataFrame) -> DataFrame:
 
 
 def forward_fill(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Replace nulls by the last earlier non-null value of the ticker; leading nulls stay."""
-    rows = _keyed(df.withColumn("_seg", segment_of()), "ticker", "_seg")
+    """Replace nulls by the last earlier non-null value of the ticker; leading nulls stay.
+
+    A row without ticker or date fails the job.
+    """
+    rows = segmented(df, "ticker")
     ends = rows.groupBy("ticker", "_seg").agg(
         *[
             F.max_by(c, F.when(F.col(c).isNotNull(), F.col("date"))).alias(f"_end_{c}")

@@ -1,5 +1,6 @@
 """Augmented Dickey-Fuller test per ticker."""
 
+from collections.abc import Sequence
 from typing import Any
 
 import numpy as np
@@ -13,12 +14,13 @@ from barloom.operators.series import with_context, with_positions
 # Rows a block needs before its own. Dates span at most 10,000 years, whose longest series
 # would use 166 lags.
 CONTEXT_ROWS = 168
+_KEY_MARK = "\x1f"
 
 
-def adf_test(series: DataFrame, column: str, lags: int | None = None) -> DataFrame:
+def adf_test(series: DataFrame, columns: str | Sequence[str], lags: int | None = None) -> DataFrame:
     """``ticker, series, observations, used_lags, statistic, p_value, stationary``.
 
-    Constant only; without ``lags`` the lag count with the lowest Akaike criterion among those
+    All ``columns`` are tested in one pass. Constant only; without ``lags`` the lag count with the lowest Akaike criterion among those
     fitted on the same rows is taken, then refitted on all rows it allows. A series that is
     constant or too short has no statistic. The cross products of
     the regression are summed block by block, so one task sees 512 rows at a time; the solve runs
@@ -26,10 +28,12 @@ def adf_test(series: DataFrame, column: str, lags: int | None = None) -> DataFra
     """
     if lags is not None and not 0 <= lags < CONTEXT_ROWS:
         raise ValueError(f"lags must be between 0 and {CONTEXT_ROWS - 1}")
+    names = [columns] if isinstance(columns, str) else list(columns)
+    values = F.array(*[F.struct(F.lit(c).alias("series"), F.col(c).cast("double").alias("x")) for c in names])
+    # series and ticker form one key, so that blocks are those of a single series
+    long = series.select("ticker", "date", F.inline(values)).where("x is not null")
     rows = with_positions(
-        series.where(F.col(column).isNotNull()).select(
-            "ticker", "date", F.col(column).cast("double").alias("x")
-        )
+        long.select(F.concat("series", F.lit(_KEY_MARK), "ticker").alias("ticker"), "date", "x")
     )
     # A fixed partition count keeps adaptive execution from merging small but slow tasks.
     partitions = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -61,6 +65,7 @@ def adf_test(series: DataFrame, column: str, lags: int | None = None) -> DataFra
         )
 
     def solve(key: tuple[Any, ...], parts: pd.DataFrame) -> pd.DataFrame:
+        name, ticker = key[0].split(_KEY_MARK, 1)
         tried = int(parts["lags"].iloc[0])
         n = int(parts["n"].iloc[0])
         gram = np.sum(np.stack(parts["gram"].to_list()), axis=0).reshape(tried + 3, tried + 3)
@@ -78,8 +83,8 @@ def adf_test(series: DataFrame, column: str, lags: int | None = None) -> DataFra
         p = p_value(statistic) if np.isfinite(statistic) else None
         return pd.DataFrame(
             {
-                "ticker": [key[0]],
-                "series": [column],
+                "ticker": [ticker],
+                "series": [name],
                 "observations": [n],
                 "used_lags": [used],
                 "statistic": [statistic if np.isfinite(statistic) else None],

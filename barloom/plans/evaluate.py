@@ -1,13 +1,19 @@
-"""Model comparisons: purged tournament, holdout and multi-ticker walk-forward."""
+"""Model comparisons: purged tournament, holdout, tuning and multi-ticker walk-forward.
+
+Every comparison covers the tickers of its dataset that have a fold, the same ones for each model.
+With a folder it also writes its result files and run records there.
+"""
 
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from barloom.plans import trees
 from barloom.plans.dataset import preset
 from barloom.plans.linear import naive_predictions, ridge_predictions
-from barloom.plans.scoring import best_model, leaderboard, score, union_predictions
+from barloom.plans.scoring import best_model, leaderboard, model_summary, score, union_predictions
 from barloom.plans.splits import (
     Holdout,
     PurgedFolds,
@@ -16,41 +22,68 @@ from barloom.plans.splits import (
     development_rows,
     skipped_tickers,
 )
-from barloom.plans.trees import VALIDATION_FOREST, create_model, forest, tree_predictions
+from barloom.session import stage
+from barloom.sources import outputs
 
 TOURNAMENT_MODELS = ("Naive", "Ridge", "RandomForest", "BoostedTrees")
 VALIDATION_MODELS = ("Naive", "Ridge", "RandomForest")
 
 
-def predict(
-    df: DataFrame,
-    scheme: Scheme,
-    features,
-    models: Sequence[str],
-    tickers: Sequence[str] = (),
-    scaled_ridge: bool = False,
-    estimators: dict | None = None,
-) -> DataFrame:
-    """Out-of-sample predictions of the named models over the folds of a positioned dataset.
-
-    Naive and ridge cover every ticker of ``df``; tree models the listed ``tickers``.
-    """
+@dataclass(frozen=True)
+class Naive:
+    """Mean training target."""
+
+
+@dataclass(frozen=True)
+class Ridge:
+    alpha: float = 1.0
+    scaled: bool = False
+
+
+Model = Naive | Ridge | trees.TreeModel
+
+_MODELS = {
+    "Naive": Naive,
+    "Ridge": Ridge,
+    "RandomForest": trees.forest,
+    "BoostedTrees": trees.boosting,
+}
+
+
+def create_model(name: str) -> Model:
+    """The tournament's model of that name, with its fixed parameters."""
+    if name not in _MODELS:
+        raise ValueError(f"no model is called {name!r}; there are {', '.join(sorted(_MODELS))}")
+    return _MODELS[name]()
+
+
+def predict(df: DataFrame, scheme: Scheme, features, models: dict[str, Model] | Sequence[str]) -> DataFrame:
+    """Out-of-sample predictions of the models over the folds of a positioned dataset."""
     names = preset(features)
-    parts, trees = [], {}
-    for model in models:
-        if model == "Naive":
-            parts.append(naive_predictions(df, scheme))
-        elif model == "Ridge":
-            parts.append(ridge_predictions(df, scheme, names, scaled=scaled_ridge))
-        else:
-            trees[model] = (estimators or {}).get(model) or create_model(model)
-    if trees:
-        if not tickers:
-            raise ValueError("tree models need an explicit list of tickers")
-        parts.append(tree_predictions(df, scheme, names, trees, tickers))
+    if not isinstance(models, dict):
+        models = {name: create_model(name) for name in models}
+    grown = {name: model for name, model in models.items() if isinstance(model, trees.TreeModel)}
+    parts = []
+    for name, model in models.items():
+        if isinstance(model, Naive):
+            parts.append(naive_predictions(df, scheme).withColumn("model", F.lit(name)))
+        elif isinstance(model, Ridge):
+            own = ridge_predictions(df, scheme, names, model.alpha, model.scaled)
+            parts.append(own.withColumn("model", F.lit(name)))
+    if grown:
+        parts.append(trees.tree_predictions(df, scheme, names, grown))
     return union_predictions(*parts)
 
 
+def require_every_model(results: DataFrame, models: int) -> DataFrame:
+    """``results`` if each ticker has a row for each of so many models; raises otherwise."""
+    short = results.groupBy("ticker").agg(F.count("*").alias("n")).where(F.col("n") != models)
+    example = short.first()
+    if example is not None:
+        raise ValueError(f"{example.ticker} has results of {example.n} models instead of {models}")
+    return results
+
+
 @dataclass(frozen=True)
 class Tournament:
     predictions: DataFrame
@@ -59,51 +92,138 @@ class Tournament:
     holdout: DataFrame
 
 
+def _tickers_of(df: DataFrame, tickers: Sequence[str] | None) -> DataFrame:
+    return df if tickers is None else df.where(F.col("ticker").isin(list(tickers)))
+
+
 def tournament(
     df: DataFrame,
     features="core5",
-    tickers: Sequence[str] = (),
+    tickers: Sequence[str] | None = None,
     models: Sequence[str] = TOURNAMENT_MODELS,
     n_splits: int = 3,
     purge_gap: int = 5,
     train_share: float = 0.8,
+    folder: str | None = None,
 ) -> Tournament:
-    """Compare models on purged folds of the development rows, then refit and score the holdout."""
+    """Compare models on purged folds of the development rows, then refit and score the holdout.
+
+    With ``folder``: ``results``, ``predictions`` and ``holdout_results`` as CSV and one run record
+    for each result under ``runs``.
+    """
+    df = _tickers_of(df, tickers)
     folds = PurgedFolds(n_splits, purge_gap)
-    predictions = predict(development_rows(df, train_share), folds, features, models, tickers)
-    results = leaderboard(score(predictions))
-    holdout = predict(df, Holdout(train_share), features, models, tickers)
-    return Tournament(predictions, results, best_model(results), score(holdout))
+    predictions = stage(predict(development_rows(df, train_share), folds, features, models), "tournament")
+    results = require_every_model(leaderboard(score(predictions)), len(models))
+    holdout = stage(score(predict(df, Holdout(train_share), features, models)), "tournament-holdout")
+    if folder:
+        params = {"n_splits": n_splits, "purge_gap": purge_gap, "holdout_ratio": round(1 - train_share, 6), "target": "target_5d"}
+        params |= {f"feature_{c}": True for c in preset(features)}
+        outputs.write_csv(results.drop("rank"), f"{folder}/results", ["ticker", "rmse"])
+        outputs.write_csv(predictions, f"{folder}/predictions", ["ticker", "model", "date"])
+        outputs.write_csv(holdout, f"{folder}/holdout_results", ["ticker", "model"])
+        name = F.concat_ws("_", "ticker", "model", F.lit("Tournament"))
+        runs = outputs.run_records(results, "model_tournament", name, params)
+        tuned = {f"xgb_{k}": str(v) for k, v in trees.TUNED_BOOSTING.items()}
+        extra = F.create_map(*[F.lit(v) for pair in tuned.items() for v in pair])
+        boosted = F.col("params")["model"] == "BoostedTrees"
+        runs = runs.withColumn("params", F.when(boosted, F.map_concat("params", extra)).otherwise(F.col("params")))
+        outputs.append_runs(runs, f"{folder}/runs")
+    return Tournament(predictions, results, best_model(results), holdout)
 
 
 @dataclass(frozen=True)
 class Validation:
     predictions: DataFrame
     results: DataFrame
+    summary: DataFrame
     skipped: DataFrame
 
 
 def multi_ticker_validation(
     df: DataFrame,
     features="full6",
-    tickers: Sequence[str] = (),
+    tickers: Sequence[str] | None = None,
     models: Sequence[str] = VALIDATION_MODELS,
     scheme: Scheme = WalkForward(),
+    folder: str | None = None,
 ) -> Validation:
-    """Walk-forward scores per ticker and model; too short tickers are listed as skipped."""
-    predictions = predict(
-        df,
-        scheme,
-        features,
-        models,
-        tickers,
-        scaled_ridge=True,
-        estimators={"RandomForest": forest(**VALIDATION_FOREST)},
-    )
-    return Validation(predictions, score(predictions), skipped_tickers(df, scheme))
+    """Walk-forward scores per ticker and model; too short tickers are listed as skipped.
+
+    With ``folder``: ``results``, ``summary`` and ``predictions`` as CSV and a run record for each
+    result under ``runs``.
+    """
+    df = _tickers_of(df, tickers)
+    chosen = {name: create_model(name) for name in models}
+    if "Ridge" in chosen:
+        chosen["Ridge"] = Ridge(scaled=True)
+    if "RandomForest" in chosen:
+        chosen["RandomForest"] = trees.forest(**trees.VALIDATION_FOREST)
+    predictions = stage(predict(df, scheme, features, chosen), "validation")
+    results = require_every_model(score(predictions), len(models))
+    summary = model_summary(results)
+    if folder:
+        params = {"initial_train_size": 1000, "test_size": 100, "purge_days": 5}
+        if isinstance(scheme, WalkForward):
+            params = {"initial_train_size": scheme.initial, "test_size": scheme.test_rows, "purge_days": scheme.purge}
+        params["features"] = ",".join(preset(features))
+        outputs.write_csv(results, f"{folder}/results", ["ticker", "model"])
+        outputs.write_csv(summary, f"{folder}/summary", ["rmse"])
+        outputs.write_csv(predictions, f"{folder}/predictions", ["ticker", "date", "model"])
+        runs = outputs.run_records(results, "multi_ticker_validation", F.concat_ws("_", "ticker", "model"), params)
+        outputs.append_runs(runs, f"{folder}/runs")
+    return Validation(predictions, results, summary, skipped_tickers(df, scheme))
+
+
+@dataclass(frozen=True)
+class Tuned:
+    search: DataFrame
+    best: DataFrame
+    predictions: DataFrame
+    results: DataFrame
+
+
+def tuned_model(
+    df: DataFrame,
+    features="core4",
+    trials: int = 20,
+    n_splits: int = 3,
+    purge_gap: int = 5,
+    train_share: float = 0.8,
+    seed: int = trees.SEED,
+    folder: str | None = None,
+    search: DataFrame | None = None,
+) -> Tuned:
+    """Search parameters on the development rows, refit the best of each ticker on all of them and
+    score the holdout. With ``folder``: ``predictions`` as CSV and a run record under ``runs``.
+    ``search`` is the result of an earlier search with the same ``trials`` and ``seed``."""
+    names = preset(features)
+    candidates = trees.random_candidates(trials, seed)
+    if search is None:
+        folds = PurgedFolds(n_splits, purge_gap)
+        found = trees.param_search(development_rows(df, train_share), folds, names, candidates=candidates)
+        search = stage(found, "param-search")
+    best = trees.best_params(search)
+    predictions = stage(trees.refit_best(df, Holdout(train_share), names, best, candidates, seed), "tuned")
+    results = score(predictions)
+    if folder:
+        outputs.write_csv(predictions.select("ticker", "date", "actual", "prediction"), f"{folder}/predictions", ["ticker", "date"])
+        params = {"target": "5_day_forward_return", "features": ",".join(names), "n_trials": trials, "cv_splits": n_splits}
+        params |= {"purge_gap": purge_gap, "final_test_fraction": round(1 - train_share, 6)}
+        name = F.concat_ws("_", "ticker", F.lit("BoostedTrees_Tuned"))
+        runs = outputs.run_records(results, "tuned_model", name, params)
+        runs = runs.withColumn("ticker", F.col("params")["ticker"]).join(best, "ticker").select(
+            "experiment",
+            "run_name",
+            F.map_concat(runs["params"], F.transform_values(best["params"], lambda _, v: v.cast("string"))).alias("params"),
+            F.map_concat("metrics", F.create_map(F.lit("cv_mse"), F.col("mean_mse"))).alias("metrics"),
+        )
+        outputs.append_runs(runs, f"{folder}/runs")
+    return Tuned(search, best, predictions, results)
 
 
 def require_results(results: DataFrame) -> DataFrame:
+    """``results`` unless they have no rows at all."""
     if results.isEmpty():
-        raise RuntimeError("No validation results generated.")
+        raise RuntimeError("no ticker is long enough for a single fold")
     return results

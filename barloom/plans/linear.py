@@ -17,39 +17,58 @@ from barloom.plans.splits import Scheme, rows_under_test, train_entries
 from barloom.schemas import TARGET
 
 
-def expanding_sums(
+def training_moments(
     df: DataFrame, scheme: Scheme, features: Sequence[str] = (), products: bool = True
 ) -> DataFrame:
-    """Per ``(ticker, fold)``: ``train_rows``, ``sum_y``, arrays ``sum_x``, ``sum_xx``, ``sum_xy``.
+    """Moments of the training rows per ``(ticker, fold)``.
 
-    ``sum_xx`` holds the upper triangle by rows with ``products``, else only the squares.
+    ``train_rows, mean_y``, arrays ``mean_x``, ``gram`` (sums of products about the means: the upper
+    triangle by rows with ``products``, else the squares), ``cross`` (with the target) and ``flat``
+    (features with one value only). Every stretch is reduced to its own means and central moments,
+    and stretches are added about the mean of the ticker's first one, so large levels keep their
+    precision.
     """
-    pairs = [
-        (i, j)
-        for i in range(len(features))
-        for j in range(i, len(features) if products else i + 1)
-    ]
+    size = len(features)
+    pairs = [(i, j) for i in range(size) for j in range(i, size if products else i + 1)]
     x = [F.col(c).cast("double") for c in features]
     y = F.col(TARGET)
-    sums = {"train_rows": F.count("*"), "sum_y": F.sum(y)}
-    sums |= {f"_x{i}": F.sum(x[i]) for i in range(len(x))}
-    sums |= {f"_xx{i}_{j}": F.sum(x[i] * x[j]) for i, j in pairs}
-    sums |= {f"_xy{i}": F.sum(x[i] * y) for i in range(len(x))}
+    sums = {"_n": F.count("*"), "_my": F.avg(y)}
+    for i in range(size):
+        sums |= {f"_m{i}": F.avg(x[i]), f"_lo{i}": F.min(x[i]), f"_hi{i}": F.max(x[i])}
+        if products:
+            sums[f"_y{i}"] = F.covar_pop(x[i], y)
+    sums |= {f"_c{i}_{j}": F.var_pop(x[i]) if i == j else F.covar_pop(x[i], x[j]) for i, j in pairs}
     added = train_entries(df, scheme).groupBy("ticker", "fold").agg(
         *[expression.alias(name) for name, expression in sums.items()]
     )
     upto = Window.partitionBy("ticker").orderBy("fold").rowsBetween(Window.unboundedPreceding, 0)
-    total = added.select("ticker", "fold", *[F.sum(c).over(upto).alias(c) for c in sums])
+    n = F.col("_n")
+    # shifts of a stretch's means from those of the first stretch
+    added = added.withColumns(
+        {f"_r{k}": F.first(f"_m{k}").over(upto) for k in [*range(size), "y"]}
+    ).withColumns({f"_s{k}": F.col(f"_m{k}") - F.first(f"_m{k}").over(upto) for k in [*range(size), "y"]})
+    total = {"train_rows": F.sum(n).over(upto)}
+    total |= {f"_o{k}": F.sum(n * F.col(f"_s{k}")).over(upto) / F.sum(n).over(upto) for k in [*range(size), "y"]}
+    for i, j in pairs:
+        total[f"_g{i}_{j}"] = F.sum(n * (F.col(f"_c{i}_{j}") + F.col(f"_s{i}") * F.col(f"_s{j}"))).over(upto)
+    for i in range(size):
+        if products:
+            total[f"_gy{i}"] = F.sum(n * (F.col(f"_y{i}") + F.col(f"_s{i}") * F.col("_sy"))).over(upto)
+        total[f"_flat{i}"] = F.min(f"_lo{i}").over(upto) == F.max(f"_hi{i}").over(upto)
+    rows = F.col("train_rows")
+    moments = added.withColumns(total)
     empty = F.array().cast("array<double>")
-    pack = lambda names: F.array(*names) if names else empty
-    return total.select(
+    pack = lambda items: F.array(*items) if items else empty
+    about = lambda g, i, j: F.col(g) - rows * F.col(f"_o{i}") * F.col(f"_o{j}")
+    return moments.select(
         "ticker",
         "fold",
         "train_rows",
-        "sum_y",
-        pack([f"_x{i}" for i in range(len(x))]).alias("sum_x"),
-        pack([f"_xx{i}_{j}" for i, j in pairs]).alias("sum_xx"),
-        pack([f"_xy{i}" for i in range(len(x))]).alias("sum_xy"),
+        (F.col("_ry") + F.col("_oy")).alias("mean_y"),
+        pack([F.col(f"_r{i}") + F.col(f"_o{i}") for i in range(size)]).alias("mean_x"),
+        pack([about(f"_g{i}_{j}", i, j) for i, j in pairs]).alias("gram"),
+        pack([about(f"_gy{i}", i, "y") for i in range(size)] if products else []).alias("cross"),
+        (F.array(*[F.col(f"_flat{i}") for i in range(size)]) if size else F.array().cast("array<boolean>")).alias("flat"),
     )
 
 
@@ -66,42 +85,24 @@ def _as_predictions(rows: DataFrame, model: str) -> DataFrame:
 
 def naive_predictions(df: DataFrame, scheme: Scheme) -> DataFrame:
     """Forecast the mean training target of the fold."""
-    means = expanding_sums(df, scheme).select(
-        "ticker", "fold", (F.col("sum_y") / F.col("train_rows")).alias("prediction")
-    )
+    means = training_moments(df, scheme).select("ticker", "fold", F.col("mean_y").alias("prediction"))
     rows = rows_under_test(df, scheme).join(means, ["ticker", "fold"], "left")
     return _as_predictions(rows, "Naive")
 
 
 def scalers(df: DataFrame, scheme: Scheme, features: Sequence[str]) -> DataFrame:
-    """``ticker, fold, means, deviations`` of the training rows; flat features get deviation 1.
+    """``ticker, fold, means, deviations`` of the training rows; flat features get deviation 1."""
+    moments = training_moments(df, scheme, features, products=False)
 
-    Fitted on sums of values shifted by a per-ticker reference, so large levels keep precision.
-    """
-    x = {c: F.col(c).cast("double") for c in features}
-    entries = train_entries(df, scheme)
-    added = entries.groupBy("ticker", "fold").agg(
-        F.count("*").alias("_n"),
-        *[F.avg(x[c]).alias(f"_m{i}") for i, c in enumerate(features)],
-        *[F.var_pop(x[c]).alias(f"_v{i}") for i, c in enumerate(features)],
-        *[F.min(x[c]).alias(f"_lo{i}") for i, c in enumerate(features)],
-        *[F.max(x[c]).alias(f"_hi{i}") for i, c in enumerate(features)],
-    )
-    upto = Window.partitionBy("ticker").orderBy("fold").rowsBetween(Window.unboundedPreceding, 0)
-    rows = F.sum("_n").over(upto)
-    means, deviations = [], []
-    for i in range(len(features)):
-        reference = F.first(f"_m{i}").over(upto)
-        shift = F.col(f"_m{i}") - F.col(f"_ref{i}")
-        added = added.withColumn(f"_ref{i}", reference)
-        offset = F.sum(F.col("_n") * shift).over(upto) / rows
-        square = F.sum(F.col("_n") * (F.col(f"_v{i}") + shift * shift)).over(upto) / rows
-        flat = F.min(f"_lo{i}").over(upto) == F.max(f"_hi{i}").over(upto)
-        spread = F.sqrt(F.greatest(square - offset * offset, F.lit(0.0)))
-        means.append(F.col(f"_ref{i}") + offset)
-        deviations.append(F.when(flat | (spread == 0), F.lit(1.0)).otherwise(spread))
-    return added.select(
-        "ticker", "fold", F.array(*means).alias("means"), F.array(*deviations).alias("deviations")
+    def deviation(i):
+        spread = F.sqrt(F.greatest(F.col("gram")[i], F.lit(0.0)) / F.col("train_rows"))
+        return F.when(F.col("flat")[i] | (spread == 0), F.lit(1.0)).otherwise(spread)
+
+    return moments.select(
+        "ticker",
+        "fold",
+        F.col("mean_x").alias("means"),
+        F.array(*[deviation(i) for i in range(len(features))]).alias("deviations"),
     )
 
 
@@ -116,9 +117,9 @@ def apply_scalers(
 
 
 def ridge_coefficients(
-    sums: DataFrame, features: Sequence[str], alpha: float = 1.0, scaled: bool = True
+    moments: DataFrame, features: Sequence[str], alpha: float = 1.0, scaled: bool = True
 ) -> DataFrame:
-    """``ticker, fold, intercept, coefficients`` from :func:`expanding_sums`.
+    """``ticker, fold, intercept, coefficients`` from :func:`training_moments`.
 
     The intercept is not penalised; with ``scaled`` the penalty applies to features in units of
     their training deviation (flat ones stay as they are). Coefficients are for raw features.
@@ -141,28 +142,24 @@ def ridge_coefficients(
                 }
             )
 
-    return sums.mapInPandas(
+    return moments.mapInPandas(
         solve, "ticker string, fold int, intercept double, coefficients array<double>"
     )
 
 
 def _solve_ridge(row, size, upper, alpha, scaled):
-    n = row.train_rows
-    mean_x = np.asarray(row.sum_x) / n
-    mean_y = row.sum_y / n
+    mean_x = np.asarray(row.mean_x)
     gram = np.zeros((size, size))
-    gram[upper] = row.sum_xx
-    raw_square = np.diag(gram) / n
-    gram = gram + np.triu(gram, 1).T - n * np.outer(mean_x, mean_x)
-    cross = np.asarray(row.sum_xy) - n * mean_x * mean_y
-    spread = np.sqrt(np.maximum(np.diag(gram), 0.0) / n)
-    unit = np.where(spread * spread > 1e-12 * raw_square, spread, 1.0)
-    if not scaled:
-        unit = np.ones(size)
+    gram[upper] = row.gram
+    gram = gram + np.triu(gram, 1).T
+    unit = np.ones(size)
+    if scaled:
+        spread = np.sqrt(np.maximum(np.diag(gram), 0.0) / row.train_rows)
+        unit = np.where(np.asarray(row.flat) | (spread == 0), 1.0, spread)
     weights = np.linalg.solve(
-        gram / np.outer(unit, unit) + alpha * np.eye(size), cross / unit
+        gram / np.outer(unit, unit) + alpha * np.eye(size), np.asarray(row.cross) / unit
     ) / unit
-    return mean_y - weights @ mean_x, weights
+    return row.mean_y - weights @ mean_x, weights
 
 
 def ridge_predictions(
@@ -172,7 +169,7 @@ def ridge_predictions(
     alpha: float = 1.0,
     scaled: bool = True,
 ) -> DataFrame:
-    fits = ridge_coefficients(expanding_sums(df, scheme, features), features, alpha, scaled)
+    fits = ridge_coefficients(training_moments(df, scheme, features), features, alpha, scaled)
     value = F.col("intercept")
     for i, c in enumerate(features):
         value = value + F.col("coefficients")[i] * F.col(c)

@@ -1,26 +1,29 @@
-"""Forest and boosted-tree forecasts with Spark ML, one fit per (ticker, fold)."""
+"""Forest and boosted-tree forecasts for every (ticker, fold, candidate) in one Spark job.
+
+A fit is a row of a table: fold bounds of all tickers times the candidates. Rows meet the fits of
+their ticker, and every fit is one group of at most one ticker's rows, which the calendar bounds.
+Nothing loops on the driver, so the number of jobs does not grow with tickers, folds or trials.
+"""
 
 import random
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
 from math import exp, log
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.functions.histogram_trees import LEARNERS
 from barloom.plans.scoring import mean_fold_mse
 from barloom.plans.splits import Scheme, fold_bounds
 from barloom.schemas import PREDICTIONS, TARGET
-from barloom.session import fresh_path
 
 SEED = 42
-ROWS_PER_PARTITION = 100_000
 
 # Forest of the validation jobs and of the tournament (fixed values).
-VALIDATION_FOREST = {"numTrees": 100, "maxDepth": 5, "minInstancesPerNode": 10}
-TOURNAMENT_FOREST = {"numTrees": 50, "maxDepth": 5, "minInstancesPerNode": 1}
+VALIDATION_FOREST = {"n_estimators": 100, "max_depth": 5, "min_samples_leaf": 10}
+TOURNAMENT_FOREST = {"n_estimators": 50, "max_depth": 5, "min_samples_leaf": 1}
 
 # Tuned boosting parameters of the tournament (fixed values).
 TUNED_BOOSTING = {
@@ -47,94 +50,55 @@ SEARCH_SPACE = {
 }
 
 
-def forest(numTrees=100, maxDepth=5, minInstancesPerNode=10):
-    return RandomForestRegressor(
-        numTrees=numTrees,
-        maxDepth=maxDepth,
-        minInstancesPerNode=minInstancesPerNode,
-        featureSubsetStrategy="all",
-        labelCol=TARGET,
-        seed=SEED,
-    )
+@dataclass(frozen=True)
+class TreeModel:
+    """A learner of :mod:`barloom.functions.histogram_trees` and its parameters."""
 
+    learner: str
+    params: dict = field(default_factory=dict)
 
-def boosting(params: dict | None = None):
-    """Boosted trees for the given search parameters; the L1 and L2 terms have no counterpart."""
-    p = TUNED_BOOSTING | (params or {})
-    return GBTRegressor(
-        maxIter=int(p["n_estimators"]),
-        maxDepth=int(p["max_depth"]),
-        stepSize=float(p["learning_rate"]),
-        subsamplingRate=float(p["subsample"]),
-        featureSubsetStrategy=str(float(p["colsample_bytree"])),
-        minInstancesPerNode=int(p["min_child_weight"]),
-        labelCol=TARGET,
-        seed=SEED,
-    )
 
-
-ESTIMATORS = {
-    "RandomForest": lambda: forest(**TOURNAMENT_FOREST),
-    "ValidationForest": lambda: forest(**VALIDATION_FOREST),
-    "BoostedTrees": boosting,
-}
+def forest(**params) -> TreeModel:
+    return TreeModel("forest", TOURNAMENT_FOREST | params)
 
 
-def create_model(name: str):
-    if name not in ESTIMATORS:
-        raise ValueError(f"Unknown model: {name}")
-    return ESTIMATORS[name]()
+def boosting(params: dict | None = None) -> TreeModel:
+    return TreeModel("boosted", dict(params or TUNED_BOOSTING))
 
 
 def tree_predictions(
-    df: DataFrame,
-    scheme: Scheme,
-    features: Sequence[str],
-    models: dict[str, object],
-    tickers: Sequence[str],
-    workers: int = 16,
+    df: DataFrame, scheme: Scheme, features: Sequence[str], models: dict[str, TreeModel], seed: int = SEED
 ) -> DataFrame:
-    """Fit each estimator per (ticker, fold) on the training rows and forecast the test rows.
+    """Fit each model per (ticker, fold) on the training rows and forecast the test rows.
 
-    ``models`` maps the reported name to an unfitted estimator and ``tickers`` lists what to fit:
-    the driver loops over them, so both are explicit and short; every fit and forecast is a
-    Spark job. ``df`` should be a staged table, since every fit reads it.
+    ``df`` is a positioned dataset; ``models`` maps the reported name to a model. Every ticker with
+    a fold is covered.
     """
-    assembled = VectorAssembler(inputCols=list(features), outputCol="features").transform(
-        df.where(F.col("ticker").isin(list(tickers)))
+    names = list(features)
+    choices = F.array(*[F.lit(m) for m in models])
+    fits = fold_bounds(df, scheme).select(
+        "ticker", "fold", "train_end", "test_start", "test_end", F.explode(choices).alias("model")
     )
-    rows = assembled.select("ticker", "date", "rn", TARGET, "features")
-    folds = fold_bounds(df.where(F.col("ticker").isin(list(tickers))), scheme).collect()
-    spark = df.sparkSession
-    root = fresh_path(spark, "tree-predictions")
-
-    def run(task):
-        number, bound, name = task
-        own = rows.where(F.col("ticker") == bound.ticker).coalesce(
-            1 + bound.n // ROWS_PER_PARTITION
-        )
-        model = models[name].fit(own.where(F.col("rn") < bound.train_end))
-        tested = own.where(
-            (F.col("rn") >= bound.test_start) & (F.col("rn") < bound.test_end)
+    rows = df.select("ticker", "date", "rn", F.col(TARGET).alias("actual"), *[F.col(c).cast("double").alias(c) for c in names])
+    in_training, in_test = F.col("rn") < F.col("train_end"), F.col("rn").between(F.col("test_start"), F.col("test_end") - 1)
+    uses = (
+        rows.join(fits, "ticker")
+        .where(in_training | in_test)
+        .select("ticker", "fold", "model", "date", "rn", "actual", *names, in_training.alias("train"))
+    )
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("rn")
+        train, test = rows[rows["train"]], rows[~rows["train"]]
+        model = models[rows["model"].iloc[0]]
+        test = test[["ticker", "date", "model", "actual", "fold"]].assign(
+            prediction=LEARNERS[model.learner](
+                train[names].to_numpy(), train["actual"].to_numpy(), test[names].to_numpy(), seed, **model.params
+            )
         )
-        model.transform(tested).select(
-            "ticker",
-            "date",
-            F.lit(name).alias("model"),
-            F.col(TARGET).alias("actual"),
-            "prediction",
-            F.lit(bound.fold).cast("int").alias("fold"),
-        ).write.mode("overwrite").parquet(f"{root}/fit={number}")
-
-    tasks = [
-        (number, bound, name)
-        for number, (bound, name) in enumerate((b, m) for b in folds for m in models)
-    ]
-    if not tasks:
-        return spark.createDataFrame([], PREDICTIONS)
-    with ThreadPoolExecutor(workers) as pool:
-        list(pool.map(run, tasks))
-    return spark.read.schema(PREDICTIONS).parquet(root).select(*PREDICTIONS.fieldNames())
+        return test[PREDICTIONS.fieldNames()]
+
+    return uses.groupBy("ticker", "fold", "model").applyInPandas(fit, PREDICTIONS)
 
 
 def random_candidates(trials: int, seed: int = SEED) -> list[dict]:
@@ -150,43 +114,57 @@ def random_candidates(trials: int, seed: int = SEED) -> list[dict]:
     ]
 
 
+def _params_table(spark, candidates: list[dict]) -> DataFrame:
+    return spark.createDataFrame(
+        [(i, f"trial-{i}", {k: float(v) for k, v in c.items()}) for i, c in enumerate(candidates)],
+        "trial int, model string, params map<string,double>",
+    )
+
+
 def param_search(
     development: DataFrame,
     scheme: Scheme,
     features: Sequence[str],
-    tickers: Sequence[str],
     trials: int = 20,
     seed: int = SEED,
     candidates: list[dict] | None = None,
 ) -> DataFrame:
     """Mean fold MSE of boosted trees per ticker and candidate, with the candidate's parameters."""
     candidates = candidates or random_candidates(trials, seed)
-    names = [f"trial-{i}" for i in range(len(candidates))]
-    predictions = tree_predictions(
-        development,
-        scheme,
-        features,
-        {name: boosting(c) for name, c in zip(names, candidates)},
-        tickers,
-    )
-    table = development.sparkSession.createDataFrame(
-        [(i, name, {k: float(v) for k, v in c.items()})
-         for i, (name, c) in enumerate(zip(names, candidates))],
-        "trial int, model string, params map<string,double>",
-    )
+    models = {f"trial-{i}": boosting(c) for i, c in enumerate(candidates)}
+    predictions = tree_predictions(development, scheme, features, models)
     return (
         mean_fold_mse(predictions)
-        .join(table, "model")
+        .join(_params_table(development.sparkSession, candidates), "model")
         .select("ticker", "trial", "params", "mean_mse")
     )
 
 
 def best_params(search: DataFrame) -> DataFrame:
-    """The candidate with the lowest objective of each ticker."""
+    """The candidate with the lowest objective of each ticker; ties go to the first trial."""
     return (
         search.groupBy("ticker")
-        .agg(F.min_by(F.struct("trial", "params", "mean_mse"), "mean_mse").alias("_best"))
+        .agg(F.min_by(F.struct("trial", "params", "mean_mse"), F.struct("mean_mse", "trial")).alias("_best"))
         .select("ticker", "_best.*")
     )
 
 
+def refit_best(
+    df: DataFrame, scheme: Scheme, features: Sequence[str], best: DataFrame, candidates: list[dict], seed: int = SEED
+) -> DataFrame:
+    """Forecasts of each ticker's best candidate, refitted over the folds of ``scheme``."""
+    names = list(features)
+    fits = fold_bounds(df, scheme).join(best.select("ticker", "trial"), "ticker")
+    rows = df.select("ticker", "date", "rn", F.col(TARGET).alias("actual"), *[F.col(c).cast("double").alias(c) for c in names])
+    in_training = F.col("rn") < F.col("train_end")
+    in_test = F.col("rn").between(F.col("test_start"), F.col("test_end") - 1)
+    uses = rows.join(fits.drop("n"), "ticker").where(in_training | in_test).withColumn("train", in_training)
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("rn")
+        train, test = rows[rows["train"]], rows[~rows["train"]]
+        own = candidates[int(rows["trial"].iloc[0])]
+        found = LEARNERS["boosted"](train[names].to_numpy(), train["actual"].to_numpy(), test[names].to_numpy(), seed, **own)
+        return test[["ticker", "date", "actual", "fold"]].assign(model="BoostedTrees", prediction=found)[PREDICTIONS.fieldNames()]
+
+    return uses.groupBy("ticker", "fold").applyInPandas(fit, PREDICTIONS)

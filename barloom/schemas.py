@@ -35,14 +35,6 @@ MACRO = T.StructType(
     ]
 )
 
-ASSETS = T.StructType(
-    [
-        T.StructField("ticker", T.StringType(), False),
-        T.StructField("asset_class", T.StringType()),
-        T.StructField("sector", T.StringType()),
-    ]
-)
-
 PREDICTIONS = T.StructType(
     [
         T.StructField("ticker", T.StringType()),

@@ -2,7 +2,9 @@
 
 A landing zone is partitioned by ``ingest_date`` only, so the number of folders does not grow
 with the number of tickers. Landing twice on a day replaces the keys of the new batch and keeps
-the others; keys absent from a batch keep what earlier batches brought.
+the others; keys absent from a batch keep what earlier batches brought. ``delivery`` numbers the
+rows of a batch in the order they were read. A manifest beside the batches has one row for each
+key and landing, so the newest rows are found without reading the history.
 """
 
 import datetime as dt
@@ -13,9 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.schemas import MACRO
+from barloom.schemas import BAR_COLUMNS, MACRO
 from barloom.session import stage
 
+#: Folder of the manifest inside a landing zone; readers of the zone skip names with this prefix.
+MANIFEST = "_landings"
+
 
 def read_if_exists(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
     try:
@@ -38,7 +43,11 @@ def land(
     day = ingest_date or utc_today()
     landed = stage(
         batch.withColumns(
-            {"landed_at": F.current_timestamp(), "ingest_date": F.lit(day).cast("date")}
+            {
+                "landed_at": F.current_timestamp(),
+                "delivery": F.monotonically_increasing_id(),
+                "ingest_date": F.lit(day).cast("date"),
+            }
         ),
         "landing",
     )
@@ -61,9 +70,35 @@ def land(
         .partitionBy("ingest_date")
         .parquet(path)
     )
+    landed.groupBy(key, "ingest_date", "landed_at").agg(F.count("*").alias("row_count")).write.mode(
+        "append"
+    ).parquet(f"{path}/{MANIFEST}")
     return counts
 
 
+def read_newest(spark: SparkSession, path: str, key: str = "ticker") -> DataFrame:
+    """Rows of the most recent landing of each key, reading only the days that hold one.
+
+    The days are collected from the manifest: a list bounded by the calendar, which prunes the
+    partitions of the scan. On each day the newest landing replaced earlier ones of its keys.
+    """
+    manifest = spark.read.parquet(f"{path}/{MANIFEST}")
+    newest = manifest.groupBy(key).agg(
+        F.max(F.struct("ingest_date", "landed_at")).alias("_at")
+    ).select(key, "_at.ingest_date", "_at.landed_at")
+    days = [r.ingest_date for r in newest.select("ingest_date").distinct().collect()]
+    rows = spark.read.parquet(path).where(F.col("ingest_date").isin(days))
+    return rows.join(newest, [key, "ingest_date", "landed_at"], "left_semi")
+
+
+def read_ticker_file(spark: SparkSession, path: str, ticker: str) -> DataFrame:
+    """A download of one ticker: standard headers, bar columns and the ticker, ready to land."""
+    from barloom.operators.columns import attach_ticker, canonical_bars, cast_dates, standardize_headers
+
+    rows = attach_ticker(cast_dates(standardize_headers(spark.read.parquet(path))), ticker)
+    return canonical_bars(rows).select(*BAR_COLUMNS)
+
+
 def landing_summary(
     batch: DataFrame, wanted: DataFrame, key: str = "ticker"
 ) -> DataFrame:
@@ -84,7 +119,13 @@ def newest_landing(landed: DataFrame, key: str = "ticker") -> DataFrame:
 
 
 def read_macro_csv(spark: SparkSession, path: str | Sequence[str], series_id: str) -> DataFrame:
-    """A downloaded series: ``observation_date`` and one value column; ``.`` means no value."""
+    """A downloaded series: ``observation_date`` and one value column; ``.`` means no value.
+
+    Any other header raises.
+    """
+    header = spark.read.csv(path, header=True).columns
+    if len(header) != 2 or header[0] != "observation_date":
+        raise ValueError(f"expected observation_date and one value column, found {header}")
     raw = spark.read.csv(path, header=True, schema="observation_date string, value string",
                          enforceSchema=True)
     return raw.select(

@@ -36,7 +36,9 @@ def land_bars_summary(spark, sf_dir):
         .unionByName(flags.distinct())
         .unionByName(spark.range(1).select(F.lit("MISSING").alias("ticker")))
     )
-    return landing.landing_summary(tables.bars(spark, sf_dir), wanted)
+    path = fresh_path(spark, "raw-bars")
+    landing.land(tables.bars(spark, sf_dir), path, ingest_date=_day(1))
+    return landing.landing_summary(landing.read_newest(spark, path), wanted)
 
 
 @query("raw_bars_latest", sql.with_(sql.BARS, final=f"""
@@ -50,7 +52,16 @@ def raw_bars_latest(spark, sf_dir):
     landing.land(bars, path, ingest_date=_day(1))
     corrected = bars.where(F.col("ticker") != "A").withColumn("close", F.col("close") * 1.01)
     landing.land(corrected, path, ingest_date=_day(2))
-    return landing.newest_landing(spark.read.parquet(path)).select(*BAR_COLUMNS)
+    return landing.read_newest(spark, path).select(*BAR_COLUMNS)
+
+
+@query("attach_ticker", sql.with_(sql.LONG_BARS, final="select * from bars where ticker = 'A'"))
+def attach_ticker(spark, sf_dir):
+    """A file of one ticker, whose name is not in it."""
+    path = fresh_path(spark, "one-ticker")
+    own = tables.long_bars(spark, sf_dir).where("ticker = 'A'")
+    tables.raw_bars(own).drop("ticker").write.parquet(path)
+    return landing.read_ticker_file(spark, path, "A")
 
 
 def _day(n):
@@ -92,8 +103,7 @@ def macro_series(spark, sf_dir):
 def land_macro(spark, sf_dir):
     path = fresh_path(spark, "raw-macro")
     landing.land_macro(macro_series(spark, sf_dir), path, ingest_date=_day(1))
-    landed = spark.read.parquet(path)
-    return landing.newest_landing(landed, "series_id").select(*MACRO.fieldNames())
+    return landing.read_newest(spark, path, "series_id").select(*MACRO.fieldNames())
 
 
 @query("scan_ticker", sql.with_(
@@ -114,43 +124,49 @@ def upsert_market_data(spark, sf_dir):
     return store.scan_table(spark, path, MARKET_DATA)
 
 
-@query("upsert_features", sql.with_(sql.BARS, sql.MOVES, final=f"""
-    select ticker, date,
-           round(case when {tables.DAY_NUMBER_SQL} % 7 = 0 then 0 else return_1d end, 6) + 0.0
-             as return_1d
-    from moves where return_1d is not null"""))
+UPSERTED = ", ".join(
+    f"round(case when {tables.DAY_NUMBER_SQL} % 7 = 0 then -{c} else {c} end, 4) + 0.0 as {c}"
+    for c in NUMERIC_FEATURES
+)
+
+
+@query("upsert_features", sql.with_(
+    sql.BARS, sql.MOVES, sql.INDICATORS, sql.FEATURES,
+    final=f"""select ticker, date, {UPSERTED}, cast({tables.DAY_NUMBER_SQL} % 7 = 0 as integer) as flipped
+    from features"""))
 def upsert_features(spark, sf_dir):
-    old = indicators.simple_return(stages.market_data(spark, sf_dir), 1, "return_1d")
-    old = columns.drop_incomplete(old.select("ticker", "date", "return_1d"), ["return_1d"])
-    new = old.where(tables.day_number() % 7 == 0).withColumn("return_1d", F.lit(0.0))
-    return rounded(store.upsert(old, new), ["return_1d"])
+    """All six columns through the feature table; every seventh day is delivered again, changed."""
+    path = fresh_path(spark, "feature-store")
+    old = stages.full_features(spark, sf_dir)
+    store.upsert_table(old, path, FEATURE_STORE)
+    again = tables.day_number() % 7 == 0
+    changed = {c: -F.col(c) for c in NUMERIC_FEATURES} | {"regime": 10 + F.col("regime")}
+    store.upsert_table(old.where(again).withColumns(changed), path, FEATURE_STORE)
+    rows = rounded(store.scan_table(spark, path, FEATURE_STORE), NUMERIC_FEATURES, 4)
+    return rows.withColumn("flipped", (F.col("regime") >= 10).cast("int")).drop("regime")
 
 
 LATEST_SQL = sql.with_(sql.BARS, sql.MOVES, sql.INDICATORS, sql.FEATURES, final=f"""
-    select ticker, date, {sql.rounded(NUMERIC_FEATURES, 4)}, 0 as regime from features
+    select ticker, date, {sql.rounded(NUMERIC_FEATURES, 4)} from features
     qualify row_number() over (partition by ticker order by date desc) = 1""")
 
 
-def _features_without_regime(spark, sf_dir):
-    rows = stages.feature_rows(spark, sf_dir)
-    return rows.withColumn("regime", F.lit(0)).select(*FEATURE_STORE.fieldNames())
-
-
 @query("latest_features", LATEST_SQL)
 def latest_features(spark, sf_dir):
-    return rounded(
-        outputs.latest_features(_features_without_regime(spark, sf_dir)), NUMERIC_FEATURES, 4
-    )
+    """Without the regime, which has no SQL; the payload holds it."""
+    rows = outputs.latest_features(stages.full_features(spark, sf_dir))
+    return rounded(rows.drop("regime"), NUMERIC_FEATURES, 4)
 
 
 @query("latest_features_kv", sql.with_(sql.BARS, sql.MOVES, sql.INDICATORS, sql.FEATURES, final=f"""
     select concat('feature_store:', ticker, ':latest') as key, ticker, date,
-           {sql.rounded(NUMERIC_FEATURES, 4)}, 0 as regime from features
+           {sql.rounded(NUMERIC_FEATURES, 4)}, true as has_regime from features
     qualify row_number() over (partition by ticker order by date desc) = 1"""))
 def latest_features_kv(spark, sf_dir):
-    pairs = outputs.latest_features_kv(_features_without_regime(spark, sf_dir))
+    pairs = outputs.latest_features_kv(stages.full_features(spark, sf_dir))
     parsed = pairs.select("key", F.from_json("value", FEATURE_STORE).alias("v"))
-    return rounded(parsed.select("key", "v.*"), NUMERIC_FEATURES, 4)
+    rows = parsed.select("key", "v.*").withColumn("has_regime", F.col("regime").isin(0, 1))
+    return rounded(rows.drop("regime"), NUMERIC_FEATURES, 4)
 
 
 # ---- projections, casts, filters ----------------------------------------------------------
@@ -237,12 +253,22 @@ def clean_bars(spark, sf_dir):
 
 @query("clean_and_load", _dirty_sql("select * from clean", sql.KEPT, sql.CLEAN))
 def clean_and_load(spark, sf_dir):
-    """Landing to bar table: newest landing, headers, cleaning, validation, upsert, scan."""
+    """Landing to bar table: newest landing, headers, cleaning, validation, upsert, scan.
+
+    Every fifth day comes first with greater values, which the later copy replaces, and every
+    third day comes last as an impossible row with greater values, which must not win.
+    """
     landing_path, table_path = fresh_path(spark, "raw-bars"), fresh_path(spark, "market-data")
-    landing.land(
-        tables.raw_bars(tables.dirty_bars(spark, sf_dir)), landing_path, ingest_date=_day(1)
+    bars = tables.dirty_bars(spark, sf_dir)
+    day = tables.day_number()
+    valid = (F.col("close") > 0) & ((F.col("open") > 0) | F.col("open").isNull()) & (
+        (F.col("volume") >= 0) | F.col("volume").isNull()
     )
-    jobs.clean_and_load(spark.read.parquet(landing_path), table_path)
+    early = bars.where((day % 5 == 0) & valid).withColumns({c: F.col(c) * 2 for c in ("open", "high", "low", "close")})
+    late = bars.where(day % 3 == 0).withColumns({"open": F.col("high") * 3, "close": -F.col("high")})
+    batch = early.unionByName(bars).unionByName(late)
+    landing.land(tables.raw_bars(batch), landing_path, ingest_date=_day(1))
+    jobs.clean_and_load(spark, landing_path, table_path)
     return store.scan_table(spark, table_path, MARKET_DATA)
 
 
@@ -364,7 +390,7 @@ def regime_labels(spark, sf_dir):
 
 @query("features_with_regime")
 def features_with_regime(spark, sf_dir):
-    return features(stages.long_bars(spark, sf_dir))
+    return features(stages.market_data(spark, sf_dir))
 
 
 @query("target_5d", sql.with_(sql.BARS, final=f"""
@@ -400,7 +426,7 @@ def features_prices(spark, sf_dir):
     from bars a join bars r on a.date = r.date where a.ticker = 'A' and r.ticker = 'R'"""))
 def merge_on_date(spark, sf_dir):
     """Two single-ticker frames merged on the date alone."""
-    bars = stages.long_bars(spark, sf_dir)
+    bars = tables.long_bars(spark, sf_dir)
     one = bars.where("ticker = 'A'").select("date", F.col("close").alias("close_a"))
     other = bars.where("ticker = 'R'").select("date", F.col("close").alias("close_r"))
     return one.join(other, "date")
@@ -446,9 +472,45 @@ def adf_test(spark, sf_dir):
     returns = indicators.simple_return(
         stages.market_data(spark, sf_dir).select("ticker", "date", "close"), 1, "return_1d"
     )
-    return stationarity.adf_test(returns, "close").unionByName(
-        stationarity.adf_test(returns, "return_1d")
-    )
+    return stationarity.adf_test(returns, ["close", "return_1d"])
+
+
+def _adf_lag_sql(lags):
+    """The test's regression by partialling out the lagged differences one after the other."""
+    by_ticker = "partition by ticker"
+
+    def without(name, by):
+        return (f"{name} - regr_slope({name}, {by}) over ({by_ticker}) * {by}"
+                f" - regr_intercept({name}, {by}) over ({by_ticker}) as {name}")
+
+    back = ", ".join(f"lag(d, {k}) over ({sql.BY_DAY}) as d{k}" for k in range(1, lags + 1))
+    inner = f"""select ticker, d as dx, x, {back} from (
+        select ticker, date, close - lag(close) over ({sql.BY_DAY}) as d, lag(close) over ({sql.BY_DAY}) as x from bars)"""
+    inner = f"select * from ({inner}) where d{lags} is not null"
+    for k in range(1, lags + 1):
+        rest = ["dx", "x", *(f"d{j}" for j in range(k + 1, lags + 1))]
+        inner = f"select ticker, {', '.join(without(c, f'd{k}') for c in rest)} from ({inner})"
+    return sql.with_(sql.BARS, final=f"""
+        select ticker, {lags} as used_lags,
+               round(sum(x * dx) / sum(x * x) / sqrt((sum(dx * dx) - sum(x * dx) * sum(x * dx) / sum(x * x))
+                     / (count(*) - {lags + 2}) / sum(x * x)), 3) as statistic
+        from ({inner}) group by ticker having count(*) > 60""")
+
+
+def _adf_with_lags(spark, sf_dir, lags):
+    result = stationarity.adf_test(stages.market_data(spark, sf_dir), "close", lags=lags)
+    long = result.where(F.col("observations") - lags - 1 > 60)
+    return rounded(long.select("ticker", "used_lags", "statistic"), ["statistic"], 3)
+
+
+@query("adf_test_lag1", _adf_lag_sql(1))
+def adf_test_lag1(spark, sf_dir):
+    return _adf_with_lags(spark, sf_dir, 1)
+
+
+@query("adf_test_lag2", _adf_lag_sql(2))
+def adf_test_lag2(spark, sf_dir):
+    return _adf_with_lags(spark, sf_dir, 2)
 
 
 @query("adf_test_lag0", sql.with_(sql.BARS, final=f"""

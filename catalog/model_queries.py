@@ -395,65 +395,143 @@ def run_log(spark, sf_dir):
     return counted
 
 
-# ---- tree models and comparisons (no SQL counterpart) ---------------------------------------------
-
-
-def _long(spark, sf_dir):
-    return stages.long_dataset(spark, sf_dir)
+# ---- tree models ------------------------------------------------------------------------------------
+
+
+STUMP = {"n_estimators": 1, "max_depth": 1, "learning_rate": 1.0, "min_child_weight": 1, "reg_lambda": 0.0}
+
+
+@query("stump_holdout", sql.with_(
+    *sql.TO_DATASET,
+    ("stump_rows", """
+      select ticker, date, rn < floor(n * 0.8e0) as train, target_5d,
+             cast(date_diff('day', date '1970-01-01', date) % 11 as integer) as day
+      from dataset
+      where floor(n * 0.8e0) between 1 and n - 1"""),
+    ("stump_means", "select ticker, avg(target_5d) as mean from stump_rows where train group by 1"),
+    ("stump_sums", """
+      select ticker, day, count(*) as n, sum(target_5d) as s from stump_rows where train group by 1, 2"""),
+    ("stump_cuts", """
+      select a.ticker, a.day as cut,
+             sum(b.n) filter (b.day <= a.day) as ln, sum(b.s) filter (b.day <= a.day) as ls,
+             sum(b.n) filter (b.day > a.day) as rn, sum(b.s) filter (b.day > a.day) as rs
+      from stump_sums a join stump_sums b on a.ticker = b.ticker group by 1, 2"""),
+    ("stump_best", """
+      select * from stump_cuts where rn is not null
+      qualify row_number() over (partition by ticker order by ls * ls / ln + rs * rs / rn desc, cut) = 1"""),
+    final="""
+    select r.ticker, r.date, round(r.target_5d, 6) + 0.0 as actual,
+           round(case when b.cut is null then m.mean
+                      when r.day <= b.cut then b.ls / b.ln else b.rs / b.rn end, 6) + 0.0 as prediction
+    from stump_rows r join stump_means m using (ticker) left join stump_best b on b.ticker = r.ticker
+    where not r.train"""))
+def stump_holdout(spark, sf_dir):
+    """One unshrunken tree of depth 1 on a whole-numbered feature: the same cuts as in SQL."""
+    dataset = stages.core_dataset(spark, sf_dir).withColumn("day", F.unix_date("date") % 11)
+    rows = trees.tree_predictions(dataset, splits.Holdout(), ["day"], {"Stump": trees.boosting(STUMP)})
+    return _rounded_predictions(rows).select("ticker", "date", "actual", "prediction")
 
 
 @query("rf_holdout")
 def rf_holdout(spark, sf_dir):
     models = {"RandomForest": trees.forest(**trees.VALIDATION_FOREST)}
-    return trees.tree_predictions(
-        _long(spark, sf_dir), splits.Holdout(), preset("full6"), models, stages.LONG_TICKERS
-    )
+    return trees.tree_predictions(stages.full_dataset(spark, sf_dir), splits.Holdout(), preset("full6"), models)
 
 
 @query("gbt_holdout")
 def gbt_holdout(spark, sf_dir):
-    return trees.tree_predictions(
-        _long(spark, sf_dir), splits.Holdout(), preset("core5"),
-        {"BoostedTrees": trees.boosting()}, stages.LONG_TICKERS,
-    )
+    models = {"BoostedTrees": trees.boosting()}
+    return trees.tree_predictions(stages.full_dataset(spark, sf_dir), splits.Holdout(), preset("core5"), models)
 
 
 @query("holdout_results")
 def holdout_results(spark, sf_dir):
-    predictions = evaluate.predict(
-        _long(spark, sf_dir), splits.Holdout(), "full6", evaluate.VALIDATION_MODELS,
-        stages.LONG_TICKERS, scaled_ridge=True,
-    )
-    return scoring.score(predictions)
+    models = {
+        "Naive": evaluate.Naive(),
+        "Ridge": evaluate.Ridge(scaled=True),
+        "RandomForest": trees.forest(**trees.VALIDATION_FOREST),
+    }
+    rows = evaluate.predict(stages.full_dataset(spark, sf_dir), splits.Holdout(), "full6", models)
+    return evaluate.require_every_model(scoring.score(rows), len(models))
 
 
 @query("tournament_predictions")
 def tournament_predictions(spark, sf_dir):
-    return evaluate.predict(
-        splits.development_rows(_long(spark, sf_dir)), stages.FOLDS, "core5",
-        evaluate.TOURNAMENT_MODELS, stages.LONG_TICKERS,
-    )
+    return stages.fitted_folds(spark, sf_dir)
+
+
+# The naive rows of the six-feature comparisons have SQL; their dataset holds the same rows as the
+# four-feature one, because the regime is never missing.
+
+
+@query("tournament_predictions_naive", sql.with_(
+    *sql.TO_DATASET, sql.DEVELOPMENT, sql.purged("development"), sql.FOLDS, final=f"""
+    select ticker, date, 'Naive' as model, round(target_5d, 6) + 0.0 as actual,
+           round((select avg(t.target_5d) from purged t where t.ticker = p.ticker and t.rn < p.size * p.test_fold), 6)
+             + 0.0 as prediction, test_fold as fold
+    from purged p where test_fold is not null"""))
+def tournament_predictions_naive(spark, sf_dir):
+    return _rounded_predictions(stages.fitted_folds(spark, sf_dir).where("model = 'Naive'"))
+
+
+@query("holdout_results_naive", sql.with_(*sql.TO_DATASET, (
+    "predictions", """
+    select ticker, 'Naive' as model, target_5d as actual, mean as prediction
+    from (select *, avg(target_5d) filter (rn < floor(n * 0.8e0)) over (partition by ticker) as mean from dataset)
+    where rn >= floor(n * 0.8e0)"""), sql.RESULTS, final=f"select ticker, model, {sql.rounded(SCORE_NAMES)} from results"))
+def holdout_results_naive(spark, sf_dir):
+    rows = evaluate.predict(stages.full_dataset(spark, sf_dir), splits.Holdout(), "full6", ["Naive"])
+    return rounded(scoring.score(rows), SCORE_NAMES)
+
+
+@query("multi_ticker_results_naive", sql.with_(
+    *sql.TO_DATASET, sql.WALK, ("predictions", """
+    select ticker, 'Naive' as model, target_5d as actual,
+           (select avg(t.target_5d) from dataset t where t.ticker = walk.ticker
+            and t.rn < 995 + 100 * (walk.test_fold - 1)) as prediction
+    from walk where test_fold is not null"""), sql.RESULTS,
+    final=f"select ticker, model, {sql.rounded(SCORE_NAMES)} from results"))
+def multi_ticker_results_naive(spark, sf_dir):
+    validation = evaluate.multi_ticker_validation(stages.full_dataset(spark, sf_dir), "full6", models=["Naive"])
+    return rounded(validation.results, SCORE_NAMES)
+
+
+# ---- whole comparisons, read back from what they write ------------------------------------------------
 
 
 @query("tournament")
 def tournament(spark, sf_dir):
-    outcome = evaluate.tournament(_long(spark, sf_dir), "core5", stages.LONG_TICKERS)
+    folder = fresh_path(spark, "tournament")
+    outcome = evaluate.tournament(stages.full_dataset(spark, sf_dir), "core5", folder=folder)
+    results = outputs.read_csv(spark, f"{folder}/results", RESULTS)
+    holdout = outputs.read_csv(spark, f"{folder}/holdout_results", RESULTS)
+    holdout = holdout.select("ticker", "model", F.col("rmse").alias("holdout_rmse"))
+    runs = outputs.read_runs(spark, f"{folder}/runs").select(
+        F.col("params")["ticker"].alias("ticker"), F.col("params")["model"].alias("model"), F.size("params").alias("params")
+    )
     winner = outcome.winner.select("ticker", F.col("model").alias("winner"))
-    holdout = outcome.holdout.select("ticker", "model", F.col("rmse").alias("holdout_rmse"))
-    return outcome.results.join(holdout, ["ticker", "model"]).join(winner, "ticker")
+    return results.join(holdout, ["ticker", "model"]).join(runs, ["ticker", "model"]).join(winner, "ticker")
 
 
 @query("multi_ticker_results")
 def multi_ticker_results(spark, sf_dir):
-    validation = evaluate.multi_ticker_validation(
-        _long(spark, sf_dir), "full6", stages.LONG_TICKERS
-    )
-    return evaluate.require_results(validation.results)
+    folder = fresh_path(spark, "validation")
+    evaluate.multi_ticker_validation(stages.full_dataset(spark, sf_dir), "full6", folder=folder)
+    return evaluate.require_results(outputs.read_csv(spark, f"{folder}/results", RESULTS))
 
 
 @query("param_search")
 def param_search(spark, sf_dir):
-    return trees.param_search(
-        splits.development_rows(_long(spark, sf_dir)), stages.FOLDS, CORE4,
-        stages.LONG_TICKERS, trials=2,
+    return stages.searched(spark, sf_dir)
+
+
+@query("tuned_model")
+def tuned_model(spark, sf_dir):
+    """Best of 20 candidates of every ticker, refitted and scored on the holdout, with its run."""
+    folder = fresh_path(spark, "tuned")
+    dataset, search = stages.core_dataset(spark, sf_dir), stages.searched(spark, sf_dir)
+    tuned = evaluate.tuned_model(dataset, CORE4, folder=folder, search=search)
+    runs = outputs.read_runs(spark, f"{folder}/runs").select(
+        F.col("params")["ticker"].alias("ticker"), F.col("metrics")["cv_mse"].alias("cv_mse")
     )
+    return tuned.results.join(runs, "ticker")

@@ -31,7 +31,7 @@ CLEAN = ("clean", f"""
     from kept""")
 
 
-def ema(column: str, alpha: str, source: str = "") -> str:
+def ema(column: str, alpha: str) -> str:
     return (f"list_reduce(list({column}) over ({BY_DAY} rows between 600 preceding and current row),"
             f" lambda acc, x: acc * (1 - {alpha}) + x * {alpha})")
 
@@ -75,7 +75,6 @@ DATASET = ("dataset", f"""
     where target_5d is not null""")
 
 TO_DATASET = (BARS, MOVES, INDICATORS, FEATURES, DATASET)
-TO_LONG_DATASET = (LONG_BARS, MOVES, INDICATORS, FEATURES, DATASET)
 
 # Three purged folds: test rows carry test_fold, training rows of fold f have rn < size * f.
 def purged(source: str) -> tuple[str, str]:

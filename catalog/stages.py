@@ -9,8 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.plans import linear, splits
-from barloom.plans.dataset import positioned_dataset
+from barloom.plans import evaluate, linear, splits, trees
+from barloom.plans.dataset import positioned_dataset, preset
 from barloom.plans.features import features, numeric_features
 from barloom.schemas import TARGET
 from barloom.session import stage
@@ -50,26 +50,46 @@ def core_dataset(spark, sf_dir) -> DataFrame:
     return _once(spark, sf_dir, "core_dataset", build)
 
 
-def long_bars(spark, sf_dir) -> DataFrame:
-    return _once(spark, sf_dir, "long_bars", lambda: tables.long_bars(spark, sf_dir))
+def full_features(spark, sf_dir) -> DataFrame:
+    """All six features of every ticker."""
+    return _once(spark, sf_dir, "full_features", lambda: features(market_data(spark, sf_dir)))
 
 
-def long_features(spark, sf_dir) -> DataFrame:
-    return _once(spark, sf_dir, "long_features", lambda: features(long_bars(spark, sf_dir)))
-
-
-def long_dataset(spark, sf_dir) -> DataFrame:
-    """Positioned ``full6`` dataset of the long series."""
+def full_dataset(spark, sf_dir) -> DataFrame:
+    """Positioned ``full6`` dataset of every ticker."""
 
     def build():
         return positioned_dataset(
-            long_features(spark, sf_dir), long_bars(spark, sf_dir), "full6"
+            full_features(spark, sf_dir), market_data(spark, sf_dir), "full6"
         )
 
-    return _once(spark, sf_dir, "long_dataset", build)
+    return _once(spark, sf_dir, "full_dataset", build)
+
+
+def fitted_folds(spark, sf_dir) -> DataFrame:
+    """Out-of-sample rows of the four tournament models over the purged development folds."""
+
+    def build():
+        development = splits.development_rows(full_dataset(spark, sf_dir))
+        return evaluate.predict(development, FOLDS, "core5", evaluate.TOURNAMENT_MODELS)
+
+    return _once(spark, sf_dir, "fitted_folds", build)
+
+
+def searched(spark, sf_dir) -> DataFrame:
+    """20 candidates of every ticker over the purged development folds."""
+
+    def build():
+        development = splits.development_rows(core_dataset(spark, sf_dir))
+        return trees.param_search(development, FOLDS, preset("core4"))
+
+    return _once(spark, sf_dir, "searched", build)
 
 
-LONG_TICKERS = ["A", "N", "R"]
+def builders() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """The stage tables in the order in which each needs the ones before it."""
+    found = [market_data, feature_rows, core_dataset, full_features, full_dataset]
+    return {f.__name__: f for f in found}
 
 
 def predictions(spark, sf_dir) -> DataFrame:

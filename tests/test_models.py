@@ -8,13 +8,15 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
+from barloom.functions import histogram_trees
 from barloom.operators.sequences import sequence_windows, too_short
 from barloom.operators.series import with_positions
 from barloom.plans import evaluate, linear, scoring, splits, trees
 from barloom.plans.dataset import modeling_dataset, preset
 from barloom.plans.features import numeric_features
 from barloom.schemas import PREDICTIONS, RESULTS
-from barloom.session import stage
+from barloom.session import fresh_path, stage
+from barloom.sources import outputs
 from tests.frames import bars_frame, days, ordered, walk
 
 FEATURES = ["rsi_14", "macd", "volatility_20d", "regime", "return_1d"]
@@ -65,7 +67,7 @@ def test_ridge_equals_spark_linear_regression(spark):
     df = dataset(spark, part)
     names = ["rsi_14", "macd", "volatility_20d", "return_1d"]
     ours = linear.ridge_coefficients(
-        linear.expanding_sums(df, splits.Holdout(), names), names
+        linear.training_moments(df, splits.Holdout(), names), names
     ).first()
     train = VectorAssembler(inputCols=names, outputCol="features").transform(df.where("rn < 200"))
     spread = train.select(F.stddev_samp("target_5d")).first()[0] * sqrt(199 / 200)
@@ -73,7 +75,7 @@ def test_ridge_equals_spark_linear_regression(spark):
         labelCol="target_5d", regParam=1.0 / 200 * spread, elasticNetParam=0.0,
         standardization=True, solver="normal",
     ).fit(train)
-    np.testing.assert_allclose(ours.coefficients, model.coefficients.toArray(), rtol=2e-3)
+    np.testing.assert_allclose(ours.coefficients, model.coefficients.toArray(), rtol=1e-9)
 
 
 def test_naive_predicts_the_training_mean_of_each_fold(spark):
@@ -201,11 +203,79 @@ def test_sequences_stay_inside_their_role(spark):
     assert [r.ticker for r in too_short(df).collect()] == ["B"]
 
 
-def test_unknown_model_and_missing_ticker_list(spark):
-    with pytest.raises(ValueError, match="Unknown model"):
-        trees.create_model("Oracle")
-    with pytest.raises(ValueError, match="tickers"):
-        evaluate.predict(dataset(spark, sample("A", 60)), splits.Holdout(), FEATURES, ["RandomForest"])
+def test_models_by_name():
+    assert evaluate.create_model("Ridge") == evaluate.Ridge(1.0, False)
+    assert evaluate.create_model("BoostedTrees").params == trees.TUNED_BOOSTING
+    with pytest.raises(ValueError, match="Oracle"):
+        evaluate.create_model("Oracle")
+
+
+def test_an_incomplete_set_of_models_is_refused(spark):
+    rows = [("A", "M", 0.1, 0.2), ("A", "N", 0.1, 0.2), ("B", "M", 0.1, 0.2)]
+    with pytest.raises(ValueError, match="B has results of 1 models instead of 2"):
+        evaluate.require_every_model(scoring.score(predictions(spark, rows)), 2)
+
+
+def test_a_grown_tree_equals_the_best_cuts_by_brute_force():
+    rng = np.random.RandomState(0)
+    x = rng.randn(90, 3)
+    x[:, 2] = np.round(x[:, 2])
+    y = rng.randn(90)
+
+    def best(rows, depth):
+        mean = y[rows].mean()
+        found = (1e-12, None)
+        for f in range(3) if depth and len(rows) > 1 else []:
+            for v in np.unique(x[rows, f])[:-1]:
+                left, right = rows[x[rows, f] <= v], rows[x[rows, f] > v]
+                if min(len(left), len(right)) < 4:
+                    continue
+                gain = y[left].sum() ** 2 / len(left) + y[right].sum() ** 2 / len(right) - len(rows) * mean**2
+                if gain > found[0] + 1e-12:
+                    found = (gain, (left, right))
+        if found[1] is None:
+            return {r: mean for r in rows}
+        return best(found[1][0], depth - 1) | best(found[1][1], depth - 1)
+
+    bins = histogram_trees.Bins(x)
+    codes = bins.codes(x)
+    tree = histogram_trees.grow(codes, bins.width, y, np.ones(90, int), 3, np.arange(3), 4)
+    want = best(np.arange(90), 3)
+    np.testing.assert_allclose(tree.predict(codes), [want[i] for i in range(90)])
+
+
+def test_boosting_shrinks_every_tree_from_the_mean_and_penalises_leaves():
+    x = np.repeat([0.0, 1.0], 50)[:, None]
+    y = np.where(x[:, 0] > 0, 1.0, -1.0)
+    one = dict(n_estimators=1, max_depth=1, reg_lambda=0.0, seed=0)
+    assert histogram_trees.boosted(x, y, x, learning_rate=0.1, **one)[-1] == pytest.approx(0.1)
+    many = histogram_trees.boosted(x, y, x, learning_rate=0.1, **(one | {"n_estimators": 5}))
+    assert many[-1] == pytest.approx(1 - 0.9**5)
+    l2 = histogram_trees.boosted(x, y, x, learning_rate=1.0, **(one | {"reg_lambda": 50.0}))
+    assert l2[-1] == pytest.approx(0.5)
+    l1 = histogram_trees.boosted(x, y, x, learning_rate=1.0, reg_alpha=10.0, **one)
+    assert l1[-1] == pytest.approx(0.8)
+    heavy = histogram_trees.boosted(x, y, x, learning_rate=1.0, min_child_weight=51, **one)
+    assert heavy[-1] == pytest.approx(0.0)
+
+
+def test_the_number_of_jobs_does_not_grow_with_fits(spark):
+    def jobs(tickers, trials):
+        df = stage(dataset(spark, *[sample(f"T{i}", 80, i) for i in range(tickers)]), "t-data")
+        spark.sparkContext.setJobGroup(f"fits-{tickers}-{trials}", "")
+        candidates = [{"n_estimators": 2, "max_depth": 2, "learning_rate": 0.1}] * trials
+        trees.param_search(df, splits.PurgedFolds(2, 5), FEATURES, candidates=candidates).collect()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"fits-{tickers}-{trials}"))
+
+    assert jobs(1, 1) == jobs(5, 4)
+
+
+def test_ridge_keeps_its_precision_on_shifted_features(spark):
+    part = sample("A", 300)
+    plain = ordered(linear.ridge_predictions(dataset(spark, part), splits.PurgedFolds(3, 5), FEATURES))
+    moved = part.assign(macd=part["macd"] + 1e7, rsi_14=part["rsi_14"] - 1e5)
+    shifted = ordered(linear.ridge_predictions(dataset(spark, moved), splits.PurgedFolds(3, 5), FEATURES))
+    np.testing.assert_allclose(shifted["prediction"], plain["prediction"], rtol=0, atol=1e-7)
 
 
 def test_candidates_lie_in_the_search_space_and_are_repeatable():
@@ -219,22 +289,28 @@ def test_candidates_lie_in_the_search_space_and_are_repeatable():
 
 def test_forest_beats_the_mean_on_a_learnable_target(spark):
     df = stage(dataset(spark, sample("A", 400), sample("B", 400, 2)), "t-data")
-    outcome = evaluate.tournament(df, FEATURES, ["A", "B"], ("Naive", "Ridge", "RandomForest"))
+    folder = fresh_path(spark, "t-tournament")
+    models = ("Naive", "Ridge", "RandomForest", "BoostedTrees")
+    outcome = evaluate.tournament(df, FEATURES, models=models, folder=folder)
+    runs = {(r.params["ticker"], r.params["model"]): r for r in outputs.read_runs(spark, f"{folder}/runs").collect()}
+    assert len(runs) == 8 and runs["A", "BoostedTrees"].params["xgb_max_depth"] == "7"
+    assert outputs.read_csv(spark, f"{folder}/results", RESULTS).count() == 8
+    assert outputs.read_csv(spark, f"{folder}/predictions", PREDICTIONS).count() == outcome.predictions.count()
     results = {(r.ticker, r.model): r for r in outcome.results.collect()}
-    assert len(results) == 6
+    assert len(results) == 8
     for ticker in "AB":
         assert results[(ticker, "RandomForest")].rmse < results[(ticker, "Naive")].rmse
         assert results[(ticker, "Ridge")].rmse < results[(ticker, "Naive")].rmse
     assert {r.ticker for r in outcome.winner.collect()} == {"A", "B"}
-    assert outcome.holdout.count() == 6
+    assert outcome.holdout.count() == 8
     counts = {r["count"] for r in outcome.predictions.groupBy("ticker", "model").count().collect()}
     assert len(counts) == 1
 
 
 def test_search_scores_every_candidate(spark):
     df = stage(dataset(spark, sample("A", 120)), "t-data")
-    candidates = [{"n_estimators": 3, "max_depth": 2}, {"n_estimators": 5, "max_depth": 2}]
-    search = trees.param_search(df, splits.PurgedFolds(2, 5), FEATURES, ["A"], candidates=candidates)
+    candidates = [{"n_estimators": n, "max_depth": 2, "learning_rate": 0.1} for n in (3, 5)]
+    search = trees.param_search(df, splits.PurgedFolds(2, 5), FEATURES, candidates=candidates)
     rows = search.orderBy("trial").collect()
     assert [r.params["n_estimators"] for r in rows] == [3.0, 5.0]
     best = trees.best_params(search).first()
@@ -243,9 +319,21 @@ def test_search_scores_every_candidate(spark):
 
 def test_validation_lists_skipped_tickers_and_empty_results_raise(spark):
     df = dataset(spark, sample("A", 1100), sample("B", 300, 1))
-    run = evaluate.multi_ticker_validation(df, FEATURES, models=("Naive", "Ridge"))
+    folder = fresh_path(spark, "t-validation")
+    run = evaluate.multi_ticker_validation(df, FEATURES, models=("Naive", "Ridge"), folder=folder)
+    assert [r.model for r in run.summary.collect()] and outputs.read_runs(spark, f"{folder}/runs").count() == 2
     assert {r.ticker for r in run.results.collect()} == {"A"}
     assert [(r.ticker, r.row_count) for r in run.skipped.collect()] == [("B", 300)]
     short = evaluate.multi_ticker_validation(df.where("ticker = 'B'"), FEATURES, models=("Naive",))
     with pytest.raises(RuntimeError):
         evaluate.require_results(short.results)
+
+
+def test_the_best_candidate_is_refitted_and_logged(spark):
+    df = stage(dataset(spark, sample("A", 150), sample("B", 160, 1)), "t-data")
+    folder = fresh_path(spark, "t-tuned")
+    tuned = evaluate.tuned_model(df, FEATURES, trials=3, folder=folder)
+    assert tuned.search.count() == 6 and tuned.best.count() == 2
+    assert {r.ticker: r["count"] for r in tuned.predictions.groupBy("ticker").count().collect()} == {"A": 30, "B": 32}
+    runs = outputs.read_runs(spark, f"{folder}/runs").collect()
+    assert {r.params["ticker"] for r in runs} == {"A", "B"} and all("cv_mse" in r.metrics and "max_depth" in r.params for r in runs)
