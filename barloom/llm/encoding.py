@@ -19,7 +19,8 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: A run of letters, the rest of a word from an apostrophe on (contractions), or a run of other characters.
 _BYTE_PIECES = re.compile(rf" ?[{_LETTERS}]+| ?[^{_LETTERS}\s]*'\S*| ?[^{_LETTERS}\s]+|\n")
 _WORD_PIECES = re.compile(rf"[{_LETTERS}]+|[^{_LETTERS}\s]*'\S*|[^{_LETTERS}\s]+")
-_ALL_LETTERS = re.compile(rf"[{_LETTERS}]+")
+#: Pieces that the word vocabulary never cuts again.
+_ONE_WORD = re.compile(rf"[{_LETTERS}]+|[^{_LETTERS}\s0-9']+")
 _AMBIGUOUS_SPACE = (b"  ", b"\n\n", b" \n", b"\n ")
 _NEWLINE = "\n"
 
@@ -27,10 +28,11 @@ _NEWLINE = "\n"
 class PieceEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes.
 
-    ``max_pieces`` and ``max_words`` bound the memory; a full store is emptied and filled again.
+    ``max_pieces`` and ``max_words`` bound the memory: beyond them, what a call had to learn is
+    forgotten after it (frequent words come early).
     """
 
-    def __init__(self, path: str, max_pieces: int = 500_000, max_words: int = 250_000):
+    def __init__(self, path: str, max_pieces: int = 700_000, max_words: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -56,16 +58,16 @@ class PieceEncoder:
         others = []
         for at, text in enumerate(texts):
             if self._plain(text):
-                cut.append((at, text.split(" ")))
+                # the word vocabulary lowers its input: fewer distinct words to remember
+                cut.append((at, (text if self.spaced else text.lower()).split(" ")))
             else:
                 others.append(at)
         for at, ids in zip(others, self.whole([texts[at] for at in others]), strict=True):
             out[at] = ids
-        if len(self.words) > self.max_words:
-            self.words.clear()
         heads = {at: words[0] for at, words in cut}
-        wanted = {w for _, words in cut for w in words}
-        self._learn(wanted.difference(self.words), set(heads.values()))
+        wanted = set().union(*(words for _, words in cut))
+        new_words = wanted.difference(self.words)
+        new_pieces = self._learn(new_words, set(heads.values()))
         known, pieces = self.words.__getitem__, self.pieces
         for at, words in cut:
             if self.spaced:
@@ -73,6 +75,12 @@ class PieceEncoder:
                 out[at] = first + b"".join(map(known, words[1:]))
             else:
                 out[at] = b"".join(map(known, words))
+        if len(self.words) > self.max_words:
+            for word in new_words:
+                del self.words[word]
+        if len(self.pieces) > self.max_pieces:
+            for piece in new_pieces:
+                del self.pieces[piece]
         return out
 
     def _plain(self, text: str) -> bool:
@@ -81,24 +89,24 @@ class PieceEncoder:
             return False
         return not (self.spaced and (raw[-1:] in (b" ", b"\n") or any(s in raw for s in _AMBIGUOUS_SPACE)))
 
-    def _learn(self, words: set[str], heads: set[str]) -> None:
+    def _learn(self, words: set[str], heads: set[str]) -> set[str]:
         find = (lambda w: _BYTE_PIECES.findall(" " + w)) if self.spaced else _WORD_PIECES.findall
         parts = {w: find(w) for w in words}
         needed = {p for found in parts.values() for p in found}
         if self.spaced:
             needed.update(p for h in heads for p in _BYTE_PIECES.findall(h))
-        if len(self.pieces) > self.max_pieces:
-            self.pieces.clear()
-        self._ask(sorted(needed.difference(self.pieces)))
+        new = needed.difference(self.pieces)
+        self._ask(sorted(new))
         pieces = self.pieces
-        self.words.update((w, b"".join([pieces[p] for p in found])) for w, found in parts.items())
+        self.words.update((w, pieces[found[0]] if len(found) == 1 else b"".join([pieces[p] for p in found])) for w, found in parts.items())
+        return new
 
     def _ask(self, new: list[str], group: int = 2000) -> None:
         """Encode new pieces; many are joined by line ends into one text, which separates them again."""
         if not self.spaced:
-            alone = [p for p in new if not _ALL_LETTERS.fullmatch(p)]
+            alone = [p for p in new if not _ONE_WORD.fullmatch(p)]
             self.pieces.update(zip(alone, self.whole(alone), strict=True))
-            new = [p for p in new if _ALL_LETTERS.fullmatch(p)]
+            new = [p for p in new if _ONE_WORD.fullmatch(p)]
         elif _NEWLINE in new:
             self.pieces[_NEWLINE] = _packed([self.newline])
             new = [p for p in new if p != _NEWLINE]
