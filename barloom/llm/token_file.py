@@ -37,68 +37,80 @@ SHARD_IDS = 1 << 18
 
 def pack_blocks(ids: np.ndarray, block: int = BLOCK, percentile: float = PERCENTILE) -> tuple[np.ndarray, np.ndarray]:
     """(payload words, first word of each block) of an array of ids."""
-    n_blocks = -(-len(ids) // block)
-    parts: list[np.ndarray | None] = [None] * n_blocks
     full = len(ids) // block
-    if full:
-        table = ids[: full * block].reshape(full, block).astype(np.uint32)
-        low = table.min(axis=1)
-        table = table - low[:, None]
-        rank = min(block - 1, int(np.ceil(block * percentile / 100)) - 1)
-        at = np.partition(table, rank, axis=1)[:, rank]
-        widths = _bits(at)
-        for width in np.unique(widths):
-            rows = np.flatnonzero(widths == width)
-            for row, words in zip(rows.tolist(), _pack_rows(table[rows], low[rows], int(width)), strict=True):
-                parts[row] = words
-    if n_blocks > full:
-        tail = ids[full * block :].astype(np.uint32)
-        low = tail.min()
-        rank = min(len(tail) - 1, int(np.ceil(len(tail) * percentile / 100)) - 1)
-        width = int(_bits(np.sort(tail - low)[rank : rank + 1])[0])
-        parts[full] = _pack_rows((tail - low)[None, :], np.array([low]), width)[0]
-    starts = np.cumsum([0, *(len(p) for p in parts)])[:-1].astype(np.uint64)
-    return (np.concatenate(parts) if parts else np.zeros(0, np.uint32)), starts
+    payload, starts = _pack_rows(ids[: full * block].reshape(full, block).astype(np.uint32), percentile)
+    if len(ids) > full * block:
+        tail, _ = _pack_rows(ids[None, full * block :].astype(np.uint32), percentile)
+        payload, starts = np.concatenate([payload, tail]), np.append(starts, len(payload))
+    return payload, starts.astype(np.uint64)
 
 
 def _bits(values: np.ndarray) -> np.ndarray:
-    return np.ceil(np.log2(values.astype(np.float64) + 1)).astype(np.int64)
-
-
-def _pack_rows(diffs: np.ndarray, low: np.ndarray, width: int) -> list[np.ndarray]:
-    """Blocks of equal length and width."""
-    rows, length = diffs.shape
-    if width:
-        bits = ((diffs[:, :, None] >> np.arange(width, dtype=np.uint32)) & 1).astype(np.uint8).reshape(rows, length * width)
-        packed = np.packbits(bits, axis=1, bitorder="little")
-        packed = np.pad(packed, ((0, 0), (0, -packed.shape[1] % 4))).view("<u4")
-    else:
-        packed = np.zeros((rows, 0), "<u4")
-    over = diffs >> np.uint32(width) if width < 32 else np.zeros_like(diffs)
-    counts = (over > 0).sum(axis=1)
-    out = []
-    for row in range(rows):
-        head = np.array([low[row], width | int(counts[row]) << 8], "<u4")
-        if counts[row]:
-            where = np.flatnonzero(over[row])
-            places = np.zeros(len(where) + len(where) % 2, "<u2")
-            places[: len(where)] = where
-            out.append(np.concatenate([head, packed[row], places.view("<u4"), diffs[row][where].astype("<u4")]))
-        else:
-            out.append(np.concatenate([head, packed[row]]))
-    return out
+    """Binary digits of each value."""
+    return np.frexp(values.astype(np.float64))[1].astype(np.int64)
+
+
+def _pack_rows(table: np.ndarray, percentile: float) -> tuple[np.ndarray, np.ndarray]:
+    """The blocks in the rows of ``table``, one after the other, and their first words."""
+    rows, length = table.shape
+    if not rows:
+        return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+    low = table.min(axis=1)
+    diffs = table - low[:, None]
+    rank = min(length - 1, int(np.ceil(length * percentile / 100)) - 1)
+    widths = _bits(np.partition(diffs, rank, axis=1)[:, rank])
+    outliers = (diffs.astype(np.uint64) >> widths[:, None].astype(np.uint64)) > 0
+    exceptions = outliers.sum(axis=1)
+    words = -(-length * widths // 32)
+    half = -(-exceptions // 2)
+    sizes = 2 + words + half + exceptions
+    starts = np.cumsum(sizes) - sizes
+    payload = np.zeros(int(sizes.sum()), "<u4")
+    payload[starts] = low
+    payload[starts + 1] = widths | exceptions << 8
+    for width in np.unique(widths[widths > 0]).tolist():
+        own = np.flatnonzero(widths == width)
+        packed = _pack_bits(diffs[own], width)
+        payload[(starts[own] + 2)[:, None] + np.arange(packed.shape[1])] = packed
+    row, place = np.nonzero(outliers)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(exceptions) - exceptions, exceptions)
+    after = starts[row] + 2 + words[row]
+    payload.view("<u2")[2 * after + nth] = place
+    payload[after + half[row] + nth] = diffs[row, place]
+    return payload, starts
+
+
+def _pack_bits(values: np.ndarray, width: int) -> np.ndarray:
+    """The low ``width`` bits of the values of each row, side by side in 32-bit words."""
+    rows, length = values.shape
+    n_words = -(-length * width // 32)
+    columns = np.ascontiguousarray(values.T).astype(np.uint64) & np.uint64((1 << width) - 1)
+    sums = np.zeros((n_words + 1, rows), np.uint64)
+    for k in range(length):
+        word, shift = divmod(k * width, 32)
+        sums[word] |= columns[k] << np.uint64(shift)
+    sums[1:] |= sums[:-1] >> np.uint64(32)
+    return (sums[:n_words] & np.uint64(0xFFFFFFFF)).astype("<u4").T
+
+
+def _unpack_bits(words: np.ndarray, width: int, length: int) -> np.ndarray:
+    """[row, value] from the words of each row."""
+    columns = np.zeros((words.shape[1] + 1, len(words)), np.uint64)
+    columns[:-1] = words.T
+    columns[:-1] |= columns[1:] << np.uint64(32)
+    out = np.empty((length, len(words)), np.uint32)
+    mask = np.uint64((1 << width) - 1)
+    for k in range(length):
+        word, shift = divmod(k * width, 32)
+        out[k] = (columns[word] >> np.uint64(shift)) & mask
+    return out.T
 
 
 def unpack_block(words: np.ndarray, length: int) -> np.ndarray:
     """Ids of one block, whose words may be followed by others."""
     low, width, exceptions = int(words[0]), int(words[1]) & 0xFF, int(words[1]) >> 8
     n_words = -(-length * width // 32)
-    if width:
-        bits = np.unpackbits(words[2 : 2 + n_words].view(np.uint8), bitorder="little")[: length * width]
-        bits = np.pad(bits.reshape(length, width), ((0, 0), (0, 32 - width)))
-        ids = np.packbits(bits, axis=1, bitorder="little").view("<u4").ravel()
-    else:
-        ids = np.zeros(length, np.uint32)
+    ids = _unpack_bits(words[None, 2 : 2 + n_words], width, length)[0] if width else np.zeros(length, np.uint32)
     if exceptions:
         at = 2 + n_words
         half = -(-exceptions // 2)
@@ -168,14 +180,14 @@ class Shard:
             n_words = -(-self.block * width // 32)
             if width:
                 words = self.payload[(self.starts[rows] + 2)[:, None] + np.arange(n_words)]
-                bits = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")[:, : self.block * width]
-                bits = np.pad(bits.reshape(len(rows), self.block, width), ((0, 0), (0, 0), (0, 32 - width)))
-                table[rows] = np.packbits(bits, axis=2, bitorder="little").view("<u4")[:, :, 0]
-            for row in rows[exceptions[rows] > 0].tolist():
-                at, many = self.starts[row] + 2 + n_words, int(exceptions[row])
-                half = -(-many // 2)
-                table[row, self.payload[at : at + half].view("<u2")[:many]] = self.payload[at + half : at + half + many]
-            table[rows] += self.payload[self.starts[rows]][:, None]
+                table[rows] = _unpack_bits(words, width, self.block)
+            many = exceptions[rows].astype(np.int64)
+            row = np.repeat(rows, many)
+            nth = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+            after = self.starts[row] + 2 + n_words
+            place = self.payload.view("<u2")[2 * after + nth]
+            table[row, place] = self.payload[after + np.repeat(-(-many // 2), many) + nth]
+        table += self.payload[self.starts[:full]][:, None]
         if full < len(self.starts):
             rest = self.n_ids - full * self.block
             out[full * self.block :][:rest] = unpack_block(self.payload[self.starts[full] :], rest)
