@@ -2,8 +2,9 @@
 
 A page is a sequence of tokens: opening and closing tags with their path, and text runs with theirs.
 Over the pages of a host, a token's occurrence vector says how often it stands on each page. Tokens
-with equal vectors form an equivalence class. A class on most pages whose tokens stand in one order
-is valid; valid classes nest by the stretch of page they span, and together are the host's template.
+with equal vectors form an equivalence class. A class on at least half of the pages is valid, its
+tokens ordered by their mean place; valid classes nest by the stretch of page they span, and
+together are the host's template.
 What varies lies in the slots between its tokens. The slot of the article is the region whose
 element the template marks as such, or else the innermost element that holds most varying text.
 
@@ -232,7 +233,8 @@ def templates(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
     tokens = stage_columns(_vectors(pages), "page-tokens")
     hosts = tokens.where("token = 0").select("host", F.col("pages").alias("n_pages"))
     frequent = tokens.where("token <> 0").join(hosts, "host").where((F.col("pages") > 1) & (F.col("pages") >= support * F.col("n_pages")))
-    member = F.struct((F.col("place") / F.col("pages")).alias("place"), "token", "path", "mass")
+    once = F.col("total") == F.col("pages")
+    member = F.struct((F.col("place") / F.col("pages")).alias("place"), "token", "path", "mass", once.alias("once"))
     classes = frequent.groupBy("host", "n_pages", "pages", "total", "v1", "v2", "v3").agg(F.sort_array(F.collect_list(member)).alias("tokens"))
     # a class of tokens on equally many places of each page is ordered by their mean places; it nests
     # in the classes that start before it and end after it
@@ -243,7 +245,8 @@ def templates(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
         "tokens",
     )
     nested = classes.groupBy("host", "n_pages").agg(F.sort_array(F.collect_list(whole)).alias("classes"))
-    every = F.filter(F.flatten(F.transform("classes", lambda c: c["tokens"])), lambda t: t["path"].isNotNull())
+    # a region is one element of a page
+    every = F.filter(F.flatten(F.transform("classes", lambda c: c["tokens"])), lambda t: t["path"].isNotNull() & t["once"])
     named = F.filter(every, lambda t: F.regexp_extract(t["path"], r"([^/]*)$", 1).rlike(rf"^({'|'.join(REGIONS)})(\.|$)"))
     most = F.array_max(F.transform(every, lambda t: t["mass"]))
     large = F.filter(every, lambda t: (t["mass"] >= REGION_SHARE * most) & (t["mass"] > 0))
