@@ -7,7 +7,7 @@ number of folds describe the whole split without listing index sets.
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -250,6 +250,39 @@ def fold_leak_check(splits: DataFrame) -> DataFrame:
     )
 
 
+def scheme_leak_check(df: DataFrame, scheme: Scheme) -> DataFrame:
+    """As :func:`fold_leak_check` for a positioned dataset, without writing the split out.
+
+    What a fold adds to the training rows is aggregated once and accumulated over the folds.
+    """
+    rn, n = _columns()
+    upto = Window.partitionBy("ticker").orderBy("fold").rowsBetween(Window.unboundedPreceding, 0)
+    added = train_entries(df, scheme).groupBy("ticker", "fold").agg(
+        F.count("*").alias("_added"), F.max("rn").alias("_last")
+    )
+    trained = added.select(
+        "ticker",
+        "fold",
+        F.sum("_added").over(upto).alias("train_rows"),
+        F.max("_last").over(upto).alias("last_train"),
+    )
+    leaks = scheme.first_train_fold(rn, n) <= F.col("fold")
+    tested = rows_under_test(df, scheme).withColumn("_leaks", leaks).groupBy("ticker", "fold").agg(
+        F.count("*").alias("test_rows"),
+        F.count_if("_leaks").alias("overlap"),
+        F.min("rn").alias("first_test"),
+    )
+    return tested.join(trained, ["ticker", "fold"], "left").select(
+        "ticker",
+        "fold",
+        "train_rows",
+        "test_rows",
+        "overlap",
+        (F.col("first_test") - F.col("last_train") - 1).alias("gap"),
+        (F.col("last_train") < F.col("first_test")).alias("ordered"),
+    )
+
+
 def date_ranges(df: DataFrame, keys=("ticker", "role")) -> DataFrame:
     return df.groupBy(*keys).agg(
         F.min("date").alias("first_date"),

@@ -86,9 +86,7 @@ def fold_report(spark, sf_dir):
              as ordered
     from folds f join purged p on p.ticker = f.ticker group by 1, 2"""))
 def fold_leak_check(spark, sf_dir):
-    return splits.fold_leak_check(
-        splits.assignments(stages.core_dataset(spark, sf_dir), stages.FOLDS)
-    )
+    return splits.scheme_leak_check(stages.core_dataset(spark, sf_dir), stages.FOLDS)
 
 
 @query("skipped_tickers", sql.with_(*sql.TO_DATASET, final="""

@@ -1,4 +1,5 @@
 import os
+import tempfile
 
 import pytest
 from pyspark.sql import SparkSession
@@ -11,6 +12,7 @@ def make_session():
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="barloom-tests-"))
         .config("spark.driver.memory", os.environ.get("TEST_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )

@@ -133,3 +133,10 @@ def test_fold_report_matches_rows(spark):
     assert report[("T100", 1, "purge")] == 2 and report[("T100", 3, "train")] == 36
     assert len(report) == 18
     assert splits.fold_report(df, splits.PurgedFolds(3, 0)).where("role = 'purge'").isEmpty()
+
+
+@pytest.mark.parametrize("scheme", [splits.PurgedFolds(3, 5), splits.WalkForward(40, 10, 3), splits.Holdout()])
+def test_leak_check_of_a_scheme_equals_the_one_over_rows(spark, scheme):
+    df = sized(spark, [70, 90])
+    written = splits.fold_leak_check(splits.assignments(df, scheme))
+    assert sorted(map(tuple, splits.scheme_leak_check(df, scheme).collect())) == sorted(map(tuple, written.collect()))
