@@ -1,9 +1,12 @@
 """Small helpers shared by the text operators."""
 
-from collections.abc import Iterable, Iterator
+import sys
+import types
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -40,6 +43,33 @@ def sliced(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[
         yield from slices(batch, column)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Smaller Arrow batches for the jobs that run inside: rows with long texts fill less memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def kept(key: tuple, build: Callable):
+    """A store that a Python worker keeps between tasks, built on first use. A worker keeps the
+    store of one operator at a time, so stages that share workers do not add up their memory.
+
+    Functions travel to workers by value, module variables with them; what outlives a task hangs
+    on an entry of the worker's own module table.
+    """
+    holder = sys.modules.setdefault("barloom_kept", types.ModuleType("barloom_kept"))
+    if getattr(holder, "key", None) != key:
+        holder.key = holder.store = None
+        holder.store = build()
+        holder.key = key
+    return holder.store
+
+
 #: Bytes of plain Latin text: line feed, printable ASCII and the Latin-1 letters.
 _PLAIN = bytes([10, *range(32, 127), *(c for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7))])
 
@@ -64,4 +94,4 @@ def _nullable(schema: dict) -> dict:
     return schema | {"fields": [field | {"nullable": True} for field in schema["fields"]]}
 
 
-__all__ = ["SLICE_CHARS", "documents", "fresh_path", "plain_latin", "sliced", "slices", "stage_columns", "staging_root"]
+__all__ = ["SLICE_CHARS", "arrow_rows", "documents", "fresh_path", "kept", "plain_latin", "sliced", "slices", "stage_columns", "staging_root"]

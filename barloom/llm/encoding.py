@@ -9,11 +9,10 @@ results always equal the library's.
 
 import os
 import re
-from functools import lru_cache
 
 import numpy as np
 
-from barloom.llm.common import plain_latin
+from barloom.llm.common import kept, plain_latin
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: A run of letters, the rest of a word from an apostrophe on (contractions), or a run of other characters.
@@ -32,7 +31,7 @@ class PieceEncoder:
     forgotten after it (frequent words come early).
     """
 
-    def __init__(self, path: str, max_pieces: int = 700_000, max_words: int = 500_000):
+    def __init__(self, path: str, max_pieces: int | None = None, max_words: int | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -44,7 +43,9 @@ class PieceEncoder:
         self.spaced = bool(newline)  # white space has ids of its own: byte-level vocabulary
         self.newline = newline[0] if newline else None
         self.word_end = np.array([t is not None and t.endswith("</w>") for t in self.tokens])
-        self.max_pieces, self.max_words = max_pieces, max_words
+        # the word vocabulary lowers its input and so meets fewer distinct words
+        self.max_pieces = max_pieces or (700_000 if self.spaced else 350_000)
+        self.max_words = max_words or (500_000 if self.spaced else 250_000)
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
@@ -130,7 +131,6 @@ def _packed(ids: list[int]) -> bytes:
     return np.array(ids, "<u4").tobytes()
 
 
-@lru_cache(maxsize=4)
 def piece_encoder(path: str) -> PieceEncoder:
-    """One encoder for each file in a Python worker, kept while the worker is reused."""
-    return PieceEncoder(path)
+    """The worker's encoder of a tokenizers file."""
+    return kept(("pieces", path), lambda: PieceEncoder(path))

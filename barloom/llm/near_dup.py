@@ -26,12 +26,13 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import documents, sliced, stage_columns
+from barloom.llm.common import arrow_rows, documents, kept, sliced, stage_columns
 from barloom.llm.components import components
 
 CHUNKS, LANES = 14, 6
 N_LANES = CHUNKS * LANES
 FAR = 40
+BATCH_ROWS = 1000  # rows that go to a Python worker together
 WORDS = 6  # longs that hold the 4-bit lanes, 16 in each
 
 _RANDOM = np.random.RandomState(20240229)
@@ -50,7 +51,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class _WordHashes(dict):
-    limit = 400_000
+    limit = 150_000
 
     def __missing__(self, word: bytes) -> int:
         from xxhash import xxh3_64_intdigest
@@ -61,9 +62,6 @@ class _WordHashes(dict):
         return value
 
 
-_HASHES = _WordHashes()
-
-
 def shingle_set(text: str | bytes, size: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles of ``size`` words. Words are split at ASCII
     white space after A-Z became a-z; a text of fewer words is one shingle, one without words none."""
@@ -71,7 +69,8 @@ def shingle_set(text: str | bytes, size: int) -> np.ndarray:
     words = raw.lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    own = np.array(list(map(_HASHES.__getitem__, words)), np.uint64)
+    hashes = kept(("words",), _WordHashes)
+    own = np.array(list(map(hashes.__getitem__, words)), np.uint64)
     width = min(size, len(words))
     n = len(own) - width + 1
     out = np.full(n, width, np.uint64)
@@ -198,14 +197,14 @@ def _confirmed(pairs: DataFrame, bodies: DataFrame, size: int, percent: int) ->
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restore = zstandard.ZstdDecompressor().decompress
-        kept: dict[int, tuple[bytes, np.ndarray]] = {}
+        held: dict[int, tuple[bytes, np.ndarray]] = {}
 
         def own_set(node: int, body: bytes) -> np.ndarray:
-            found = kept.get(node)
+            found = held.get(node)
             if found is None or found[0] != body:
-                if len(kept) >= 64:
-                    kept.clear()
-                kept[node] = found = (body, shingle_set(restore(body), size))
+                if len(held) >= 64:
+                    held.clear()
+                held[node] = found = (body, shingle_set(restore(body), size))
             return found[1]
 
         for batch in sliced(batches, "body_a"):
@@ -255,6 +254,11 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
     """
     if percent < 80:
         raise ValueError("signatures are laid out for a similarity of 80 percent or more")
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        return _grouped(docs, size, percent)
+
+
+def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
     signed = stage_columns(_signed(docs, size), "signed")
     with_set = signed.where("d1 is not null and doc_id is not null")
     classes = with_set.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))

@@ -9,13 +9,12 @@ bytes minus its merges. Counts of distinct pieces are remembered in the Python w
 import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from barloom.llm.common import documents, plain_latin, sliced
+from barloom.llm.common import documents, kept, plain_latin, sliced
 
 #: Fixed value: the cutting pattern of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -117,9 +116,9 @@ class PairMerger:
         return total
 
 
-@lru_cache(maxsize=2)
 def pair_merger(path: str) -> PairMerger:
-    return PairMerger(path)
+    """The worker's merger of a tokenizers file."""
+    return kept(("merges", path), lambda: PairMerger(path))
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512) -> DataFrame:
