@@ -26,7 +26,7 @@ WINDOW = 16
 #: A cut every 1,024 bytes on average, none closer than 256 bytes to the one before.
 CUT_BITS, LEAST_BYTES = 10, 256
 #: Bytes of ids a task remembers for chunks; the least recently used go first.
-CACHE_BYTES = 64_000_000
+CACHE_BYTES = 24_000_000
 _BASE = np.uint32(0x01000193)
 
 
