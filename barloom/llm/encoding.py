@@ -97,7 +97,7 @@ class PieceEncoder:
         if self.spaced:
             needed.update(p for h in heads for p in _BYTE_PIECES.findall(h))
         new = needed.difference(self.pieces)
-        self._ask(sorted(new))
+        self._ask(list(new))
         pieces = self.pieces
         self.words.update((w, pieces[found[0]] if len(found) == 1 else b"".join([pieces[p] for p in found])) for w, found in parts.items())
         return new
