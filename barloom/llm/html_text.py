@@ -5,8 +5,9 @@ Over the pages of a host, a token's occurrence vector says how often it stands o
 with equal vectors form an equivalence class. A class on at least half of the pages is valid, its
 tokens ordered by their mean place; valid classes nest by the stretch of page they span, and
 together are the host's template.
-What varies lies in the slots between its tokens. The slot of the article is the region whose
-element the template marks as such, or else the innermost element that holds most varying text.
+What varies lies in the slots between its tokens. The region of the article is the element that the
+template marks as such and that holds most varying text, or else the innermost element that holds
+all of it.
 
 Vectors are kept as sums of page hashes, which add up before any shuffle, so a host with a third of
 all pages is no hot spot. A template holds at most twice as many tokens as an average page has.
@@ -15,7 +16,7 @@ Pages whose host has no region of its own (a single page, no template) are read
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,8 +28,10 @@ from barloom.llm.common import sliced, stage_columns
 
 #: Share of a host's pages that a template token is on.
 SUPPORT = 0.5
-#: Share of a host's varying text that the region holds where no tag names it.
-REGION_SHARE = 0.7
+#: Different pages that a text has to be on before it counts as the template's and not the article's.
+LEAST_PAGES = 3
+#: Share of a host's varying text that a region named by its tag holds.
+NAMED_SHARE = 0.5
 TASK_TOKENS = 200_000
 
 # Element and class names of HTML pages.
@@ -41,7 +44,7 @@ BLOCKS = frozenset(
 )
 GAPS = frozenset("br td th".split())
 DROPPED = frozenset(
-    "head nav footer aside form script style noscript template iframe object svg canvas math button select datalist "
+    "head nav footer aside form script style noscript template iframe object svg canvas button select datalist "
     "dialog menu audio video map".split()
 )
 DROPPED_NAMES = frozenset(
@@ -50,6 +53,10 @@ DROPPED_NAMES = frozenset(
     "popup promo promoted related replies share sharing sidebar site-footer site-header site-nav social sponsor sponsored "
     "subscribe toolbar widget".split()
 )
+#: Names that articles use too: where a host has a template, only what belongs to it is dropped by them.
+DOUBTFUL_NAMES = frozenset("banner disclaimer menu notice notices social toolbar widget".split())
+#: Endings that turn a compound name into a state of the page.
+STATES = frozenset("closed free hidden none off on open".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 REGIONS = ("article", "main")
 
@@ -59,6 +66,7 @@ _TOKEN = re.compile(
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)|\Z", re.I) for name in RAW}
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
 _PARTS = re.compile(r"[^\w-]+")
+_COMPOUND = re.compile(r"[-_]+")
 
 
 @dataclass(slots=True)
@@ -98,8 +106,9 @@ def events(page: str) -> Iterator[Event]:
             yield Event("close", name, "", "")
 
 
-def is_dropped(event: Event, inside: bool) -> bool:
-    """Whether an opening tag starts something that is no main text; ``inside``: within the region."""
+def is_dropped(event: Event, inside: bool, doubtful: bool = True) -> bool:
+    """Whether an opening tag starts something that is no main text; ``inside``: within the region;
+    ``doubtful``: also by names that articles use."""
     if event.name in DROPPED or event.name == "header" and not inside:
         return True
     if not event.marks or event.name in REGIONS or event.name in ("html", "body"):
@@ -107,48 +116,71 @@ def is_dropped(event: Event, inside: bool) -> bool:
     classes, own_id, role = event.marks.split("|")
     if role in DROPPED_ROLES:
         return True
-    return any(p in DROPPED_NAMES for p in _PARTS.split(f"{classes} {own_id}"))
+    names = DROPPED_NAMES if doubtful else DROPPED_NAMES - DOUBTFUL_NAMES
+    return any(_names(p, names) for p in _PARTS.split(f"{classes} {own_id}"))
 
 
-def _paths(page: str) -> Iterator[tuple[str, str, str]]:
-    """(kind, path, text) of the tokens that count for a template; dropped parts are one token each."""
+def _names(mark: str, names: frozenset[str]) -> bool:
+    """``ad``, or a compound that starts so: ``ad-slot``, ``ad__box``, but not ``ad-free``."""
+    if mark in names:
+        return True
+    first, *rest = _COMPOUND.split(mark)
+    return bool(rest) and first in names and rest[-1] not in STATES
+
+
+def _ends(own: list[Event]) -> dict[int, int]:
+    """Place of the closing tag of each opening tag that has one."""
+    found: dict[int, int] = {}
+    waiting: dict[str, list[int]] = {}
+    for at, event in enumerate(own):
+        if event.kind == "open":
+            waiting.setdefault(event.name, []).append(at)
+        elif event.kind == "close" and waiting.get(event.name):
+            found[waiting[event.name].pop()] = at
+    return found
+
+
+def _paths(own: list[Event], ends: dict[int, int]) -> Iterator[tuple[int, str, str, str]]:
+    """(place, kind, path, text) of the tokens that count for a template; dropped parts are one token
+    each, and one that is never closed is read as any element."""
     stack: list[str] = []
     names: list[str] = []
-    skip: list[str] = []
-    for event in events(page):
+    stop = -1
+    for at, event in enumerate(own):
+        if at <= stop:
+            continue
         if event.kind == "open":
-            if skip:
-                if event.name == skip[0] and event.name not in VOID:
-                    skip.append(event.name)
-                continue
             label = f"{event.name}.{event.marks}" if event.marks.strip("|") else event.name
-            if is_dropped(event, any(n in REGIONS for n in names)):
-                yield "drop", "/".join([*stack, label]), ""
-                if event.name not in VOID:
-                    skip = [event.name]
+            void = event.name in VOID
+            if (void or at in ends) and is_dropped(event, any(n in REGIONS for n in names)):
+                yield at, "drop", "/".join([*stack, label]), ""
+                if not void:
+                    stop = ends[at]
                 continue
-            if event.name in VOID:
+            if void:
                 continue
             if event.name in ("p", "li") and names and names[-1] == event.name:
                 stack.pop()
                 names.pop()
             stack.append(label)
             names.append(event.name)
-            yield "open", "/".join(stack), ""
+            yield at, "open", "/".join(stack), ""
         elif event.kind == "close":
-            if skip:
-                if event.name == skip[0]:
-                    skip.pop()
-                continue
             if event.name in names:
                 while names:
                     path = "/".join(stack)
                     stack.pop()
                     if names.pop() == event.name:
-                        yield "close", path, ""
+                        yield at, "close", path, ""
                         break
-        elif not skip and (text := event.text.strip()):
-            yield "text", "/".join(stack), text
+        elif text := event.text.strip():
+            yield at, "text", "/".join(stack), text
+
+
+def _token(kind: str, path: str, text: str) -> int:
+    from xxhash import xxh3_64_intdigest
+
+    return xxh3_64_intdigest(f"{kind} {path} {text}") - (1 << 63)
 
 
 def host_of(url: Column) -> Column:
@@ -156,32 +188,31 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url.cast("string"), F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-_TOKENS = "host string, token long, path string, pages long, total long, v1 long, v2 long, v3 long, place long, mass long"
+_TOKENS = "host string, token long, path string, pages long, total long, v1 long, v2 long, v3 long, place long, mass long, kind string, squares long, seen1 long, seen2 long"
 
 
 def _page_tokens(page: str) -> dict[int, list]:
-    """token -> [path of an opening tag or null, count, first place, characters of text inside]"""
-    from xxhash import xxh3_64_intdigest
-
-    found: dict[int, list] = {}
+    """token -> [kind, path, count, first place, characters of text (inside, for an opening tag)]; the
+    token 0 stands for the page itself"""
+    own = list(events(page))
+    found: dict[int, list] = {0: ["page", None, 1, 0, 0]}
     inside: dict[str, int] = {}
-    for place, (kind, path, text) in enumerate(_paths(page)):
-        token = xxh3_64_intdigest(f"{kind} {path} {text}") - (1 << 63)
-        if token in found:
-            found[token][1] += 1
-        else:
-            found[token] = [path if kind == "open" else None, 1, place, 0]
+    for place, (_, kind, path, text) in enumerate(_paths(own, _ends(own))):
+        entry = found.setdefault(_token(kind, path, text), [kind, path, 0, place, 0])
+        entry[2] += 1
         if kind == "text":
+            entry[4] += len(text)
             inside[path] = inside.get(path, 0) + len(text)
     masses: dict[str, int] = {}
     for path, mass in inside.items():
+        found[0][4] += mass
         parts = path.split("/")
         for n in range(1, len(parts) + 1):
-            own = "/".join(parts[:n])
-            masses[own] = masses.get(own, 0) + mass
+            above = "/".join(parts[:n])
+            masses[above] = masses.get(above, 0) + mass
     for entry in found.values():
-        if entry[0] is not None:
-            entry[3] = masses.get(entry[0], 0)
+        if entry[0] == "open":
+            entry[4] = masses.get(entry[1], 0)
     return found
 
 
@@ -194,12 +225,12 @@ def _vectors(pages: DataFrame) -> DataFrame:
         sums: dict[tuple[str, int], list] = {}
 
         def flush() -> pa.RecordBatch:
-            columns = [[], [], *([] for _ in range(8))]
+            columns = [[], [], *([] for _ in range(12))]
             for (host, token), values in sums.items():
                 for column, value in zip(columns, (host, token, *values), strict=True):
                     column.append(value)
             sums.clear()
-            kinds = [pa.string(), pa.int64(), pa.string(), *[pa.int64()] * 7]
+            kinds = [pa.string(), pa.int64(), pa.string(), *[pa.int64()] * 7, pa.string(), *[pa.int64()] * 3]
             names = [c.split(" ")[0] for c in _TOKENS.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
@@ -207,10 +238,11 @@ def _vectors(pages: DataFrame) -> DataFrame:
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 digest = xxh3_128_intdigest(page)
                 limbs = [(digest >> s) & 0x3FFFFFFF for s in (0, 30, 60)]
-                for token, (path, n, place, mass) in {0: [None, 1, 0, 0], **_page_tokens(page)}.items():
+                seen = [1 << digest % 63, 1 << digest % 61]
+                for token, (kind, path, n, place, mass) in _page_tokens(page).items():
                     own = sums.get((host, token))
                     if own is None:
-                        sums[host, token] = [path, 1, n, *(n * x for x in limbs), place, mass]
+                        sums[host, token] = [path, 1, n, *(n * x for x in limbs), place, mass, kind, n * n, *seen]
                     else:
                         own[1] += 1
                         own[2] += n
@@ -218,24 +250,38 @@ def _vectors(pages: DataFrame) -> DataFrame:
                             own[3 + k] += n * limbs[k]
                         own[6] += place
                         own[7] += mass
+                        own[9] += n * n
+                        own[10] |= seen[0]
+                        own[11] |= seen[1]
             if len(sums) > TASK_TOKENS:
                 yield flush()
         yield flush()
 
     per_task = pages.mapInArrow(count, _TOKENS)
-    sums = [F.sum(c).alias(c) for c in ("pages", "total", "v1", "v2", "v3", "place", "mass")]
-    return per_task.groupBy("host", "token").agg(F.max("path").alias("path"), *sums)
+    sums = [F.sum(c).alias(c) for c in ("pages", "total", "v1", "v2", "v3", "place", "mass", "squares")]
+    return per_task.groupBy("host", "token").agg(
+        F.max("path").alias("path"), F.max("kind").alias("kind"), *sums, *(F.bit_or(c).alias(c) for c in ("seen1", "seen2"))
+    )
 
 
 def templates(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
-    """``host, n_pages, classes, region`` from ``pages`` (``host``, ``html``): the valid classes as
-    arrays of (place, token, path), outermost first, and the path of the article's element or null."""
+    """``host, n_pages, classes, region, template`` from ``pages`` (``host``, ``html``): the valid
+    classes as arrays of tokens, outermost first; the path of the article's element or null; the
+    texts and dropped parts of the template, null for a host of fewer than ``LEAST_PAGES`` different
+    pages. Copies of one page are no template: a text has to be on so many different pages as well.
+    """
     tokens = stage_columns(_vectors(pages), "page-tokens")
-    hosts = tokens.where("token = 0").select("host", F.col("pages").alias("n_pages"))
+    # never more than there are: two different pages can share a bit
+    different = F.greatest(F.bit_count("seen1"), F.bit_count("seen2")).alias("different")
+    hosts = tokens.where("token = 0").select("host", F.col("pages").alias("n_pages"), F.col("mass").alias("n_chars"), different.alias("n_different"))
     frequent = tokens.where("token <> 0").join(hosts, "host").where((F.col("pages") > 1) & (F.col("pages") >= support * F.col("n_pages")))
     once = F.col("total") == F.col("pages")
-    member = F.struct((F.col("place") / F.col("pages")).alias("place"), "token", "path", "mass", once.alias("once"))
-    classes = frequent.groupBy("host", "n_pages", "pages", "total", "v1", "v2", "v3").agg(F.sort_array(F.collect_list(member)).alias("tokens"))
+    # as often on each page of the host
+    even = (F.col("pages") == F.col("n_pages")) & (F.col("squares") * F.col("pages") == F.col("total") * F.col("total"))
+    place = (F.col("place") / F.col("pages")).alias("place")
+    member = F.struct(place, "token", "path", "mass", "kind", once.alias("once"), even.alias("even"), different)
+    vector = ["pages", "total", "v1", "v2", "v3"]
+    classes = frequent.groupBy("host", "n_pages", "n_chars", "n_different", *vector).agg(F.sort_array(F.collect_list(member)).alias("tokens"))
     # a class of tokens on equally many places of each page is ordered by their mean places; it nests
     # in the classes that start before it and end after it
     whole = F.struct(
@@ -244,27 +290,63 @@ def templates(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
         "pages",
         "tokens",
     )
-    nested = classes.groupBy("host", "n_pages").agg(F.sort_array(F.collect_list(whole)).alias("classes"))
+    nested = classes.groupBy("host", "n_pages", "n_chars", "n_different").agg(F.sort_array(F.collect_list(whole)).alias("classes"))
+
+    def fixed(c: Column) -> Column:
+        """Texts and dropped parts of a class: those that come and go with a tag, or are on all pages alike."""
+        tagged = F.exists(c["tokens"], lambda t: t["kind"].isin("open", "close", "drop"))
+        return F.filter(c["tokens"], lambda t: t["kind"].isin("text", "drop") & (t["different"] >= LEAST_PAGES) & (tagged | t["even"]))
+
+    every = F.flatten(F.transform("classes", lambda c: c["tokens"]))
+    nested = nested.withColumn("fixed", F.flatten(F.transform("classes", fixed)))
     # a region is one element of a page
-    every = F.filter(F.flatten(F.transform("classes", lambda c: c["tokens"])), lambda t: t["path"].isNotNull() & t["once"])
-    named = F.filter(every, lambda t: F.regexp_extract(t["path"], r"([^/]*)$", 1).rlike(rf"^({'|'.join(REGIONS)})(\.|$)"))
-    most = F.array_max(F.transform(every, lambda t: t["mass"]))
-    large = F.filter(every, lambda t: (t["mass"] >= REGION_SHARE * most) & (t["mass"] > 0))
-    deepest = F.array_sort(large, lambda a, b: F.when(F.length(a["path"]) > F.length(b["path"]), -1).otherwise(1))
+    nested = nested.withColumn("elements", F.filter(every, lambda t: (t["kind"] == "open") & t["once"]))
+
+    def mass(of: Column) -> Column:
+        return F.aggregate(of, F.lit(0).cast("long"), lambda total, t: total + t["mass"])
+
+    def varying(element: Column) -> Column:
+        below = F.concat(element["path"], F.lit("/"))
+        return element["mass"] - mass(F.filter("fixed", lambda t: F.startswith(F.concat(t["path"], F.lit("/")), below)))
+
+    slots = F.transform("elements", lambda t: F.struct(t["path"].alias("path"), varying(t).alias("varying")))
+    nested = nested.withColumn("slots", slots).withColumn("slots_chars", F.col("n_chars") - mass(F.col("fixed")))
+    held = F.filter("slots", lambda t: t["varying"] > 0)
+    named = F.filter(
+        held,
+        lambda t: F.regexp_extract(t["path"], r"([^/]*)$", 1).rlike(rf"^({'|'.join(REGIONS)})(\.|$)") & (t["varying"] >= NAMED_SHARE * F.col("slots_chars")),
+    )
+    holding = F.filter(held, lambda t: t["varying"] == F.col("slots_chars"))
+    deepest = F.array_sort(holding, lambda a, b: F.when(F.length(a["path"]) > F.length(b["path"]), -1).otherwise(1))
     region = F.coalesce(F.get(named, F.lit(0))["path"], F.get(deepest, F.lit(0))["path"])
-    return nested.select("host", "n_pages", "classes", region.alias("region"))
+    template = F.when(F.col("n_different") >= LEAST_PAGES, F.array_sort(F.transform("fixed", lambda t: t["token"])))
+    return nested.select("host", "n_pages", "classes", region.alias("region"), template.alias("template"))
 
 
-def extract(page: str, region: str | None = None) -> list[str]:
+def extract(page: str, region: str | None = None, template: Iterable[int] | None = None) -> list[str]:
     """Blocks of main text in page order. ``region``: path of the element that holds the article on
-    pages of the host; a page without it is read by its ``article`` or ``main``, else whole."""
+    pages of the host; a page without it is read by its ``article`` or ``main``, else whole.
+    ``template``: tokens of the host's template, which are left out; a page that has nothing besides
+    them is read by markup alone, as without a template."""
     own = list(events(page))
-    goal = region.rsplit("/", 1)[-1] if region else None
-    span = _find(own, goal) if goal else None
+    ends = _ends(own)
+    tokens = list(_paths(own, ends)) if region or template else []
+    start = next((at for at, kind, path, _ in tokens if kind == "open" and path == region), None)
     for name in REGIONS:
-        span = span or _find(own, name)
-    inside = span is not None and own[span[0]].name in REGIONS
-    start, stop = span or (0, len(own))
+        if start is None:
+            start = next((at for at, event in enumerate(own) if event.kind == "open" and event.name == name), None)
+    span = (0, len(own)) if start is None else (start, ends.get(start, len(own) - 1) + 1)
+    inside = start is not None and own[start].name in REGIONS
+    if template is None:
+        return _blocks(own, ends, span, inside, None)
+    known = frozenset(template)
+    fixed = {at for at, kind, path, text in tokens if kind in ("text", "drop") and _token(kind, path, text) in known}
+    return _blocks(own, ends, span, inside, fixed) or _blocks(own, ends, span, inside, None)
+
+
+def _blocks(own: list[Event], ends: dict[int, int], span: tuple[int, int], inside: bool, fixed: set[int] | None) -> list[str]:
+    """Blocks of text of the events in ``span``, without the ``fixed`` ones (null: no template)."""
+    at, stop = span
     blocks: list[str] = []
     line: list[str] = []
 
@@ -275,20 +357,21 @@ def extract(page: str, region: str | None = None) -> list[str]:
                 blocks.append(text)
             line.clear()
 
-    at = start
     while at < stop:
         event = own[at]
         at += 1
         if event.kind == "text":
-            line.append(event.text)
+            line.append(" " if fixed and at - 1 in fixed else event.text)
             continue
         if event.name in BLOCKS:
             close()
         elif event.name in GAPS:
             line.append(" ")
         if event.kind == "open" and event.name not in VOID and is_dropped(event, inside):
-            end = _matching(own, at - 1, stop)
-            if end is not None:
+            if fixed is not None and at - 1 not in fixed and not is_dropped(event, inside, doubtful=False):
+                continue
+            end = ends.get(at - 1)
+            if end is not None and end < stop:
                 at = end + 1
                 if event.name in BLOCKS:
                     close()
@@ -296,26 +379,6 @@ def extract(page: str, region: str | None = None) -> list[str]:
     return blocks
 
 
-def _find(own: list[Event], label: str) -> tuple[int, int] | None:
-    """The stretch from the first element of that label (name, or name and marks) to its end."""
-    name, _, marks = label.partition(".")
-    for at, event in enumerate(own):
-        if event.kind == "open" and event.name == name and (not marks or event.marks == marks):
-            end = _matching(own, at, len(own))
-            return at, len(own) if end is None else end + 1
-    return None
-
-
-def _matching(own: list[Event], at: int, stop: int) -> int | None:
-    name, depth = own[at].name, 0
-    for k in range(at, stop):
-        if own[k].name == name:
-            depth += 1 if own[k].kind == "open" else -1 if own[k].kind == "close" else 0
-            if not depth:
-                return k
-    return None
-
-
 def main_text(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` of every row of ``pages`` (``page_id``, ``url``, ``html``).
 
@@ -333,8 +396,8 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "html"):
-            pairs = zip(batch.column("html").to_pylist(), batch.column("region").to_pylist(), strict=True)
-            texts = ["\n".join(extract(page, region)) for page, region in pairs]
+            rows = zip(*(batch.column(c).to_pylist() for c in ("html", "region")), strict=True)
+            texts = ["\n".join(extract(*row)) for row in rows]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 names=["page_id", "url", "text", "n_chars"],

@@ -69,6 +69,26 @@ def test_pages_of_the_table(spark):
         assert got[r.page_id] == "\n".join(b for b in blocks if b)
 
 
+def texts_of_host(spark, pages):
+    rows = [(i, f"http://a.example.com/{i}", page) for i, page in enumerate(pages)]
+    got = html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    return [r.text for r in sorted(got, key=lambda r: r.page_id)]
+
+
+def test_region_is_found_by_its_whole_path(spark):
+    page = "<html><body><div class='top'>Site name</div><div><p>alpha {0} x</p><p>beta {0} y</p></div></body></html>"
+    assert texts_of_host(spark, [page.format(i) for i in range(8)]) == [f"alpha {i} x\nbeta {i} y" for i in range(8)]
+    # the element that a path names, not the first of that name
+    nested = "<html><body><section><div>Start</div></section><div><div><p>alpha {0}</p></div><div class='x'>fix</div></div></body></html>"
+    assert texts_of_host(spark, [nested.format(i) for i in range(8)]) == [f"alpha {i}" for i in range(8)]
+
+
+def test_region_holds_a_heading_beside_one_long_paragraph(spark):
+    page = "<html><body><div>Site name</div><section><h2>Head {0}</h2><p>{1}</p></section><div>Low</div></body></html>"
+    texts = texts_of_host(spark, [page.format(i, f"long {i} " * 80) for i in range(8)])
+    assert texts == [f"Head {i}\n" + " ".join(f"long {i}".split() * 80) for i in range(8)]
+
+
 # ---- quality
 
 
