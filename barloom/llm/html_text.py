@@ -392,16 +392,16 @@ def main_text(pages: DataFrame) -> DataFrame:
         host_of(F.col("url")).alias("host"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
     )
-    regions = stage_columns(templates(own.select("host", "html")).select("host", "region"), "page-regions")
+    regions = stage_columns(templates(own.select("host", "html")).select("host", "region", "template"), "page-regions")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "html"):
-            rows = zip(*(batch.column(c).to_pylist() for c in ("html", "region")), strict=True)
+            rows = zip(*(batch.column(c).to_pylist() for c in ("html", "region", "template")), strict=True)
             texts = ["\n".join(extract(*row)) for row in rows]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 names=["page_id", "url", "text", "n_chars"],
             )
 
-    rows = own.join(regions, "host", "left").select("page_id", "url", "html", "region")
+    rows = own.join(regions, "host", "left").select("page_id", "url", "html", "region", "template")
     return rows.mapInArrow(read, "page_id long, url string, text string, n_chars long")

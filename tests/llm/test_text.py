@@ -81,6 +81,8 @@ def test_region_is_found_by_its_whole_path(spark):
     # the element that a path names, not the first of that name
     nested = "<html><body><section><div>Start</div></section><div><div><p>alpha {0}</p></div><div class='x'>fix</div></div></body></html>"
     assert texts_of_host(spark, [nested.format(i) for i in range(8)]) == [f"alpha {i}" for i in range(8)]
+    cells = "<table><tr><td>Menu of the site</td><td><p>alpha {0}</p><p>beta {0}</p></td></tr></table>"
+    assert texts_of_host(spark, [cells.format(i) for i in range(8)]) == [f"alpha {i}\nbeta {i}" for i in range(8)]
 
 
 def test_region_holds_a_heading_beside_one_long_paragraph(spark):
@@ -89,6 +91,35 @@ def test_region_holds_a_heading_beside_one_long_paragraph(spark):
     assert texts == [f"Head {i}\n" + " ".join(f"long {i}".split() * 80) for i in range(8)]
 
 
+def test_template_is_taken_out_of_the_region(spark):
+    """Text that repeats on all pages under any class goes, what stands on one page alone stays."""
+    page = (
+        "<html><body><article><h1>Head {0}</h1><div class='zz'>Join our list today</div><p>By <a>writer {0}</a></p>"
+        "<div class='social'>Follow us</div><p>body {0}</p><p>Advertisement</p>{1}<p>end {0}</p><p>Advertisement</p></article></body></html>"
+    )
+    extra = "<div class='notice'>Only here</div><math><mi>x</mi></math><div class='comments-section'>Nice</div>"
+    texts = texts_of_host(spark, [page.format(i, extra if i == 3 else "") for i in range(8)])
+    for i, text in enumerate(texts):
+        own = ["Only here", "x"] if i == 3 else []
+        assert text.split("\n") == [f"Head {i}", f"writer {i}", f"body {i}", *own, f"end {i}"]
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    page = "<html><body><article><h1>Head {0}</h1><p>text {0}</p></article></body></html>"
+    texts = texts_of_host(spark, [page.format(0)] * 6 + [page.format(1), page.format(2)])
+    assert texts == [f"Head {i}\ntext {i}" for i in [0] * 6 + [1, 2]]
+    # a page of nothing but template text is read by markup
+    same = "<html><body><article><p>text</p></article>{0}</body></html>"
+    assert texts_of_host(spark, [same.format(f"<nav>{i}</nav><!-- {i} -->") for i in range(5)]) == ["text"] * 5
+
+
+def test_compound_names_are_dropped():
+    page = "<article><p>a</p>{}<p>b</p></article>"
+    for name in ("comments-section", "related-posts", "ad-slot", "cookie-banner", "share__list"):
+        assert html_text.extract(page.format(f"<div class='{name}'>no</div>")) == ["a", "b"]
+    assert html_text.extract(page.format("<div class='ad-free'>yes</div><div class='address-line'>too</div>")) == ["a", "yes", "too", "b"]
+
+
 # ---- quality
 
 
