@@ -12,7 +12,7 @@
    compared too; the largest component of a bucket is compared with the others only, never with
    itself. After that no candidate pair is left undecided.
 5. Both rounds drop pairs whose 4-bit signatures differ in more than ``FAR`` lanes (similarity 0.8
-   exceeds that with a probability of 1e-6), then count the common shingles of the full sets.
+   exceeds that with a probability of 4e-10), then count the common shingles of the full sets.
 
 Hot buckets: counts and pivots are aggregated before the shuffle and joins can be split by Spark.
 """
@@ -31,7 +31,7 @@ from barloom.llm.components import components
 
 CHUNKS, LANES = 14, 6
 N_LANES = CHUNKS * LANES
-FAR = 34
+FAR = 40
 BATCH_ROWS = 1000  # rows that go to a Python worker together
 WORDS = 6  # longs that hold the 4-bit lanes, 16 in each
 

@@ -135,6 +135,12 @@ def test_signatures_within_the_radius_always_share_a_key():
         assert set(x) & set(y)
 
 
+def test_sketches_hardly_lose_a_pair_at_the_limit():
+    # a 4-bit lane of a pair of similarity 0.8 differs with a probability of 0.2 * 15 / 16
+    n, p = near_dup.N_LANES, 0.2 * 15 / 16
+    assert sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(near_dup.FAR + 1, n + 1)) < 1e-9
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_components(spark, seed):
     rng = np.random.default_rng(seed)
