@@ -9,7 +9,8 @@ of state 1.
 
 import numpy as np
 
-MAX_CYCLES = 60
+#: A guard only: a history that has not met the tolerance by then has no fit.
+MAX_CYCLES = 5000
 TOLERANCE = 1e-8
 LOG_ODDS_LIMIT = 150.0
 
@@ -67,6 +68,7 @@ def _fit(y, lengths):
         active = active[~done]
         if not len(active):
             break
+    fitted[active] = False
     return theta, odds, fitted
 
 

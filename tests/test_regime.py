@@ -48,6 +48,17 @@ def test_fit_reaches_the_plain_em_optimum():
     assert switching._step(theta, y, lengths)[1] == pytest.approx(likelihood, abs=1e-3)
 
 
+def test_slow_fits_reach_the_tolerance_or_are_failed(monkeypatch):
+    y = np.random.default_rng(24).normal(0, 0.01, (600, 1))
+    lengths = np.array([600])
+    theta, _, fitted = switching._fit(y, lengths)
+    after, likelihood, _ = switching._step(theta, y, lengths)
+    gain = switching._step(after, y, lengths)[1] - likelihood
+    assert fitted.all() and abs(gain) <= switching.TOLERANCE * abs(likelihood)
+    monkeypatch.setattr(switching, "MAX_CYCLES", 3)
+    assert switching.latest_regimes([y[:, 0]]) == [None]
+
+
 def test_constant_returns_are_a_failed_fit():
     assert switching.latest_regimes([np.zeros(500)]) == [None]
 
