@@ -86,12 +86,15 @@ class NoticeScanner:
                     own.append([start, stop])
         found = []
         for index, own in windows.items():
-            _, label, _, pattern = self.notices[index]
-            for start, stop in own:
-                at = max(0, start)
-                while (match := pattern.search(text, at, min(len(text), stop))) is not None:
-                    found.append((label, match.start(), match.end(), sum(match.fuzzy_counts)))
-                    at = max(match.end(), at + 1)
+            notice, label, edits, pattern = self.notices[index]
+            # the best hit of a stretch comes first; others stand before and behind it
+            parts = [(max(0, start), min(len(text), stop)) for start, stop in own]
+            while parts:
+                start, stop = parts.pop()
+                if stop - start < len(notice) - edits or (match := pattern.search(text, start, stop)) is None:
+                    continue
+                found.append((label, match.start(), match.end(), sum(match.fuzzy_counts)))
+                parts += [(start, match.start()), (max(match.end(), start + 1), stop)]
         return sorted(set(found), key=lambda f: (f[1], f[2], f[0], f[3]))
 
 

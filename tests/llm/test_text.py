@@ -274,6 +274,15 @@ def test_license_scan(spark):
     assert licenses.license_scan(empty_documents(spark)).count() == 0
 
 
+def test_worse_hits_before_the_best_one_are_found():
+    scanner = licenses.NoticeScanner(licenses.NOTICES)
+    texts = ["released undar the mit licence", "released under the mit license", "releasd under the mit license"]
+    for order in ([0, 1], [1, 0], [0, 2, 1], [0, 0, 2, 1, 2]):
+        found = scanner.scan(" zz ".join(texts[i] for i in order))
+        assert [f[3] for f in found] == [[2, 0, 1][i] for i in order]
+        assert all(a[2] <= b[1] for a, b in zip(found, found[1:], strict=False))
+
+
 def test_every_bounded_edit_is_found():
     import random
 
