@@ -323,7 +323,25 @@ def _rest_pairs(rows: DataFrame, groups: DataFrame, sketches: DataFrame, done: D
 
 def keep_one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stay when one document of each near-duplicate group is kept: the one
-    with the smallest ``doc_id``, once. All columns as they are; rows without ``doc_id`` stay."""
-    kept = near_duplicates(docs, size, percent).where("kept and doc_id is not null").select("doc_id").distinct()
-    known = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    with the smallest ``doc_id``, once. Texts that share a ``doc_id`` are documents of their own; rows
+    equal in ``doc_id`` and text are one. All columns as they are; rows without ``doc_id`` stay."""
+    text = F.col("text").cast("string")
+    digest = F.xxhash64(text.isNull(), F.coalesce(text, F.lit("")))
+    keyed = docs.where("doc_id is not null").withColumn("_digest", digest)
+    # staged, so that Spark measures how few there are
+    several = keyed.groupBy(F.col("doc_id").alias("_id")).agg(F.min("_digest").alias("_least"), F.max("_digest").alias("_most"))
+    several = stage_columns(several.where("_least <> _most").drop("_most"), "several-texts")
+    if several.isEmpty():
+        known = near_duplicates(docs, size, percent).where("kept and doc_id is not null").select("doc_id").distinct()
+        rows = keyed.join(known, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    else:
+        # further texts of an id take part under a number of their own
+        further = F.col("_least").isNotNull() & (F.col("_least") != F.col("_digest"))
+        node = F.when(further, F.xxhash64("doc_id", "_digest", F.lit("further text"))).otherwise(F.col("doc_id").cast("long"))
+        keyed = keyed.join(several, F.col("doc_id") == F.col("_id"), "left").withColumn("_node", node)
+        groups = near_duplicates(keyed.select(F.col("_node").alias("doc_id"), "text"), size, percent)
+        groups = groups.select(F.col("doc_id").alias("_node"), "component_id").distinct()
+        ids = keyed.select("_node", "doc_id", "_digest").distinct().join(groups, "_node")
+        first = ids.groupBy("component_id").agg(F.min(F.struct("doc_id", "_digest", "_node")).alias("first"))
+        rows = keyed.join(first.select("first._node"), "_node", "left_semi").dropDuplicates(["_node"])
+    return rows.select(*docs.columns).unionByName(docs.where("doc_id is null"))

@@ -124,6 +124,29 @@ def test_one_row_of_each_group_stays(spark):
     assert set(ids) == want and len([i for i in ids if i is not None]) == len(want - {None})
 
 
+def test_texts_of_one_id_are_documents_of_their_own(spark):
+    rng = np.random.default_rng(5)
+    base = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 200)) for _ in range(4)]
+    rows = [(10, base[0]), (11, edited(base[0], rng, 0.01)), (11, base[1]), (11, base[1]), (11, base[2])]
+    rows += [(5, edited(base[2], rng, 0.01)), (12, base[3]), (12, edited(base[3], rng, 0.01)), (12, None), (12, ""), (None, base[0])]
+    want, groups = Counter(), brute_groups(list(enumerate(t or "" for _, t in rows)), 5)
+    root = {i: r for i, _, r, _ in groups}
+    first = {}
+    for i, (d, t) in enumerate(rows):
+        if d is not None:
+            first.setdefault(root[i], []).append((d, t))
+    texts = {(d, t) for d, t in rows if d is not None}
+    for members in first.values():
+        least = min(d for d, _ in members)
+        want[least, len({t for d, t in members if d == least})] += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in near_dup.keep_one_of_each(docs).collect()]
+    assert len(set(got)) == len(got) and set(got) <= texts | {(None, base[0])}
+    assert Counter(d for d, _ in got) == Counter([10, 11, 5, 12, 12, 12, None])
+    assert (10, base[0]) in got and (11, base[1]) in got and {(12, None), (12, "")} <= set(got)
+    assert sum(want.values()) == len([d for d, _ in got if d is not None])
+
+
 def test_signatures_within_the_radius_always_share_a_key():
     rng = np.random.default_rng(0)
     sig = rng.integers(0, 65536, near_dup.N_LANES).astype(np.uint16)
