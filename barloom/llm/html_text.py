@@ -379,29 +379,41 @@ def _blocks(own: list[Event], ends: dict[int, int], span: tuple[int, int], insid
     return blocks
 
 
-def main_text(pages: DataFrame) -> DataFrame:
+def main_text(pages: DataFrame, more: Column | None = None) -> DataFrame:
     """``page_id, url, text, n_chars`` of every row of ``pages`` (``page_id``, ``url``, ``html``).
 
     Null html counts as empty and has an empty text; a null url has no host, and such pages share
     one template. Repeated rows give repeated results; other columns are ignored. Templates join
-    from the right: Spark broadcasts them only where it measures them below its threshold.
+    from the right: Spark broadcasts them only where it measures them below its threshold. ``more``: a
+    struct of the row that is handed on as column ``more``.
     """
+    extra = {} if more is None else {"more": more}
     own = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
         F.col("url").cast("string").alias("url"),
         host_of(F.col("url")).alias("host"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
+        *(c.alias(n) for n, c in extra.items()),
     )
     regions = stage_columns(templates(own.select("host", "html")).select("host", "region", "template"), "page-regions")
 
+    names = list(extra)
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "html"):
             rows = zip(*(batch.column(c).to_pylist() for c in ("html", "region", "template")), strict=True)
             texts = ["\n".join(extract(*row)) for row in rows]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
-                names=["page_id", "url", "text", "n_chars"],
+                [
+                    batch.column("page_id"),
+                    batch.column("url"),
+                    pa.array(texts, pa.string()),
+                    pa.array([len(t) for t in texts], pa.int64()),
+                    *(batch.column(n) for n in names),
+                ],
+                names=["page_id", "url", "text", "n_chars", *names],
             )
 
-    rows = own.join(regions, "host", "left").select("page_id", "url", "html", "region", "template")
-    return rows.mapInArrow(read, "page_id long, url string, text string, n_chars long")
+    rows = own.join(regions, "host", "left").select("page_id", "url", "html", "region", "template", *names)
+    kinds = "".join(f", {n} {own.schema[n].dataType.simpleString()}" for n in names)
+    return rows.mapInArrow(read, f"page_id long, url string, text string, n_chars long{kinds}")

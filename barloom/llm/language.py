@@ -8,7 +8,9 @@
   which is smoothed towards its suffix, then towards the whole corpus.
 
 Everything is counted over all rows. Three passes: trigram counts per language (a class is what a
-row declares), then evidence tables from the text alone, then the fused decision.
+row declares), then evidence tables from the text alone, then the fused decision. A language that no
+row declares is learned from the rows without a known declaration whose commonest function words are
+its own.
 """
 
 from collections.abc import Iterator
@@ -32,6 +34,23 @@ LEAST_POSTERIOR = 0.6
 #: Mean log-likelihood (above that of uniform noise) below which a text is in none of the languages.
 LEAST_TEXT = 0.5
 
+#: Three-letter codes of the languages with a two-letter one that documents often carry.
+LONG_CODES = {
+    "ara": "ar", "chi": "zh", "zho": "zh", "cze": "cs", "ces": "cs", "dan": "da", "deu": "de", "dut": "nl", "eng": "en",
+    "fin": "fi", "fra": "fr", "fre": "fr", "ger": "de", "gre": "el", "ell": "el", "heb": "he", "hin": "hi", "hun": "hu",
+    "ita": "it", "jpn": "ja", "kor": "ko", "nld": "nl", "nor": "no", "pol": "pl", "por": "pt", "ron": "ro", "rum": "ro",
+    "rus": "ru", "spa": "es", "swe": "sv", "tur": "tr", "ukr": "uk", "vie": "vi",
+}
+#: Function words of the languages, to learn one that nothing declares.
+FUNCTION_WORDS = {
+    "de": "der die das und nicht ist eine ein den dem von mit auf für sich auch im zu wird sind",
+    "en": "the of and to in that is was for it with as on be this are from which were have",
+    "es": "el los las del y que una por con para se no más como pero su lo es al está",
+    "fr": "le les des du et est une dans pour qui que pas sur au avec ce il elle sont aux",
+}
+#: Function words, and their lead on the next language, that a text needs to be learned from.
+LEAST_WORDS = 3
+
 RESULT = "lang_pred string, posterior double, text_score double, kept boolean"
 
 
@@ -50,8 +69,20 @@ def address_parts(address: Column) -> dict[str, Column]:
 
 
 def _declared(column: Column) -> Column:
-    """First part of a language tag in lower case; empty when null."""
-    return F.lower(F.regexp_extract(F.coalesce(column.cast("string"), F.lit("")), r"^\s*([A-Za-z]*)", 1))
+    """First part of a language tag in lower case, three-letter codes as two letters; empty when null."""
+    tag = F.lower(F.regexp_extract(F.coalesce(column.cast("string"), F.lit("")), r"^\s*([A-Za-z]*)", 1))
+    short = F.create_map(*(F.lit(x) for pair in LONG_CODES.items() for x in pair))
+    return F.coalesce(short[tag], tag)
+
+
+def html_language(page: Column) -> Column:
+    """Language that a page declares: ``lang`` or ``xml:lang`` of its html tag, else the
+    content-language of a meta tag; empty when null or none. Comments do not count."""
+    own = F.regexp_replace(F.coalesce(page.cast("string"), F.lit("")), r"(?s)<!--.*?-->", "")
+    value = r"""\s*=\s*["']?\s*([A-Za-z][\w-]*)"""
+    tag = F.regexp_extract(own, r"(?i)<html(?=\s)[^>]*?\s(?:xml:)?lang" + value, 1)
+    meta = F.regexp_extract(own, r"""(?i)<meta\s(?=[^>]*http-equiv\s*=\s*["']?content-language)[^>]*?\bcontent""" + value, 1)
+    return F.when(tag != "", tag).otherwise(meta)
 
 
 def evidence(df: DataFrame, text: str = "text", declared: str = "lang", address: str = "source") -> DataFrame:
@@ -63,9 +94,30 @@ def evidence(df: DataFrame, text: str = "text", declared: str = "lang", address:
     )
 
 
+def language_by_words(text: str, words: dict[str, frozenset[str]]) -> str:
+    """The language most of whose function words a text has; empty where none leads clearly."""
+    own = text.lower().split()
+    ranked = sorted(((sum(w in found for w in own), x) for x, found in words.items()), reverse=True)
+    behind = ranked[1][0] if len(ranked) > 1 else 0
+    return ranked[0][1] if ranked and ranked[0][0] - behind >= LEAST_WORDS else ""
+
+
 def fit_text_model(rows: DataFrame, languages: list[str]) -> np.ndarray:
-    """Log probabilities [language, bucket]; a language that nothing declares stays uniform."""
+    """Log probabilities [language, bucket]; a language that nothing declares is learned by its function
+    words, and one without those, or without such texts, stays uniform."""
     counts = count_vectors(gram_counts(rows.select(F.col("declared").alias("class"), "text"), lower=True), languages)
+    missing = [i for i, x in enumerate(languages) if not counts[i].sum() and x in FUNCTION_WORDS]
+    if missing:
+        words = {x: frozenset(FUNCTION_WORDS[x].split()) for x in languages if x in FUNCTION_WORDS}
+
+        @F.pandas_udf("string")
+        def by_words(texts):
+            return texts.map(lambda text: language_by_words(text, words))
+
+        open_rows = rows.where(~F.col("declared").isin(languages)).select(by_words("text").alias("class"), "text")
+        found = count_vectors(gram_counts(open_rows.where(F.col("class").isin([languages[i] for i in missing])), lower=True), languages)
+        for i in missing:
+            counts[i] = found[i]
     return np.log((counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * BUCKETS))
 
 
@@ -191,6 +243,16 @@ def identify(df: DataFrame, key: str = "doc_id", **columns) -> DataFrame:
     return with_language(df, **columns).select(key, "language_id.*")
 
 
+def identify_pages(pages: DataFrame, languages: list[str] = LANGUAGES) -> DataFrame:
+    """``page_id, lang_pred, posterior, text_score, kept`` of every row of ``pages`` (``page_id``, ``url``,
+    ``html``): the main text, the language that the markup declares, and the host of the address."""
+    from barloom.llm import html_text
+
+    # the text comes with the markup of its own row
+    rows = html_text.main_text(pages, F.struct(html_language(F.col("html")).alias("declared"))).select("page_id", "url", "text", "more.declared")
+    return identify(rows, "page_id", declared="declared", address="url", languages=languages)
+
+
 def keep_identified(df: DataFrame, **columns) -> DataFrame:
     """The rows of ``df`` whose language is one of the known ones, all columns as they are."""
     return with_language(df, **columns).where("language_id.kept").drop("language_id")

@@ -44,6 +44,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_pages(table(spark, sf_dir, "pages"))
+
+
 def op7_chunk_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_codec.encode_and_decode(table(spark, sf_dir, "documents"), tokenizer_path(WORD_TOKENIZER))
 
@@ -68,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op4_main_text,
         op5_token_file,
         op6_language_id,
+        op6_page_language,
         op7_chunk_codec,
         op8_quality_rules,
         op9_token_counts,

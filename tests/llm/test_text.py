@@ -227,6 +227,44 @@ def test_evidence_is_fused(spark):
     assert best[501] > 0.9 and best[502] > 0.9 and best[503] > best[504]
 
 
+def test_markup_language(spark):
+    pages = [
+        ('<!-- <html lang="xx"> --><HTML class=a LANG="de-AT">', "de-AT"),
+        ("<html xml:lang=fr>", "fr"),
+        ("<html data-x='1'><meta content='es' http-equiv='Content-Language'>", "es"),
+        ("<html hreflang='en'><p lang='de'>", ""),
+        (None, ""),
+    ]
+    df = spark.createDataFrame(pages, "html string, want string")
+    assert all(r.got == r.want for r in df.select("want", language.html_language(F.col("html")).alias("got")).collect())
+    codes = spark.createDataFrame([("deu",), ("ENG",), ("fre-CA",), ("spa",), ("nob",)], "c string")
+    assert [r[0] for r in codes.select(language._declared(F.col("c"))).collect()] == ["de", "en", "fr", "es", "nob"]
+
+
+def test_languages_of_pages(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    want = {r.page_id: re.search(r'<html lang="(\w+)"', r.html).group(1) for r in pages.collect()}
+    rows = language.identify_pages(pages).collect()
+    assert {r.page_id for r in rows} == set(want)
+    assert np.mean([r.lang_pred == want[r.page_id] for r in rows]) > 0.95
+
+
+@pytest.mark.parametrize("declared", [None, "long", "but one"])
+def test_languages_that_nothing_declares(spark, declared):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    lang = {r.doc_id: r.lang for r in docs.collect()}
+    codes = {"de": "deu", "en": "eng", "es": "spa", "fr": "fra"}
+    if declared is None:
+        docs = docs.withColumn("lang", F.lit(None).cast("string"))
+    elif declared == "long":
+        docs = docs.replace(codes, subset=["lang"])
+    else:
+        docs = docs.withColumn("lang", F.when(F.col("lang") != "de", F.col("lang")))
+    rows = language.identify(docs).collect()
+    assert np.mean([r.lang_pred == lang[r.doc_id] for r in rows]) > 0.95
+    assert np.mean([r.kept for r in rows]) > 0.95
+
+
 def test_addresses(spark):
     urls = ["https://User@M.Site.co.uk:80/p?q#r", "src7", "//x.de/", None, "http://"]
     df = spark.createDataFrame([(u,) for u in urls], "u string")
