@@ -5,9 +5,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import chunk_codec, html_text, language, licenses, near_dup, packing, quality, sql, token_count, token_file, topk
-
-BYTE_TOKENIZER, WORD_TOKENIZER = "byte_bpe_50k.json", "word_bpe_49k.json"
+from barloom.llm import (
+    chunk_codec,
+    hard_negatives,
+    html_text,
+    language,
+    licenses,
+    near_dup,
+    packing,
+    piece_codec,
+    quality,
+    sql,
+    token_count,
+    token_file,
+    topk,
+    vector_codes,
+)
+
+BYTE_TOKENIZER, WORD_TOKENIZER, PIECE_MODEL = "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"
 
 
 def tokenizer_path(name: str) -> str:
@@ -64,6 +79,19 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents")).drop("notices")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), label, F.col("vec_id") % 50 == 0)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.product_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op13_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.encode_and_decode(table(spark, sf_dir, "documents"), tokenizer_path(PIECE_MODEL))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_exact_top_k,
@@ -77,9 +105,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_quality_rules,
         op9_token_counts,
         op10_license_scan,
+        op11_hard_negatives,
+        op12_vector_codes,
+        op13_piece_codec,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_top_k": sql.EXACT_TOP_K, "op2_near_duplicates": sql.NEAR_DUPLICATES}
+    return {
+        "op1_exact_top_k": sql.EXACT_TOP_K,
+        "op2_near_duplicates": sql.NEAR_DUPLICATES,
+        "op11_hard_negatives": sql.HARD_NEGATIVES,
+        "op12_vector_codes": sql.PRODUCT_CODES,
+    }
