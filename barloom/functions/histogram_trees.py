@@ -8,6 +8,9 @@ import numpy as np
 
 #: Bins of a feature in forests, whose cuts are otherwise exact, and in boosted trees.
 MAX_BINS, BOOSTED_BINS = 255, 64
+#: A cut must gain more than this; cuts whose scores differ by less than this share of them are equally good,
+#: and the first feature and bin is taken.
+LEAST_GAIN, TIE = 1e-15, 1e-11
 
 
 class Bins:
@@ -77,11 +80,12 @@ def grow(codes, width, target, weight, depth, features, min_weight, l1=0.0, l2=0
         right_w, right_s = sizes[:, None] - left_w, sums[:, None] - left_s
         fits = (left_w >= least) & (right_w >= least)
         with np.errstate(divide="ignore", invalid="ignore"):
-            gain = _shrunk(left_s, l1) ** 2 / (left_w + l2) + _shrunk(right_s, l1) ** 2 / (right_w + l2)
-        gain = np.where(fits, gain - (_shrunk(sums, l1) ** 2 / (sizes + l2))[:, None], -np.inf)
-        flat = gain.transpose(1, 0, 2).reshape(nodes, -1)
-        best = flat.argmax(axis=1)
-        cuts = np.flatnonzero(flat[np.arange(nodes), best] > 1e-15)
+            score = _shrunk(left_s, l1) ** 2 / (left_w + l2) + _shrunk(right_s, l1) ** 2 / (right_w + l2)
+        flat = np.where(fits, score, -np.inf).transpose(1, 0, 2).reshape(nodes, -1)
+        top = flat.max(axis=1)
+        parent = _shrunk(sums, l1) ** 2 / (sizes + l2)
+        best = (flat >= np.where(np.isfinite(top), top * (1 - TIE), np.inf)[:, None]).argmax(axis=1)
+        cuts = np.flatnonzero(top - parent > LEAST_GAIN)
         if not len(cuts):
             break
         feature, cut = best // width, best % width

@@ -2,9 +2,9 @@
 
 Maximum likelihood by expectation-maximisation over the Hamilton (1989) filter and its backward
 pass, sped up by squared extrapolation (Varadhan & Roland 2008). Histories are the columns of
-one matrix, so every time step is a handful of numpy operations over all of them; a column never
-sees another column or anything after its own length. Filter and backward pass run on the odds
-of state 1.
+one matrix; a column never sees another column or anything after its own length. Filter and backward
+pass run on the odds of state 1, as blocked scans: a row is a 2x2 matrix, products of rows are
+associative, so the steps in time are twice the root of a history and not its length.
 """
 
 import numpy as np
@@ -79,40 +79,38 @@ def _step(theta, y, lengths):
     p00, p11 = stay
     p01, p10 = 1 - p00, 1 - p11
     inside = np.arange(len(y))[:, None] < lengths
-    log_0, log_1 = (
-        -0.5 * (np.log(2 * np.pi * variance[k]) + (y - mean[k]) ** 2 / variance[k])
-        for k in (0, 1)
-    )
-    ratio = np.exp(np.clip(log_1 - log_0, -LOG_ODDS_LIMIT, LOG_ODDS_LIMIT))
-    ratio = np.where(inside, ratio, 1.0)
-
-    prior, filtered = _forward(ratio, p00, p01, p10, p11)
-    ahead = _backward(ratio, p00, p01, p10, p11)
-
-    seen = np.logaddexp(log_0, log_1 + np.log(prior)) - np.log1p(prior)
-    likelihood = np.where(inside, seen, 0.0).sum(axis=0)
+    near_0, near_1 = ((y - mean[k]) ** 2 for k in (0, 1))
+    ratio = 0.5 * (near_0 / variance[0] - near_1 / variance[1] + np.log(variance[0] / variance[1]))
+    ratio = np.exp(np.clip(ratio, -LOG_ODDS_LIMIT, LOG_ODDS_LIMIT))
+    ratio[~inside] = 1.0
+
+    prior = forward_odds(ratio, p00, p01, p10, p11)
+    filtered = prior * ratio
+    ahead = backward_odds(ratio, p00, p01, p10, p11)
+
+    # state 0 alone, and what state 1 adds to it (nothing outside, where the ratio is 1)
+    alone = -0.5 * (lengths * np.log(2 * np.pi * variance[0]) + _sum(near_0, inside) / variance[0])
+    likelihood = alone + np.log((1 + filtered) / (1 + prior)).sum(axis=0)
     ends = (lengths - 1, np.arange(len(lengths)))
 
     # Expected transitions out of every row but the last of each history.
-    moving = np.arange(len(y) - 1)[:, None] < lengths - 1
+    moving = inside[1:]
+    before = filtered[:-1]
     coming = ratio[1:] * ahead[1:]
-    stay_0, stay_1 = p00, filtered[:-1] * p11 * coming
-    leave_0, leave_1 = p01 * coming, filtered[:-1] * p10
-    total = stay_0 + stay_1 + leave_0 + leave_1
-    kept_0 = np.where(moving, stay_0 / total, 0.0).sum(axis=0)
-    kept_1 = np.where(moving, stay_1 / total, 0.0).sum(axis=0)
-    left_0 = np.where(moving, leave_0 / total, 0.0).sum(axis=0)
-    left_1 = np.where(moving, leave_1 / total, 0.0).sum(axis=0)
+    share = moving / (p00 + p01 * coming + before * (p10 + p11 * coming))
+    coming *= share
+    kept_0, left_0 = p00 * share.sum(axis=0), p01 * coming.sum(axis=0)
+    kept_1, left_1 = p11 * _sum(before, coming), p10 * _sum(before, share)
 
     smoothed = filtered * ahead
-    weight_1 = np.where(inside, smoothed / (1 + smoothed), 0.0)
-    weight_0 = np.where(inside, 1 / (1 + smoothed), 0.0)
+    weight_0 = inside / (1 + smoothed)
+    weight_1 = smoothed * weight_0
     means, variances = [], []
     for weight in (weight_0, weight_1):
         amount = weight.sum(axis=0)
-        center = (weight * y).sum(axis=0) / amount
+        center = _sum(weight, y) / amount
         means.append(center)
-        variances.append((weight * (y - center) ** 2).sum(axis=0) / amount)
+        variances.append(_sum(weight, (y - center) ** 2) / amount)
     updated = np.array(
         [*means, *np.log(variances), np.log(kept_0 / left_0), np.log(kept_1 / left_1)]
     )
@@ -120,33 +118,62 @@ def _step(theta, y, lengths):
     return updated, likelihood, filtered[ends]
 
 
-def _forward(ratio, p00, p01, p10, p11):
-    """Odds of state 1 before and after each observation, from the stationary odds."""
-    prior, filtered = np.empty_like(ratio), np.empty_like(ratio)
-    odds = p01 / p10
-    below = np.empty_like(odds)
-    for t in range(len(ratio)):
-        prior[t] = odds
-        now = filtered[t]
-        np.multiply(odds, ratio[t], out=now)
-        np.multiply(now, p10, out=below)
-        below += p00
-        odds = now * p11
-        odds += p01
-        odds /= below
-    return prior, filtered
-
-
-def _backward(ratio, p00, p01, p10, p11):
-    """Relative likelihood of the rows after each row: state 1 against state 0."""
-    ahead = np.ones_like(ratio)
-    below = np.empty_like(p00)
-    for t in range(len(ratio) - 2, -1, -1):
-        coming = ratio[t + 1] * ahead[t + 1]
-        np.multiply(coming, p01, out=below)
-        below += p00
-        now = ahead[t]
-        np.multiply(coming, p11, out=now)
-        now += p10
-        now /= below
-    return ahead
+def _sum(a, b):
+    return np.einsum("tc,tc->c", a, b)
+
+
+def forward_odds(ratio, p00, p01, p10, p11):
+    """[row, history] odds of state 1 before each observation, from the stationary odds.
+
+    A row turns odds ``o`` into ``(p11 r o + p01) / (p10 r o + p00)``, a 2x2 matrix on ``(o, 1)``.
+    """
+    return _scan(ratio, p01 / p10, p11, p01, p10, p00)
+
+
+def backward_odds(ratio, p00, p01, p10, p11):
+    """[row, history] relative likelihood of the rows after each row: state 1 against state 0."""
+    turned = ratio[:0:-1]
+    out = np.ones_like(ratio)
+    if len(turned):
+        # from the end, and one row further than the scan, which stops before its last row
+        odds = _scan(turned, np.ones(ratio.shape[1]), p11, p10, p01, p00)
+        last = turned[-1] * odds[-1]
+        out[0] = (p11 * last + p10) / (p01 * last + p00)
+        out[1:] = odds[::-1]
+    return out
+
+
+def _scan(ratio, odds, a, b, c, d):
+    """Odds before each row under ``o -> (a r o + b) / (c r o + d)``, from ``odds`` on.
+
+    A prefix product of 2x2 matrices in blocks of about the root of the length: all blocks are
+    multiplied up side by side, the odds pass from block to block, and all blocks run through
+    side by side again.
+    """
+    rows, histories = ratio.shape
+    size = max(1, int(np.ceil(np.sqrt(rows))))
+    blocks = -(-rows // size)
+    steps = np.ones((blocks * size, histories))
+    steps[:rows] = ratio
+    # [step, block, history]: a step is one slice
+    steps = np.ascontiguousarray(steps.reshape(blocks, size, histories).transpose(1, 0, 2))
+    # the two columns of each block's matrix, scaled together often enough to stay in range
+    upper = np.stack([np.ones((blocks, histories)), np.zeros((blocks, histories))])
+    lower = 1 - upper
+    for t in range(size):
+        upper *= steps[t]
+        upper, lower = a * upper + b * lower, c * upper + d * lower
+        if t % 3 == 2:
+            scale = 1 / (upper[0] + upper[1] + lower[0] + lower[1])
+            upper *= scale
+            lower *= scale
+    starts = np.empty((blocks, histories))
+    for k in range(blocks):
+        starts[k] = odds
+        odds = (upper[0, k] * odds + upper[1, k]) / (lower[0, k] * odds + lower[1, k])
+    out = np.empty_like(steps)
+    for t in range(size):
+        out[t] = starts
+        starts = starts * steps[t]
+        starts = (a * starts + b) / (c * starts + d)
+    return out.transpose(1, 0, 2).reshape(blocks * size, histories)[:rows]

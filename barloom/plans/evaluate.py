@@ -6,13 +6,14 @@ With a folder it also writes its result files and run records there.
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.plans import trees
+from barloom.plans import ledger, trees
 from barloom.plans.dataset import preset
-from barloom.plans.linear import naive_predictions, ridge_predictions
+from barloom.plans.linear import naive_attempts, naive_predictions, ridge_attempts, ridge_predictions
 from barloom.plans.scoring import best_model, leaderboard, model_summary, score, union_predictions
 from barloom.plans.splits import (
     Holdout,
@@ -75,6 +76,28 @@ def predict(df: DataFrame, scheme: Scheme, features, models: dict[str, Model] |
     return union_predictions(*parts)
 
 
+def attempt(df: DataFrame, scheme: Scheme, features, models: dict[str, Model], only: DataFrame | None = None) -> DataFrame:
+    """Predictions as of ``predict`` with an ``error`` column: a fit that fails is one row without a date.
+
+    ``only`` names the fits to make (``ticker, fold, model``; default all).
+    """
+    names = preset(features)
+    if only is not None:
+        df = df.join(only.select("ticker").distinct(), "ticker", "left_semi")
+    grown = {name: model for name, model in models.items() if isinstance(model, trees.TreeModel)}
+    parts = []
+    for name, model in models.items():
+        if isinstance(model, Naive):
+            parts.append(naive_attempts(df, scheme).withColumn("model", F.lit(name)))
+        elif isinstance(model, Ridge):
+            parts.append(ridge_attempts(df, scheme, names, model.alpha, model.scaled).withColumn("model", F.lit(name)))
+    if only is not None:
+        parts = [p.join(only.select(*ledger.FIT), ledger.FIT, "left_semi") for p in parts]
+    if grown:
+        parts.append(trees.tree_attempts(df, scheme, names, grown, only=only))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def require_every_model(results: DataFrame, models: int) -> DataFrame:
     """``results`` if each ticker has a row for each of so many models; raises otherwise."""
     short = results.groupBy("ticker").agg(F.count("*").alias("n")).where(F.col("n") != models)
@@ -138,6 +161,8 @@ class Validation:
     results: DataFrame
     summary: DataFrame
     skipped: DataFrame
+    status: DataFrame
+    failed: DataFrame
 
 
 def multi_ticker_validation(
@@ -150,8 +175,12 @@ def multi_ticker_validation(
 ) -> Validation:
     """Walk-forward scores per ticker and model; too short tickers are listed as skipped.
 
-    With ``folder``: ``results``, ``summary`` and ``predictions`` as CSV and a run record for each
-    result under ``runs``.
+    A ticker with a fit that fails is listed in ``failed`` with the message of its first one and has no
+    predictions or scores; the other tickers go on. ``status`` has a row for every fit.
+
+    With ``folder``: ``results``, ``summary``, ``predictions`` and ``failed`` as CSV, a run record for each
+    result under ``runs``, and a ``ledger`` of finished fits: a rerun in the same folder makes only the
+    fits that failed, are new or whose rows or settings have changed.
     """
     df = _tickers_of(df, tickers)
     chosen = {name: create_model(name) for name in models}
@@ -159,7 +188,17 @@ def multi_ticker_validation(
         chosen["Ridge"] = Ridge(scaled=True)
     if "RandomForest" in chosen:
         chosen["RandomForest"] = trees.forest(**trees.VALIDATION_FOREST)
-    predictions = stage(predict(df, scheme, features, chosen), "validation")
+    if folder:
+        path = f"{folder}/ledger"
+        fits = stage(ledger.planned_fits(df, scheme, preset(features), chosen), "validation-fits")
+        missing = stage(fits.join(ledger.finished(fits, path), ledger.FIT, "left_anti"), "validation-missing")
+        ledger.append(attempt(df, scheme, features, chosen, missing), missing, path)
+        attempts = stage(ledger.attempts_of(fits, path), "validation")
+    else:
+        attempts = stage(attempt(df, scheme, features, chosen), "validation")
+    status = ledger.statuses(attempts)
+    failed = stage(ledger.failed_tickers(status), "validation-failed")
+    predictions = attempts.join(failed.select("ticker"), "ticker", "left_anti").drop("error")
     results = require_every_model(score(predictions), len(models))
     summary = model_summary(results)
     if folder:
@@ -170,9 +209,10 @@ def multi_ticker_validation(
         outputs.write_csv(results, f"{folder}/results", ["ticker", "model"])
         outputs.write_csv(summary, f"{folder}/summary", ["rmse"])
         outputs.write_csv(predictions, f"{folder}/predictions", ["ticker", "date", "model"])
+        outputs.write_csv(failed, f"{folder}/failed", ["ticker"])
         runs = outputs.run_records(results, "multi_ticker_validation", F.concat_ws("_", "ticker", "model"), params)
         outputs.append_runs(runs, f"{folder}/runs")
-    return Validation(predictions, results, summary, skipped_tickers(df, scheme))
+    return Validation(predictions, results, summary, skipped_tickers(df, scheme), status, failed)
 
 
 @dataclass(frozen=True)

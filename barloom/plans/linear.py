@@ -10,11 +10,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.plans.splits import Scheme, rows_under_test, train_entries
-from barloom.schemas import TARGET
+from barloom.schemas import NOT_FINITE, TARGET
 
 
 def training_moments(
@@ -72,7 +72,7 @@ def training_moments(
     )
 
 
-def _as_predictions(rows: DataFrame, model: str) -> DataFrame:
+def _as_predictions(rows: DataFrame, model: str, *more: str) -> DataFrame:
     return rows.select(
         "ticker",
         "date",
@@ -80,6 +80,7 @@ def _as_predictions(rows: DataFrame, model: str) -> DataFrame:
         F.col(TARGET).alias("actual"),
         "prediction",
         "fold",
+        *more,
     )
 
 
@@ -119,7 +120,9 @@ def apply_scalers(
 def ridge_coefficients(
     moments: DataFrame, features: Sequence[str], alpha: float = 1.0, scaled: bool = True
 ) -> DataFrame:
-    """``ticker, fold, intercept, coefficients`` from :func:`training_moments`.
+    """``ticker, fold, intercept, coefficients, error`` from :func:`training_moments`.
+
+    A fold whose equations cannot be solved has a message in ``error`` and no coefficients.
 
     The intercept is not penalised; with ``scaled`` the penalty applies to features in units of
     their training deviation (flat ones stay as they are). Coefficients are for raw features.
@@ -137,13 +140,14 @@ def ridge_coefficients(
                 {
                     "ticker": batch["ticker"],
                     "fold": batch["fold"],
-                    "intercept": [intercept for intercept, _ in fits],
-                    "coefficients": [list(coefficients) for _, coefficients in fits],
+                    "intercept": [intercept for intercept, _, _ in fits],
+                    "coefficients": [coefficients for _, coefficients, _ in fits],
+                    "error": [error for _, _, error in fits],
                 }
             )
 
     return moments.mapInPandas(
-        solve, "ticker string, fold int, intercept double, coefficients array<double>"
+        solve, "ticker string, fold int, intercept double, coefficients array<double>, error string"
     )
 
 
@@ -156,10 +160,23 @@ def _solve_ridge(row, size, upper, alpha, scaled):
     if scaled:
         spread = np.sqrt(np.maximum(np.diag(gram), 0.0) / row.train_rows)
         unit = np.where(np.asarray(row.flat) | (spread == 0), 1.0, spread)
-    weights = np.linalg.solve(
-        gram / np.outer(unit, unit) + alpha * np.eye(size), np.asarray(row.cross) / unit
-    ) / unit
-    return row.mean_y - weights @ mean_x, weights
+    try:
+        weights = np.linalg.solve(
+            gram / np.outer(unit, unit) + alpha * np.eye(size), np.asarray(row.cross) / unit
+        ) / unit
+    except np.linalg.LinAlgError as error:
+        return None, None, f"LinAlgError: {error}"
+    return row.mean_y - weights @ mean_x, list(weights), None
+
+
+def _ridge_rows(df: DataFrame, scheme: Scheme, features: Sequence[str], alpha: float, scaled: bool) -> DataFrame:
+    """Test rows with their fold's ``prediction`` and ``error``."""
+    fits = ridge_coefficients(training_moments(df, scheme, features), features, alpha, scaled)
+    value = F.col("intercept")
+    for i, c in enumerate(features):
+        value = value + F.col("coefficients")[i] * F.col(c)
+    rows = rows_under_test(df, scheme).join(fits, ["ticker", "fold"], "left")
+    return rows.withColumn("prediction", value)
 
 
 def ridge_predictions(
@@ -169,9 +186,32 @@ def ridge_predictions(
     alpha: float = 1.0,
     scaled: bool = True,
 ) -> DataFrame:
-    fits = ridge_coefficients(training_moments(df, scheme, features), features, alpha, scaled)
-    value = F.col("intercept")
-    for i, c in enumerate(features):
-        value = value + F.col("coefficients")[i] * F.col(c)
-    rows = rows_under_test(df, scheme).join(fits, ["ticker", "fold"], "left")
-    return _as_predictions(rows.withColumn("prediction", value), "Ridge")
+    return _as_predictions(_ridge_rows(df, scheme, features, alpha, scaled), "Ridge")
+
+
+def _as_attempts(rows: DataFrame, model: str, error: Column) -> DataFrame:
+    """Forecasts of the folds without an error, and one row for each fold with one.
+
+    A fold whose forecasts or targets are not finite has failed: what it was fitted on was not.
+    """
+    usable = lambda c: ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
+    wrong = ~F.coalesce(usable("prediction") & usable(TARGET), F.lit(False))
+    found = F.coalesce(error, F.when(wrong, F.lit(NOT_FINITE)))
+    fold = Window.partitionBy("ticker", "fold")
+    rows = rows.withColumn("error", found).withColumns(
+        {"error": F.min("error").over(fold), "_nth": F.row_number().over(fold.orderBy("date"))}
+    )
+    rows = rows.where("error is null or _nth = 1")
+    gone = {c: F.when(F.col("error").isNull(), F.col(c)) for c in ("date", TARGET, "prediction")}
+    return _as_predictions(rows.withColumns(gone), model, "error")
+
+
+def naive_attempts(df: DataFrame, scheme: Scheme) -> DataFrame:
+    """``naive_predictions`` with an ``error`` column; a fold that fails is one row without a date."""
+    means = training_moments(df, scheme).select("ticker", "fold", F.col("mean_y").alias("prediction"))
+    return _as_attempts(rows_under_test(df, scheme).join(means, ["ticker", "fold"], "left"), "Naive", F.lit(None).cast("string"))
+
+
+def ridge_attempts(df: DataFrame, scheme: Scheme, features: Sequence[str], alpha: float = 1.0, scaled: bool = True) -> DataFrame:
+    """``ridge_predictions`` with an ``error`` column; a fold that fails is one row without a date."""
+    return _as_attempts(_ridge_rows(df, scheme, features, alpha, scaled), "Ridge", F.col("error"))

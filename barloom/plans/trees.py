@@ -10,14 +10,15 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from math import exp, log
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.histogram_trees import LEARNERS
-from barloom.plans.scoring import mean_fold_mse
+from barloom.functions.shared_boosting import boosted_together
 from barloom.plans.splits import Scheme, fold_bounds
-from barloom.schemas import PREDICTIONS, TARGET
+from barloom.schemas import ATTEMPTS, NOT_FINITE, PREDICTIONS, TARGET
 
 SEED = 42
 
@@ -66,39 +67,71 @@ def boosting(params: dict | None = None) -> TreeModel:
     return TreeModel("boosted", dict(params or TUNED_BOOSTING))
 
 
-def tree_predictions(
-    df: DataFrame, scheme: Scheme, features: Sequence[str], models: dict[str, TreeModel], seed: int = SEED
+def _fold_rows(df: DataFrame, fits: DataFrame, features: Sequence[str], *extra: str) -> DataFrame:
+    """Training and test rows of every fit, with ``extra`` columns of the fit; the purged gap belongs to neither."""
+    rows = df.select("ticker", "date", "rn", F.col(TARGET).alias("actual"), *[F.col(c).cast("double").alias(c) for c in features])
+    in_training, in_test = F.col("rn") < F.col("train_end"), F.col("rn").between(F.col("test_start"), F.col("test_end") - 1)
+    uses = rows.join(fits, "ticker").where(in_training | in_test)
+    return uses.select("ticker", "fold", *extra, "date", "rn", "actual", *features, in_training.alias("train"))
+
+
+def tree_attempts(
+    df: DataFrame,
+    scheme: Scheme,
+    features: Sequence[str],
+    models: dict[str, TreeModel],
+    seed: int = SEED,
+    only: DataFrame | None = None,
 ) -> DataFrame:
-    """Fit each model per (ticker, fold) on the training rows and forecast the test rows.
+    """Forecasts as of ``tree_predictions`` with an ``error`` column; a fit that fails is one row without
+    a date that holds its message, and the other fits go on. ``only`` names the fits to make
+    (``ticker, fold, model``; default all).
 
-    ``df`` is a positioned dataset; ``models`` maps the reported name to a model. Every ticker with
-    a fold is covered.
+    Features or targets that are not finite fail their fit.
     """
     names = list(features)
     choices = F.array(*[F.lit(m) for m in models])
     fits = fold_bounds(df, scheme).select(
         "ticker", "fold", "train_end", "test_start", "test_end", F.explode(choices).alias("model")
     )
-    rows = df.select("ticker", "date", "rn", F.col(TARGET).alias("actual"), *[F.col(c).cast("double").alias(c) for c in names])
-    in_training, in_test = F.col("rn") < F.col("train_end"), F.col("rn").between(F.col("test_start"), F.col("test_end") - 1)
-    uses = (
-        rows.join(fits, "ticker")
-        .where(in_training | in_test)
-        .select("ticker", "fold", "model", "date", "rn", "actual", *names, in_training.alias("train"))
-    )
+    if only is not None:
+        fits = fits.join(only.select("ticker", "fold", "model"), ["ticker", "fold", "model"], "left_semi")
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("rn")
         train, test = rows[rows["train"]], rows[~rows["train"]]
-        model = models[rows["model"].iloc[0]]
-        test = test[["ticker", "date", "model", "actual", "fold"]].assign(
-            prediction=LEARNERS[model.learner](
+        try:
+            if not np.isfinite(rows[[*names, "actual"]].to_numpy(float)).all():
+                raise ValueError(NOT_FINITE)
+            model = models[rows["model"].iloc[0]]
+            found = LEARNERS[model.learner](
                 train[names].to_numpy(), train["actual"].to_numpy(), test[names].to_numpy(), seed, **model.params
             )
-        )
-        return test[PREDICTIONS.fieldNames()]
+        except Exception as error:  # noqa: BLE001  (whatever fails a fit is its result)
+            head = rows.iloc[:1].assign(date=None, actual=None, prediction=None, error=message(error))
+            return head[ATTEMPTS.fieldNames()]
+        return test.assign(prediction=found, error=None)[ATTEMPTS.fieldNames()]
+
+    return _fold_rows(df, fits, names, "model").groupBy("ticker", "fold", "model").applyInPandas(fit, ATTEMPTS)
 
-    return uses.groupBy("ticker", "fold", "model").applyInPandas(fit, PREDICTIONS)
+
+def message(error: Exception) -> str:
+    """An error as it is listed: its text, behind its kind where the text alone does not tell."""
+    return str(error) if isinstance(error, ValueError) and str(error) else f"{type(error).__name__}: {error}"
+
+
+def tree_predictions(
+    df: DataFrame, scheme: Scheme, features: Sequence[str], models: dict[str, TreeModel], seed: int = SEED
+) -> DataFrame:
+    """Fit each model per (ticker, fold) on the training rows and forecast the test rows.
+
+    ``df`` is a positioned dataset; ``models`` maps the reported name to a model. Every ticker with
+    a fold is covered, and a fit that fails ends the job.
+    """
+    attempts = tree_attempts(df, scheme, features, models, seed)
+    failed = F.concat_ws(" ", "ticker", F.lit("fold"), "fold", "model", F.lit("-"), "error")
+    sound = F.when(F.col("error").isNull(), F.col("prediction")).otherwise(F.raise_error(failed).cast("double"))
+    return attempts.withColumn("prediction", sound).select(PREDICTIONS.fieldNames())
 
 
 def random_candidates(trials: int, seed: int = SEED) -> list[dict]:
@@ -116,8 +149,8 @@ def random_candidates(trials: int, seed: int = SEED) -> list[dict]:
 
 def _params_table(spark, candidates: list[dict]) -> DataFrame:
     return spark.createDataFrame(
-        [(i, f"trial-{i}", {k: float(v) for k, v in c.items()}) for i, c in enumerate(candidates)],
-        "trial int, model string, params map<string,double>",
+        [(i, {k: float(v) for k, v in c.items()}) for i, c in enumerate(candidates)],
+        "trial int, params map<string,double>",
     )
 
 
@@ -129,15 +162,25 @@ def param_search(
     seed: int = SEED,
     candidates: list[dict] | None = None,
 ) -> DataFrame:
-    """Mean fold MSE of boosted trees per ticker and candidate, with the candidate's parameters."""
+    """Mean fold MSE of boosted trees per ticker and candidate, with the candidate's parameters.
+
+    A group is one (ticker, fold), which the calendar bounds: its rows are shipped and binned once
+    and all candidates grow together. It returns one row for each candidate.
+    """
     candidates = candidates or random_candidates(trials, seed)
-    models = {f"trial-{i}": boosting(c) for i, c in enumerate(candidates)}
-    predictions = tree_predictions(development, scheme, features, models)
-    return (
-        mean_fold_mse(predictions)
-        .join(_params_table(development.sparkSession, candidates), "model")
-        .select("ticker", "trial", "params", "mean_mse")
-    )
+    names = list(features)
+    uses = _fold_rows(development, fold_bounds(development, scheme), names)
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("rn")
+        train, test = rows[rows["train"]], rows[~rows["train"]]
+        found = boosted_together(train[names].to_numpy(), train["actual"].to_numpy(), test[names].to_numpy(), seed, candidates)
+        errors = ((found - test["actual"].to_numpy()) ** 2).mean(axis=1)
+        return pd.DataFrame({"ticker": rows["ticker"].iloc[0], "fold": rows["fold"].iloc[0], "trial": range(len(errors)), "mse": errors})
+
+    scores = uses.groupBy("ticker", "fold").applyInPandas(fit, "ticker string, fold int, trial int, mse double")
+    means = scores.groupBy("ticker", "trial").agg(F.avg("mse").alias("mean_mse"))
+    return means.join(_params_table(development.sparkSession, candidates), "trial").select("ticker", "trial", "params", "mean_mse")
 
 
 def best_params(search: DataFrame) -> DataFrame:
@@ -155,10 +198,7 @@ def refit_best(
     """Forecasts of each ticker's best candidate, refitted over the folds of ``scheme``."""
     names = list(features)
     fits = fold_bounds(df, scheme).join(best.select("ticker", "trial"), "ticker")
-    rows = df.select("ticker", "date", "rn", F.col(TARGET).alias("actual"), *[F.col(c).cast("double").alias(c) for c in names])
-    in_training = F.col("rn") < F.col("train_end")
-    in_test = F.col("rn").between(F.col("test_start"), F.col("test_end") - 1)
-    uses = rows.join(fits.drop("n"), "ticker").where(in_training | in_test).withColumn("train", in_training)
+    uses = _fold_rows(df, fits, names, "trial")
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("rn")

@@ -46,6 +46,10 @@ PREDICTIONS = T.StructType(
     ]
 )
 
+#: Predictions, and one row without a date for each fit that failed.
+NOT_FINITE = "features or targets are not finite"
+ATTEMPTS = T.StructType([*PREDICTIONS.fields, T.StructField("error", T.StringType())])
+
 RESULTS = T.StructType(
     [
         T.StructField("ticker", T.StringType()),

@@ -9,11 +9,13 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from barloom.functions import histogram_trees
+from barloom.functions.shared_boosting import boosted_together
 from barloom.operators.sequences import sequence_windows, too_short
 from barloom.operators.series import with_positions
 from barloom.plans import evaluate, linear, scoring, splits, trees
 from barloom.plans.dataset import modeling_dataset, preset
 from barloom.plans.features import numeric_features
+from barloom.plans.scoring import mean_fold_mse
 from barloom.schemas import PREDICTIONS, RESULTS
 from barloom.session import fresh_path, stage
 from barloom.sources import outputs
@@ -317,6 +319,31 @@ def test_search_scores_every_candidate(spark):
     assert best.mean_mse == min(r.mean_mse for r in rows)
 
 
+def test_candidates_grown_together_equal_single_fits():
+    rng = np.random.default_rng(7)
+    for n, width in ((1, 2), (2, 1), (37, 3), (260, 4)):
+        x = rng.standard_normal((n, width))
+        x[:, 0] = np.round(x[:, 0], 1)  # ties between rows
+        y, tested = rng.standard_normal(n) / 30, rng.standard_normal((20, width))
+        candidates = [*trees.random_candidates(6), {"n_estimators": 3, "max_depth": 1, "learning_rate": 1.0}]
+        candidates.append({"n_estimators": 2, "max_depth": 3, "learning_rate": 0.5, "min_child_weight": n + 1})
+        together = boosted_together(x, y, tested, 42, candidates)
+        alone = [histogram_trees.boosted(x, y, tested, 42, **c) for c in candidates]
+        np.testing.assert_allclose(together, alone, rtol=0, atol=1e-13)
+    assert boosted_together(x, y, tested, 42, []).shape == (0, 20)
+
+
+def test_search_ships_rows_once_and_equals_the_predictions_of_single_fits(spark):
+    df = stage(dataset(spark, sample("A", 120), sample("B", 150, 1)), "t-data")
+    candidates, folds = trees.random_candidates(4), splits.PurgedFolds(2, 5)
+    models = {str(i): trees.boosting(c) for i, c in enumerate(candidates)}
+    each = mean_fold_mse(trees.tree_predictions(df, folds, FEATURES, models))
+    want = {(r.ticker, int(r.model)): r.mean_mse for r in each.collect()}
+    search = trees.param_search(df, folds, FEATURES, candidates=candidates)
+    got = {(r.ticker, r.trial): r.mean_mse for r in search.collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-9) for k in want)
+
+
 def test_validation_lists_skipped_tickers_and_empty_results_raise(spark):
     df = dataset(spark, sample("A", 1100), sample("B", 300, 1))
     folder = fresh_path(spark, "t-validation")

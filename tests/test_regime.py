@@ -1,3 +1,5 @@
+import itertools
+
 import numpy as np
 import pytest
 
@@ -48,6 +50,47 @@ def test_fit_reaches_the_plain_em_optimum():
     assert switching._step(theta, y, lengths)[1] == pytest.approx(likelihood, abs=1e-3)
 
 
+def test_likelihood_and_odds_equal_a_sum_over_all_paths():
+    rng = np.random.default_rng(9)
+    lengths = np.array([9, 6, 1, 2])
+    y = np.where(np.arange(9)[:, None] < lengths, rng.normal(0, 0.02, (9, 4)), 0.0)
+    theta = np.array([[-0.01, 0.0, 0.0, 0.01], [0.01, 0.005, 0.02, 0.0], [-8.0] * 4, [-7.5] * 4, [2.0, -1.0, 0.5, 0.0], [1.0, 2.0, 0.0, 3.0]])
+    _, likelihood, latest = switching._step(theta, y, lengths)
+    for column, n in enumerate(lengths):
+        mean, variance = theta[:2, column], np.exp(theta[2:4, column])
+        stay = 1 / (1 + np.exp(-theta[4:, column]))
+        move = np.array([[stay[0], 1 - stay[0]], [1 - stay[1], stay[1]]])
+        start = np.array([1 - stay[1], 1 - stay[0]]) / (2 - stay.sum())
+        total, ends = 0.0, np.zeros(2)
+        for path in itertools.product((0, 1), repeat=int(n)):
+            p = start[path[0]] * np.prod([move[a, b] for a, b in zip(path, path[1:])])
+            for t, state in enumerate(path):
+                p *= np.exp(-0.5 * (y[t, column] - mean[state]) ** 2 / variance[state]) / np.sqrt(2 * np.pi * variance[state])
+            total += p
+            ends[path[-1]] += p
+        assert likelihood[column] == pytest.approx(np.log(total), rel=1e-10)
+        assert latest[column] == pytest.approx(ends[1] / ends[0], rel=1e-9)
+
+
+@pytest.mark.parametrize("rows", [1, 2, 5, 50, 577])
+def test_blocked_scans_equal_the_recursions(rows):
+    rng = np.random.default_rng(rows)
+    ratio = np.exp(np.clip(rng.normal(0, 40, (rows, 7)), -150, 150))
+    p00, p11 = rng.uniform(1e-10, 1 - 1e-10, (2, 7))
+    p00[0], p11[0] = 1 - 1e-10, 1e-10
+    p01, p10 = 1 - p00, 1 - p11
+    odds, prior = p01 / p10, []
+    for r in ratio:
+        prior.append(odds)
+        odds = (p11 * odds * r + p01) / (p10 * odds * r + p00)
+    np.testing.assert_allclose(switching.forward_odds(ratio, p00, p01, p10, p11), prior, rtol=1e-9)
+    ahead = [np.ones(7)]
+    for r in ratio[:0:-1]:
+        coming = r * ahead[-1]
+        ahead.append((p10 + p11 * coming) / (p00 + p01 * coming))
+    np.testing.assert_allclose(switching.backward_odds(ratio, p00, p01, p10, p11), ahead[::-1], rtol=1e-9)
+
+
 def test_slow_fits_reach_the_tolerance_or_are_failed(monkeypatch):
     y = np.random.default_rng(24).normal(0, 0.01, (600, 1))
     lengths = np.array([600])
