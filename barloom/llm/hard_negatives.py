@@ -279,21 +279,34 @@ def _hits(left: DataFrame, right: DataFrame, keys: list[str], size: int, k: int,
     names = ["vec_id", "mark", "wish", "hit", "score"]
 
     def search(cells: pa.Table, anchors: pa.Table) -> pa.Table:
-        out = [[np.zeros(0, np.int64)] * 5]
+        best = [np.zeros(0, np.int64)] * 4
+        ids = marks = best[0]
         if cells.num_rows and anchors.num_rows:
             ids, marks, labels = (anchors.column(c).to_numpy() for c in ("vec_id", "mark", "label"))
             vectors = matrix(anchors.column("vector").to_pylist())
             wishes = [_wishes(anchors.column(c).to_pylist(), fill) for c, fill in (("lows", 1), ("highs", 0), ("floors", LEAST))]
             for row in cells.to_pylist():
                 cell, _, _ = _unpacked(row, size)
-                for own, wish, hit, score in _in_chunks(ids, labels, _level(cell, vectors), *wishes, cell, k, same):
-                    out.append([ids[own], marks[own], wish, hit, score])
-        return pa.table([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out, strict=True)], names=names)
+                best = _merged([best, *_in_chunks(ids, labels, _level(cell, vectors), *wishes, cell, k, same)], wishes[2], k)
+        own, wish, hit, score = best
+        return pa.table([pa.array(c, pa.int64()) for c in (ids[own], marks[own], wish, hit, score)], names=names)
 
     pairs = left.groupBy(*keys).cogroup(right.groupBy(*keys))
     return pairs.applyInArrow(search, ", ".join(f"{n} long" for n in names))
 
 
+def _merged(found: list, floors: np.ndarray, k: int) -> list[np.ndarray]:
+    """The ``k`` best hits of every (anchor row, wish); raises ``floors`` to the k-th score where there are so many."""
+    own, wish, hit, score = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.lexsort((hit, ~score, wish, own))
+    own, wish, hit, score = own[order], wish[order], hit[order], score[order]
+    first = np.flatnonzero((np.diff(own, prepend=-1) != 0) | (np.diff(wish, prepend=-1) != 0))
+    nth = np.arange(len(own)) - np.repeat(first, np.diff([*first, len(own)]))
+    last = nth == k - 1
+    floors[own[last], wish[last]] = np.maximum(floors[own[last], wish[last]], score[last])
+    return [c[nth < k] for c in (own, wish, hit, score)]
+
+
 def _wishes(values: list[list[int]], fill: int) -> np.ndarray:
     width = max(map(len, values))
     return np.array([v + [fill] * (width - len(v)) for v in values], np.int64)
