@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.switching import latest_regimes
 from barloom.operators.series import block_window, core_rows, with_context, with_positions
+from barloom.session import spread
 
 MIN_OBSERVATIONS = 500
 REFIT_EVERY = 20
@@ -127,10 +128,8 @@ def refit_labels(returns: DataFrame) -> DataFrame:
             ),
         )
     )
-    # A fixed partition count keeps adaptive execution from merging these small but slow tasks.
-    partitions = int(returns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     labels = (
-        history.repartition(partitions, "ticker", "chunk")
+        spread(history, "ticker", "chunk")
         .sortWithinPartitions("ticker", "chunk", "i")
         .mapInPandas(_fit_packs, "ticker string, refit long, regime int")
     )

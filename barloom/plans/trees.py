@@ -19,6 +19,7 @@ from barloom.functions.histogram_trees import LEARNERS
 from barloom.functions.shared_boosting import boosted_together
 from barloom.plans.splits import Scheme, fold_bounds
 from barloom.schemas import ATTEMPTS, NOT_FINITE, PREDICTIONS, TARGET
+from barloom.session import spread
 
 SEED = 42
 
@@ -112,7 +113,7 @@ def tree_attempts(
             return head[ATTEMPTS.fieldNames()]
         return test.assign(prediction=found, error=None)[ATTEMPTS.fieldNames()]
 
-    return _fold_rows(df, fits, names, "model").groupBy("ticker", "fold", "model").applyInPandas(fit, ATTEMPTS)
+    return spread(_fold_rows(df, fits, names, "model"), "ticker", "fold", "model").groupBy("ticker", "fold", "model").applyInPandas(fit, ATTEMPTS)
 
 
 def message(error: Exception) -> str:
@@ -178,7 +179,7 @@ def param_search(
         errors = ((found - test["actual"].to_numpy()) ** 2).mean(axis=1)
         return pd.DataFrame({"ticker": rows["ticker"].iloc[0], "fold": rows["fold"].iloc[0], "trial": range(len(errors)), "mse": errors})
 
-    scores = uses.groupBy("ticker", "fold").applyInPandas(fit, "ticker string, fold int, trial int, mse double")
+    scores = spread(uses, "ticker", "fold").groupBy("ticker", "fold").applyInPandas(fit, "ticker string, fold int, trial int, mse double")
     means = scores.groupBy("ticker", "trial").agg(F.avg("mse").alias("mean_mse"))
     return means.join(_params_table(development.sparkSession, candidates), "trial").select("ticker", "trial", "params", "mean_mse")
 
@@ -207,4 +208,4 @@ def refit_best(
         found = LEARNERS["boosted"](train[names].to_numpy(), train["actual"].to_numpy(), test[names].to_numpy(), seed, **own)
         return test[["ticker", "date", "actual", "fold"]].assign(model="BoostedTrees", prediction=found)[PREDICTIONS.fieldNames()]
 
-    return uses.groupBy("ticker", "fold").applyInPandas(fit, PREDICTIONS)
+    return spread(uses, "ticker", "fold").groupBy("ticker", "fold").applyInPandas(fit, PREDICTIONS)

@@ -41,3 +41,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` to a fixed number of partitions, several for each of the session's.
+
+    For groups that are small but slow to compute: adaptive execution would merge their tasks by
+    size, down to a single one.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(4 * partitions, *keys)
