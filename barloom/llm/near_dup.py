@@ -8,11 +8,13 @@
    similarity 0.8 it misses (P(two or more of six lanes differ)) ** 14 = 3e-7.
 3. Star round: each document of a bucket is compared with the bucket's pivot only (the smallest in
    a scrambled order), so a group of n near copies gives n pairs a bucket and not n * n.
-4. Rest round: within a bucket, pairs of documents that are in different components by then are
-   compared too; the largest component of a bucket is compared with the others only, never with
-   itself. After that no candidate pair is left undecided.
-5. Both rounds drop pairs whose 4-bit signatures differ in more than ``FAR`` lanes (similarity 0.8
-   exceeds that with a probability of 4e-10), then count the common shingles of the full sets.
+   Pairs whose 4-bit signatures differ in more than ``FAR`` lanes are dropped (similarity 0.8 exceeds
+   that with a probability of 4e-10), the others count the common shingles of their full sets.
+4. Rest round: buckets whose documents are in different components by then hold undecided pairs.
+   Their documents are cut into blocks of bounded size, near ones together, and every two blocks that
+   share such a bucket meet in one task with their texts. It counts the common shingles of all
+   its pairs at once, as a product of incidence matrices, and only links that join components
+   leave it: however many pairs a group has, it emits fewer rows than documents.
 
 Hot buckets: counts and pivots are aggregated before the shuffle and joins can be split by Spark.
 """
@@ -33,6 +35,8 @@ CHUNKS, LANES = 14, 6
 N_LANES = CHUNKS * LANES
 FAR = 40
 BATCH_ROWS = 1000  # rows that go to a Python worker together
+#: A block of the rest round holds about this many documents and shingles; matrices have so many columns.
+BLOCK_DOCS, BLOCK_SHINGLES, MATRIX_COLUMNS = 1024, 1 << 19, 4096
 WORDS = 6  # longs that hold the 4-bit lanes, 16 in each
 
 _RANDOM = np.random.RandomState(20240229)
@@ -227,19 +231,7 @@ def _bodies(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """``node, body``: the compressed lower-case text of the documents in ``pairs`` (``a``, ``b``)."""
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
 
-    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3).compress
-        for batch in sliced(batches):
-            raws = batch.column("text").cast(pa.binary()).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(_scrambled(batch.column("doc_id").to_numpy())),
-                    pa.array([pack(b" ".join(r.lower().split())) for r in raws], pa.binary()),
-                ],
-                names=["node", "body"],
-            )
-
-    own = documents(docs).where("doc_id is not null").mapInArrow(squeeze, "node long, body binary")
+    own = documents(docs).where("doc_id is not null").mapInArrow(_squeeze, "node long, body binary")
     return own.join(nodes, "node", "left_semi").dropDuplicates(["node", "body"])
 
 
@@ -285,9 +277,8 @@ def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
     links = stage_columns(links.union(_repeated_ids(members)), "links")
     groups = stage_columns(components(links), "groups")
 
-    rest = stage_columns(_rest_pairs(rows.where("n > 2"), groups, sketches, stars), "rest")
-    if not rest.isEmpty():
-        more = _confirmed(rest, _bodies(docs, rest), size, percent)
+    more = _rest_links(docs, rows.where("n > 2"), groups, sketches, size, percent)
+    if more is not None:
         known = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
         groups = stage_columns(components(known.union(more)), "groups")
 
@@ -303,22 +294,122 @@ def _repeated_ids(members: DataFrame) -> DataFrame:
     return members.select("doc_id", "rep").join(spread.select("doc_id", "b"), "doc_id").where("rep <> b").select(F.col("rep").alias("a"), "b")
 
 
-def _rest_pairs(rows: DataFrame, groups: DataFrame, sketches: DataFrame, done: DataFrame) -> DataFrame:
-    """Pairs of nodes that share a bucket, are in different components and were not compared yet."""
+def _rest_links(docs: DataFrame, rows: DataFrame, groups: DataFrame, sketches: DataFrame, size: int, percent: int) -> DataFrame | None:
+    """Links between components among the pairs that share a bucket; None where no pair is undecided."""
     placed = sketches.join(groups, F.col("rep") == groups["node"], "left").select(
-        sketches["*"], F.coalesce("component", "rep").alias("component")
+        sketches["node"], sketches["size"], F.coalesce("component", "rep").alias("component")
+    )
+    own = rows.select("key", "node", "pivot").join(placed, "node")
+    mixed = own.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    own = stage_columns(own.join(mixed.select("key"), "key"), "rest-rows")
+    if own.isEmpty():
+        return None
+    blocks = stage_columns(_blocks(own), "rest-blocks")
+    keyed = own.select("key", "node").join(blocks.select("node", "block"), "node").select("key", "block").distinct()
+    x, y = keyed.alias("x"), keyed.alias("y")
+    meets = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.block") <= F.col("y.block")))
+    meets = stage_columns(meets.select(F.col("x.block").alias("left"), F.col("y.block").alias("right")).distinct(), "rest-meets")
+    sides = meets.select("left", "right", F.explode(F.array_distinct(F.array("left", "right"))).alias("block"))
+    sent = sides.join(blocks, "block")
+    bodies = documents(docs).where("doc_id is not null").mapInArrow(_squeeze, "node long, body binary")
+
+    def compare(table: pa.Table) -> pa.Table:
+        names = ["a", "b"]
+        found = np.array(_joining(table, size, percent), np.int64).reshape(-1, 2)
+        return pa.table([pa.array(_unscrambled(found[:, k])) for k in range(2)], names=names)
+
+    return bodies.join(sent, "node").groupBy("left", "right").applyInArrow(compare, "a long, b long")
+
+
+def _blocks(own: DataFrame) -> DataFrame:
+    """``node, component, block``: documents that can be reached from each other through buckets are one
+    cluster, and a cluster beyond the limits is cut, documents with the same smallest pivot together."""
+    near = own.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    clusters = components(near).withColumnRenamed("component", "cluster")
+    nodes = own.groupBy("node").agg(F.min("pivot").alias("home"), F.min("size").alias("size"), F.min("component").alias("component"))
+    nodes = stage_columns(nodes.join(clusters, "node"), "rest-nodes")
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("size") / BLOCK_SHINGLES))
+    homes = nodes.groupBy("cluster", "home").agg(parts.alias("home_parts"), F.count(F.lit(1)).alias("m"))
+    whole = nodes.groupBy("cluster").agg(parts.alias("parts"))
+    nodes = nodes.join(homes, ["cluster", "home"]).join(whole, "cluster")
+    alone = (F.col("home_parts") > 1) | (F.col("m") * 2 > BLOCK_DOCS)
+    block = (
+        F.when(F.col("parts") <= 1, F.xxhash64("cluster"))
+        .when(alone, F.xxhash64("cluster", "home", F.pmod(F.xxhash64("node"), F.col("home_parts"))))
+        .otherwise(F.xxhash64("cluster", F.lit("others"), F.pmod(F.xxhash64("home"), F.col("parts"))))
     )
-    own = rows.select("key", "node").join(placed, "node")
-    sizes = own.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
-    top = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", "m").alias("top")).where("parts > 1")
-    own = own.join(top.select("key", "top"), "key").withColumn("in_top", F.col("component") == F.col("top"))
-    own = stage_columns(own.drop("top", "rep"), "rest-rows")
-    x, y = own.where("not in_top").alias("x"), own.alias("y")
-    differs = (F.col("x.component") != F.col("y.component")) & (F.col("y.in_top") | (F.col("x.node") < F.col("y.node")))
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & differs & _near("x", "y"))
-    pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    known = done.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a"))
-    return pairs.join(known, ["a", "b"], "left_anti")
+    return nodes.select("node", "component", block.alias("block"))
+
+
+def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``node, body``: the compressed words of documents."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in sliced(batches):
+        raws = batch.column("text").cast(pa.binary()).to_pylist()
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(_scrambled(batch.column("doc_id").to_numpy())),
+                pa.array([pack(b" ".join(r.lower().split())) for r in raws], pa.binary()),
+            ],
+            names=["node", "body"],
+        )
+
+
+def _joining(table: pa.Table, size: int, percent: int) -> list[tuple[int, int]]:
+    """Links of nodes of two blocks (or of one) that join their components, at most one fewer than these."""
+    left, right = table.column("left")[0].as_py(), table.column("right")[0].as_py()
+    restore = zstandard.ZstdDecompressor().decompress
+    held = {}
+    for node, component, block, body in zip(*(table.column(c).to_pylist() for c in ("node", "component", "block", "body")), strict=True):
+        held.setdefault((node, body), (node, component, block))
+    own = sorted((where[2] != left, where[0], where[1], body) for (_, body), where in held.items())
+    sets = [shingle_set(restore(body), size) for *_, body in own]
+    nodes = [node for _, node, _, _ in own]
+    sizes = np.array([len(s) for s in sets], np.int64)
+    first = len(own) if left == right else sum(not other for other, *_ in own)
+    ends = (0, first), (first if left != right else 0, len(own))
+    parent = {component: component for _, _, component, _ in own}
+
+    def root(c):
+        while parent[c] != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
+    numbers = {c: i for i, c in enumerate(parent)}
+    label = np.array([numbers[component] for _, _, component, _ in own])
+    common = _common(sets, *ends)
+    (x0, x1), (y0, y1) = ends
+    linked = 100 * common >= percent * (sizes[x0:x1, None] + sizes[None, y0:y1] - common)
+    linked &= (label[x0:x1, None] != label[None, y0:y1]) & (common > 0)
+    found = []
+    for i, j in zip(*(k.tolist() for k in np.nonzero(linked)), strict=True):
+        a, b = root(own[x0 + i][2]), root(own[y0 + j][2])
+        if a != b:
+            parent[a] = b
+            found.append((nodes[x0 + i], nodes[y0 + j]))
+    return found
+
+
+def _common(sets: list[np.ndarray], x: tuple[int, int], y: tuple[int, int]) -> np.ndarray:
+    """[x, y] sizes of the intersections of the sets in two ranges."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    values, column = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_inverse=True)
+    # only shingles that both ranges hold (of one range: that two sets hold) can be common
+    in_x, in_y = (owner >= x[0]) & (owner < x[1]), (owner >= y[0]) & (owner < y[1])
+    count = np.bincount(column, minlength=len(values))
+    both = (np.bincount(column[in_x], minlength=len(values)) > 0) & (np.bincount(column[in_y], minlength=len(values)) > 0) & (count > 1)
+    number = np.cumsum(both) - 1
+    kept = both[column]
+    owner, column = owner[kept], number[column[kept]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((x[1] - x[0], y[1] - y[0]))
+    for at in range(0, int(both.sum()), MATRIX_COLUMNS):
+        low, high = np.searchsorted(column, [at, at + MATRIX_COLUMNS])
+        part = np.zeros((len(sets), MATRIX_COLUMNS), np.float32)
+        part[owner[low:high], column[low:high] - at] = 1
+        out += part[x[0] : x[1]] @ part[y[0] : y[1]].T  # whole numbers, exact
+    return out.astype(np.int64)
 
 
 def keep_one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

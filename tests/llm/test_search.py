@@ -95,6 +95,45 @@ def edited(text, rng, share):
     return " ".join(words)
 
 
+@pytest.mark.parametrize("block_docs,block_shingles", [(1024, 1 << 19), (48, 1 << 19), (1024, 6000)])
+def test_a_group_of_edited_copies_just_under_the_limit(spark, monkeypatch, block_docs, block_shingles):
+    monkeypatch.setattr(near_dup, "BLOCK_DOCS", block_docs)
+    monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", block_shingles)
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(120)]
+
+    def copy(share):
+        words = list(base)
+        for i in rng.choice(120, int(120 * share), replace=False):
+            words[i] = f"e{rng.integers(0, 10**6)}"
+        return " ".join(words)
+
+    # similarities of pairs around 0.7, some beyond 0.8, and chains of links
+    rows = [(i, copy(rng.choice([0.03, 0.05, 0.06, 0.08]))) for i in range(260)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(tuple(r) for r in near_dup.near_duplicates(docs, 2).collect())
+    want = brute_groups(rows, 2)
+    assert got == want
+    assert 20 < len({c for _, _, c, _ in want}) < 250
+
+
+def test_links_that_leave_a_task_are_fewer_than_its_documents():
+    import pyarrow as pa
+    import zstandard
+
+    pack = zstandard.ZstdCompressor().compress
+    texts = [" ".join(f"w{i}" for i in range(40)) + f" x{k % 3}" for k in range(30)] + ["quite another text"]
+    table = pa.table({
+        "node": list(range(31)), "component": list(range(31)), "block": [1] * 15 + [2] * 16,
+        "body": [pack(t.encode()) for t in texts], "left": [1] * 31, "right": [2] * 31,
+    })
+    links = near_dup._joining(table, 2, 80)
+    assert len(links) == 29 and all(a < 15 <= b < 30 for a, b in links)
+    sets = [near_dup.shingle_set(t, 2) for t in texts]
+    common = near_dup._common(sets, (0, 20), (20, 31))
+    assert all(common[i, j] == len(np.intersect1d(sets[i], sets[20 + j])) for i in range(20) for j in range(11))
+
+
 @pytest.mark.parametrize("size", [2, 5])
 def test_near_duplicates(spark, size):
     rng = np.random.default_rng(size)
