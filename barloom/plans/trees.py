@@ -68,7 +68,7 @@ def boosting(params: dict | None = None) -> TreeModel:
     return TreeModel("boosted", dict(params or TUNED_BOOSTING))
 
 
-def _fold_rows(df: DataFrame, fits: DataFrame, features: Sequence[str], *extra: str) -> DataFrame:
+def fold_rows(df: DataFrame, fits: DataFrame, features: Sequence[str], *extra: str) -> DataFrame:
     """Training and test rows of every fit, with ``extra`` columns of the fit; the purged gap belongs to neither."""
     rows = df.select("ticker", "date", "rn", F.col(TARGET).alias("actual"), *[F.col(c).cast("double").alias(c) for c in features])
     in_training, in_test = F.col("rn") < F.col("train_end"), F.col("rn").between(F.col("test_start"), F.col("test_end") - 1)
@@ -113,7 +113,7 @@ def tree_attempts(
             return head[ATTEMPTS.fieldNames()]
         return test.assign(prediction=found, error=None)[ATTEMPTS.fieldNames()]
 
-    return spread(_fold_rows(df, fits, names, "model"), "ticker", "fold", "model").groupBy("ticker", "fold", "model").applyInPandas(fit, ATTEMPTS)
+    return spread(fold_rows(df, fits, names, "model"), "ticker", "fold", "model").groupBy("ticker", "fold", "model").applyInPandas(fit, ATTEMPTS)
 
 
 def message(error: Exception) -> str:
@@ -170,7 +170,7 @@ def param_search(
     """
     candidates = candidates or random_candidates(trials, seed)
     names = list(features)
-    uses = _fold_rows(development, fold_bounds(development, scheme), names)
+    uses = fold_rows(development, fold_bounds(development, scheme), names)
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("rn")
@@ -199,7 +199,7 @@ def refit_best(
     """Forecasts of each ticker's best candidate, refitted over the folds of ``scheme``."""
     names = list(features)
     fits = fold_bounds(df, scheme).join(best.select("ticker", "trial"), "ticker")
-    uses = _fold_rows(df, fits, names, "trial")
+    uses = fold_rows(df, fits, names, "trial")
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("rn")

@@ -3,10 +3,10 @@
 from pyspark.sql import functions as F
 
 from barloom.operators.sequences import sequence_windows
-from barloom.plans import evaluate, linear, scoring, splits, trees
+from barloom.plans import evaluate, level_trees, linear, scoring, splits, trees
 from barloom.plans.dataset import preset
 from barloom.schemas import PREDICTIONS, RESULTS, RUNS
-from barloom.session import fresh_path
+from barloom.session import fresh_path, stage
 from barloom.sources import outputs
 from catalog import sql, stages
 from catalog.registry import query, rounded
@@ -430,6 +430,51 @@ def stump_holdout(spark, sf_dir):
     return _rounded_predictions(rows).select("ticker", "date", "actual", "prediction")
 
 
+def _cuts(level: int) -> tuple[tuple[str, str], ...]:
+    """SQL of one level: the best cut of every node of ``tree_{level}`` and the rows below it."""
+    return (
+        (f"cells_{level}", f"""
+      select ticker, node, f, v, count(*) as w, sum(target_5d) as s
+      from (select ticker, node, target_5d, unnest([0, 1]) as f, unnest([day, week]) as v from tree_{level} where train)
+      group by all"""),
+        (f"sums_{level}", f"""
+      select *, sum(w) over upto as lw, sum(s) over upto as ls, sum(w) over lane as tw, sum(s) over lane as ts
+      from cells_{level}
+      window lane as (partition by ticker, node, f), upto as (partition by ticker, node, f order by v)"""),
+        (f"best_{level}", f"""
+      select ticker, node, f, v from sums_{level}
+      where lw < tw and ls * ls / lw + (ts - ls) * (ts - ls) / (tw - lw) - ts * ts / tw > 1e-15
+      qualify row_number() over (partition by ticker, node
+                                 order by ls * ls / lw + (ts - ls) * (ts - ls) / (tw - lw) desc, f, v) = 1"""),
+        (f"tree_{level + 1}", f"""
+      select t.* exclude (node), case when b.f is null then t.node
+             when (case b.f when 0 then t.day else t.week end) <= b.v then 2 * t.node + 1 else 2 * t.node + 2 end as node
+      from tree_{level} t left join best_{level} b on b.ticker = t.ticker and b.node = t.node"""),
+    )
+
+
+@query("two_level_holdout", sql.with_(
+    *sql.TO_DATASET,
+    ("tree_0", """
+      select ticker, date, rn < floor(n * 0.8e0) as train, target_5d, 0 as node,
+             cast(date_diff('day', date '1970-01-01', date) % 11 as integer) as day,
+             cast(date_diff('day', date '1970-01-01', date) % 7 as integer) as week
+      from dataset
+      where floor(n * 0.8e0) between 1 and n - 1"""),
+    *_cuts(0), *_cuts(1),
+    ("leaves", "select ticker, node, avg(target_5d) as mean from tree_2 where train group by 1, 2"),
+    final="""
+    select t.ticker, t.date, round(t.target_5d, 6) + 0.0 as actual, round(l.mean, 6) + 0.0 as prediction
+    from tree_2 t join leaves l on l.ticker = t.ticker and l.node = t.node
+    where not t.train"""))
+def two_level_holdout(spark, sf_dir):
+    """One distributed tree of depth 2 on two whole-numbered features: the same cuts as in SQL."""
+    day = F.unix_date("date")
+    dataset = stages.core_dataset(spark, sf_dir).withColumns({"day": day % 11, "week": day % 7})
+    rows = level_trees.boosted_predictions(dataset, splits.Holdout(), ["day", "week"], **STUMP | {"max_depth": 2})
+    return _rounded_predictions(rows).select("ticker", "date", "actual", "prediction")
+
+
 @query("rf_holdout")
 def rf_holdout(spark, sf_dir):
     models = {"RandomForest": trees.forest(**trees.VALIDATION_FOREST)}
@@ -518,6 +563,27 @@ def multi_ticker_results(spark, sf_dir):
     return evaluate.require_results(outputs.read_csv(spark, f"{folder}/results", RESULTS))
 
 
+@query("validation_status", sql.with_(
+    *sql.TO_DATASET, sql.WALK,
+    ("tested", """
+      select ticker, test_fold as fold, count(*) as tested, any_value(n) as n from walk
+      where test_fold is not null group by 1, 2"""),
+    ("fits", """
+      select ticker, fold, model, tested, model <> 'Naive' and n % 2 = 1
+             and (1010 < 995 + 100 * (fold - 1) or 1010 between 1000 + 100 * (fold - 1) and 999 + 100 * fold) as bad
+      from tested, (values ('Naive'), ('Ridge'), ('RandomForest')) m(model)"""),
+    final="""
+    select ticker, fold, model, case when bad then 'failed' else 'done' end as status,
+           case when bad then 0 else tested end as row_count,
+           case when bad then 'features or targets are not finite' end as error
+    from fits"""))
+def validation_status(spark, sf_dir):
+    """Every fit of a comparison in which an infinite feature spoils some tickers."""
+    spoilt = F.when((F.col("rn") == 1010) & (F.col("n") % 2 == 1), F.lit(float("inf"))).otherwise(F.col("macd"))
+    dataset = stage(stages.full_dataset(spark, sf_dir).withColumn("macd", spoilt), "spoilt")
+    return evaluate.multi_ticker_validation(dataset, "full6", folder=fresh_path(spark, "status")).status
+
+
 @query("param_search")
 def param_search(spark, sf_dir):
     return stages.searched(spark, sf_dir)
