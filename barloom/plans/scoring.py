@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.scores import all_scores
+from barloom.plans.quantiles import quantiles
 
 
 def score(predictions: DataFrame, keys=("ticker", "model")) -> DataFrame:
@@ -69,26 +70,22 @@ def union_predictions(*parts: DataFrame) -> DataFrame:
 
 def target_describe(dataset: DataFrame, column: str = "target_5d") -> DataFrame:
     """Count, mean, sample deviation, extremes and interpolated quartiles per ticker."""
-    quartiles = F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return (
-        dataset.groupBy("ticker")
-        .agg(
-            F.count(column).alias("count"),
-            F.avg(column).alias("mean"),
-            F.stddev_samp(column).alias("std"),
-            F.min(column).alias("min"),
-            quartiles.alias("_q"),
-            F.max(column).alias("max"),
-        )
-        .select(
-            "ticker",
-            "count",
-            "mean",
-            "std",
-            "min",
-            *[F.col("_q")[i].alias(f"p{p}") for i, p in enumerate((25, 50, 75))],
-            "max",
-        )
+    stats = dataset.groupBy("ticker").agg(
+        F.count(column).alias("count"),
+        F.avg(column).alias("mean"),
+        F.stddev_samp(column).alias("std"),
+        F.min(column).alias("min"),
+        F.max(column).alias("max"),
+    )
+    found = quantiles(dataset, "ticker", column, [0.25, 0.5, 0.75])
+    return stats.join(found, "ticker", "left").select(
+        "ticker",
+        "count",
+        "mean",
+        "std",
+        "min",
+        *[F.col("quantiles")[i].alias(f"p{p}") for i, p in enumerate((25, 50, 75))],
+        "max",
     )
 
 

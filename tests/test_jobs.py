@@ -104,12 +104,12 @@ def test_only_changed_months_are_rewritten(spark):
     table = fresh_path(spark, "t-bars")
     bars = bars_frame(spark, walk("A", 90), walk("B", 90))
     tables.write_table(bars, table)
-    before = {p.name: p.stat().st_mtime_ns for p in Path(table).rglob("*.parquet")}
+    before = {p.name: p.stat().st_mtime_ns for p in (Path(table) / "data").rglob("*.parquet")}
     tables.upsert_table(bars, table, MARKET_DATA)
-    assert {p.name: p.stat().st_mtime_ns for p in Path(table).rglob("*.parquet")} == before
+    assert {p.name: p.stat().st_mtime_ns for p in (Path(table) / "data").rglob("*.parquet")} == before
     changed = bars.withColumn("close", F.when((F.col("date") == "2000-02-03") & (F.col("ticker") == "B"), 1.0).otherwise(F.col("close")))
     tables.upsert_table(changed, table, MARKET_DATA)
-    after = {p.name: p.parent.name for p in Path(table).rglob("*.parquet")}
+    after = {p.name: p.parent.name for p in (Path(table) / "data").rglob("*.parquet")}
     assert {after[n] for n in after if n not in before} == {"month=2000-02"}
     assert tables.scan_table(spark, table, MARKET_DATA).count() == 180
 

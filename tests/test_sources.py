@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -76,18 +77,76 @@ def test_upsert_replaces_adds_and_takes_the_last_duplicate(spark):
 def test_table_upsert_is_idempotent_and_touches_only_its_months(spark):
     path = fresh_path(spark, "t-table")
     tables.upsert_table(bars_frame(spark, walk("A", 100), walk("B", 100)), path, MARKET_DATA)
-    before = {f for f in spark.read.parquet(path).inputFiles() if "2000-01" in f}
+    stored = lambda: {f for f in tables.scan_table(spark, path, MARKET_DATA).inputFiles() if "2000-01" in f}
+    before = stored()
     new = bars_frame(spark, walk("A", 100).assign(close=5.0)).where("date >= '2000-03-15'")
     for _ in range(2):
         tables.upsert_table(new, path, MARKET_DATA)
         table = tables.scan_table(spark, path, MARKET_DATA)
         assert table.count() == 200
         assert table.where("close = 5.0").count() == new.count()
-    assert {f for f in spark.read.parquet(path).inputFiles() if "2000-01" in f} == before
+    assert stored() == before
     tables.upsert_table(new.where("false"), path, MARKET_DATA)
     assert tables.scan_table(spark, path, MARKET_DATA).count() == 200
 
 
+def closes(spark, path):
+    return {(r.ticker, r.date): r.close for r in tables.scan_table(spark, path, MARKET_DATA).collect()}
+
+
+def test_a_delivery_lost_midway_leaves_the_table_as_it_was(spark, monkeypatch):
+    path = fresh_path(spark, "t-lost")
+    tables.upsert_table(bars_frame(spark, walk("A", 100), walk("B", 100)), path, MARKET_DATA)
+    before = closes(spark, path)
+    new = bars_frame(spark, walk("A", 100).assign(close=5.0), walk("C", 100))
+    # the job fails in its last month, when the files of others are written
+    broken = F.when(F.col("month") == "2000-04", F.raise_error(F.lit("lost")).cast("double")).otherwise(F.col("close"))
+    commit = tables._commit
+    monkeypatch.setattr(tables, "_commit", lambda df, *a, **k: commit(df.withColumn("close", broken), *a, **k))
+    with pytest.raises(Exception, match="lost"):
+        tables.upsert_table(new, path, MARKET_DATA)
+    assert closes(spark, path) == before
+    monkeypatch.undo()
+    # all files are written, but the pointer is not
+    monkeypatch.setattr(tables, "_point", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError, match="lost"):
+        tables.upsert_table(new, path, MARKET_DATA)
+    assert closes(spark, path) == before
+    monkeypatch.undo()
+    # a manifest without its end marker is none
+    (Path(path) / "manifest" / "00000002").mkdir()
+    assert closes(spark, path) == before and tables.current(spark, path)[0] == 1
+    tables.upsert_table(new, path, MARKET_DATA)
+    after = closes(spark, path)
+    assert tables.current(spark, path)[0] == 3 and len(after) == 300
+    assert all(after["A", d] == 5.0 for t, d in after if t == "A") and all(after["B", d] == before["B", d] for t, d in before if t == "B")
+
+
+def test_a_commit_on_an_outdated_read_fails(spark):
+    path = fresh_path(spark, "t-race")
+    tables.write_table(bars_frame(spark, walk("A", 40)), path)
+    read = tables.current(spark, path)
+    tables.upsert_table(bars_frame(spark, walk("B", 40)), path, MARKET_DATA)
+    late = tables._with_month(bars_frame(spark, walk("C", 40)))
+    with pytest.raises(tables.ConcurrentCommit):
+        tables._commit(late, path, read)
+    assert {t for t, _ in closes(spark, path)} == {"A", "B"}
+
+
+def test_old_versions_are_dropped_and_the_latest_stays_whole(spark):
+    path = fresh_path(spark, "t-old")
+    tables.write_table(bars_frame(spark, walk("A", 70)), path)
+    for close in (1.0, 2.0, 3.0):
+        tables.upsert_table(bars_frame(spark, walk("A", 70).assign(close=close)).where("date >= '2000-03-01'"), path, MARKET_DATA)
+    before = closes(spark, path)
+    assert len(list((Path(path) / "data").iterdir())) == 4
+    tables.drop_old_versions(spark, path, keep=1)
+    assert closes(spark, path) == before and tables.current(spark, path)[0] == 4
+    assert len(list((Path(path) / "data").iterdir())) == 2 and len(list((Path(path) / "manifest").iterdir())) == 1
+    tables.write_table(bars_frame(spark, walk("A", 70)).where("false"), path)
+    assert closes(spark, path) == {}
+
+
 def test_scan_pushes_the_ticker_filter_and_prunes_columns(spark):
     path = fresh_path(spark, "t-scan")
     tables.write_table(bars_frame(spark, walk("A", 10), walk("B", 10)), path)

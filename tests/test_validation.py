@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from barloom.plans import evaluate, ledger, linear, splits, trees
 from barloom.session import fresh_path, stage
-from barloom.sources import outputs
+from barloom.sources import files, outputs
 from tests.test_models import FEATURES, dataset, sample
 
 SCHEME = splits.WalkForward(initial=60, test_rows=20, purge=5)
@@ -96,5 +96,5 @@ def test_a_lost_run_leaves_no_ledger_rows(spark, tables, monkeypatch):
     with pytest.raises(RuntimeError, match="lost"):
         validate(sound, folder)
     monkeypatch.undo()
-    assert not ledger.exists(spark, f"{folder}/ledger")
+    assert not files.exists(spark, f"{folder}/ledger")
     assert len(scores(validate(sound, folder))) == 6
