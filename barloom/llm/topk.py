@@ -17,34 +17,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.llm.whole_vectors import LEAST, MOST, as_kind, checked, in_long, largest, matrix, score_kind, whole_vectors
+
 BLOCK = 256
 CELL_VECTORS = 8192
 GROUP_QUERIES = 8192
 ORDER_BITS = 14
-#: Components are whole numbers below this size, so that scores fit 64 bits.
-LARGEST = 1 << 28
-NONE = np.iinfo(np.int64).max
-
-
-def whole_vectors(values: list, scale: int = 256) -> list[np.ndarray | None]:
-    """floor(scale * x) of each vector; None for one that takes no part."""
-    out = []
-    for vector in values:
-        if vector is None:
-            out.append(None)
-            continue
-        # a null component has become NaN
-        own = np.asarray(vector, np.float64)
-        if not np.isfinite(own).all():
-            out.append(None)
-            continue
-        own = np.floor(own * scale)
-        out.append(own.astype(np.int64) if np.abs(own).max(initial=0) < LARGEST else None)
-    return out
+#: Covers the rounding of bounds, as a share of the sum of their terms' sizes.
+SLACK = 1e-9
+NONE = MOST
 
 
 def _whole(df: DataFrame, scale: int, ordered: bool) -> DataFrame:
-    """``vec_id, vector`` (64-bit components as bytes), and ``code`` to order by."""
+    """``vec_id, vector`` (whole components as packed 64-bit floats), and ``code`` to order by."""
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         axes: dict[int, np.ndarray] = {}
@@ -82,14 +67,14 @@ def _blocks(whole: DataFrame, block: int) -> DataFrame:
         def close(n: int):
             nonlocal made
             made += 1
-            vectors = _matrix(raws[:n])
-            small = np.abs(vectors).max(initial=0) < 1 << 15
+            vectors = matrix(raws[:n])
+            small = largest(vectors) < 1 << 15
             return pa.RecordBatch.from_pydict(
                 {
                     "block": pa.array([base + made], pa.int64()),
                     "ids": pa.array([np.array(ids[:n], np.int64).tobytes()], pa.binary()),
                     "width": pa.array([vectors.shape[1]], pa.int32()),
-                    "vectors": pa.array([vectors.astype(np.int16 if small else np.int64).tobytes()], pa.binary()),
+                    "vectors": pa.array([vectors.astype(np.int16 if small else np.float64).tobytes()], pa.binary()),
                 }
             )
 
@@ -106,11 +91,6 @@ def _blocks(whole: DataFrame, block: int) -> DataFrame:
     return ordered.select("vec_id", "vector").mapInArrow(build, "block long, ids binary, width int, vectors binary")
 
 
-def _matrix(raws: list[bytes]) -> np.ndarray:
-    width = max((len(r) for r in raws), default=0)
-    return np.frombuffer(b"".join(r.ljust(width, b"\0") for r in raws), np.int64).reshape(len(raws), width // 8)
-
-
 def _widened(matrix: np.ndarray, width: int) -> np.ndarray:
     return np.pad(matrix, ((0, 0), (0, width - matrix.shape[1])))
 
@@ -123,50 +103,63 @@ def search_blocks(
     Ties go to the smaller id; places without a vector have the id ``NONE``. Vectors with the query's own
     id are left out.
     """
-    n, width = queries.shape
-    top = np.abs(queries).max(initial=0) * max((np.abs(v).max(initial=0) for _, v in blocks), default=0)
-    kind = np.float64 if int(top) * max(width, 1) < 1 << 52 else np.int64  # exact either way
-    own = queries.astype(kind)
-    blocks = [(ids, vectors.astype(kind)) for ids, vectors in blocks]
-    high = np.array([v.max(axis=0) for _, v in blocks], kind)
-    low = np.array([v.min(axis=0) for _, v in blocks], kind)
-    bounds = np.maximum(own, 0) @ high.T + np.minimum(own, 0) @ low.T
+    n, queries = len(queries), np.asarray(queries, np.float64)
+    high = np.array([v.max(axis=0) for _, v in blocks])
+    low = np.array([v.min(axis=0) for _, v in blocks])
+    above, below = np.maximum(queries, 0), np.minimum(queries, 0)
+    with np.errstate(over="ignore", invalid="ignore"):
+        bounds = above @ high.T + below @ low.T
+        # rounded sums: never below the true bound
+        bounds += SLACK * (above @ np.abs(high).T - below @ np.abs(low).T)
+    bounds[np.isnan(bounds)] = np.inf
     order = np.argsort(-bounds, axis=1, kind="stable")
-    none = NONE
-    best_ids = np.full((n, k), none, np.int64)
-    least = -np.inf if kind is np.float64 else np.iinfo(np.int64).min + 1
-    best = np.full((n, k), least, kind)
+    best_ids = np.full((n, k), NONE, np.int64)
+    best = np.full((n, k), LEAST, np.int64)
     active = np.arange(n)
     scored = 0
     for step in range(len(blocks)):
         at = order[active, step]
         # a bound equal to the k-th score may still hide a tie with a smaller id
-        going = (bounds[active, at] >= best[active, -1]) | (best_ids[active, -1] == none)
+        going = (bounds[active, at] >= best[active, -1]) | (best_ids[active, -1] == NONE)
         active, at = active[going], at[going]
         if not len(active):
             break
         for number in np.unique(at):
             rows = active[at == number]
             ids, vectors = blocks[number]
-            scores = own[rows] @ vectors.T
+            scores = _scores(queries[rows], vectors)
             scored += scores.size
             places = np.broadcast_to(ids, scores.shape)
             mine = places == query_ids[rows, None]
-            all_ids = np.concatenate([best_ids[rows], np.where(mine, none, places)], axis=1)
-            all_scores = np.concatenate([best[rows], np.where(mine, least, scores)], axis=1)
-            pick = np.lexsort((all_ids, -all_scores), axis=1)[:, :k]
+            all_ids = np.concatenate([best_ids[rows], np.where(mine, NONE, places)], axis=1)
+            all_scores = np.concatenate([best[rows], np.where(mine, LEAST, scores)], axis=1)
+            pick = np.lexsort((all_ids, ~all_scores), axis=1)[:, :k]  # ~s falls as s rises, and never overflows
             best_ids[rows] = np.take_along_axis(all_ids, pick, axis=1)
             best[rows] = np.take_along_axis(all_scores, pick, axis=1)
-    found = best_ids != none
-    return best_ids, np.where(found, best, 0).astype(np.int64), scored
+    return best_ids, np.where(best_ids != NONE, best, 0), scored
+
+
+def _scores(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Exact inner products, held at the ends of a long; only rows with large numbers need slower types."""
+    out = np.empty((len(queries), len(vectors)), np.int64)
+    for rows in _by_size(queries):
+        for columns in _by_size(vectors):
+            kind = score_kind(queries[rows], vectors[columns])
+            out[np.ix_(rows, columns)] = in_long(as_kind(queries[rows], kind) @ as_kind(vectors[columns], kind).T)
+    return out
+
+
+def _by_size(vectors: np.ndarray) -> list[np.ndarray]:
+    large = np.abs(vectors).max(axis=1, initial=0) >= 1 << 20
+    return [rows for rows in (np.flatnonzero(~large), np.flatnonzero(large)) if len(rows)]
 
 
 def exact_top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: int = 256, block: int = BLOCK) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the ``k`` best other rows for each row that ``queries`` selects.
 
-    ``vectors`` has ``vec_id`` and ``embedding``. A vector takes no part if it or its id is null,
-    if a component is null or not finite, or if ``scale`` times a component is 2 ** 28 or more (its
-    scores would not fit a long). Shorter vectors count as padded with zeros. Of rows that repeat a
+    ``vectors`` has ``vec_id`` and ``embedding``. A vector takes no part if it or its id is null or if a
+    component is null or not finite. Numbers of any size are computed exactly; a score outside 64 bits
+    is ranked right and fails the job if it belongs to the result. Shorter vectors count as padded with zeros. Of rows that repeat a
     ``vec_id`` each is a candidate for other ids; as queries, equal ones count once. Fewer than
     ``k`` candidates give as many rows; an empty table gives none. Other columns are ignored.
     """
@@ -195,15 +188,15 @@ def exact_top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: int = 25
         names = ["query_id", "query", "vec_id", "score"]
         if not blocks.num_rows or not queries.num_rows:
             return pa.table([pa.array([], pa.int64())] * 4, names=names)
-        found = _matrix(queries.column("vector").to_pylist())
+        found = matrix(queries.column("vector").to_pylist())
         query_ids = queries.column("vec_id").to_numpy()
         widths = blocks.column("width").to_pylist()
         width = max(found.shape[1], *widths)
         own_blocks = []
         for ids, w, raw in zip(blocks.column("ids").to_pylist(), widths, blocks.column("vectors").to_pylist(), strict=True):
             ids = np.frombuffer(ids, np.int64)
-            kind = np.int16 if len(raw) == 2 * len(ids) * w else np.int64
-            own_blocks.append((ids, _widened(np.frombuffer(raw, kind).reshape(len(ids), w).astype(np.int64), width)))
+            kind = np.int16 if len(raw) == 2 * len(ids) * w else np.float64
+            own_blocks.append((ids, _widened(np.frombuffer(raw, kind).reshape(len(ids), w).astype(np.float64), width)))
         out = []
         for at in range(0, len(found), 512):
             ids, scores, _ = search_blocks(query_ids[at : at + 512], _widened(found[at : at + 512], width), own_blocks, k)
@@ -216,7 +209,7 @@ def exact_top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: int = 25
     )
     ranked = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
     hits = hits.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
-    return hits.select("query_id", "rank", "vec_id", "score")
+    return hits.select("query_id", "rank", "vec_id", checked(F.col("score")).alias("score"))
 
 
 def _hashes(vectors: np.ndarray) -> np.ndarray:

@@ -38,6 +38,23 @@ def test_top_k_with_ties_nulls_and_repeats(spark):
     assert Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in got.collect()) == brute_top(rows)
 
 
+def test_top_k_of_large_vectors(spark):
+    """No finite vector is left out, sums do not wrap, and only a result beyond 64 bits fails."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.integers(-3, 3, 2) / 8]) for i in range(120)]
+    rows += [(200, [float(2**20), 1.0]), (201, [1e7, 0.0]), (202, [3e12, 1.0]), (203, [-1e30, 0.0]), (204, [0.0, 2.0**40])]
+    got = topk.exact_top_k(vectors(spark, rows), F.col("vec_id") % 50 == 0, k=130, block=32)
+    with pytest.raises(Exception, match="64 bits"):
+        got.collect()
+    single = [(i, np.array(v, np.float32).tolist()) for i, v in rows if i not in (202, 203)]
+    got = topk.exact_top_k(vectors(spark, single), F.col("vec_id") % 50 == 0, block=32)
+    assert Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in got.collect()) == brute_top(single)
+    wide = [(i, [float(2**20 - 1)] * 600) for i in range(5)] + [(i, [0.0] * 600) for i in range(50, 54)]
+    with pytest.raises(Exception, match="64 bits"):
+        topk.exact_top_k(vectors(spark, wide), F.col("vec_id") == 0).collect()
+    assert topk.exact_top_k(vectors(spark, wide), F.col("vec_id") == 50).count() == 5
+
+
 def test_top_k_of_few_and_no_rows(spark):
     rows = [(0, [1.0, 2.0]), (1, [3.0, -1.0])]
     got = topk.exact_top_k(vectors(spark, rows), F.col("vec_id") % 50 == 0).collect()
