@@ -33,6 +33,8 @@ LEAST_PAGES = 3
 #: Share of a host's varying text that a region named by its tag holds.
 NAMED_SHARE = 0.5
 TASK_TOKENS = 200_000
+#: Levels of a page that have paths of their own.
+DEEPEST = 128
 
 # Element and class names of HTML pages.
 RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "xmp", "noembed", "noframes")
@@ -140,11 +142,39 @@ def _ends(own: list[Event]) -> dict[int, int]:
     return found
 
 
-def _paths(own: list[Event], ends: dict[int, int]) -> Iterator[tuple[int, str, str, str]]:
+class _Open:
+    """The open elements at a place of a page, with their paths. Elements beyond ``DEEPEST`` levels count as
+    children of the last level, so paths stay short; browsers flatten such pages too."""
+
+    def __init__(self):
+        self.names: list[str] = []
+        self.paths: list[str] = [""]
+        self.count: dict[str, int] = {}
+        #: path -> the path around it, in the order in which they appeared
+        self.around: dict[str, str] = {}
+
+    def path_of(self, label: str) -> str:
+        around = self.paths[min(len(self.names), DEEPEST - 1)]
+        return f"{around}/{label}" if around else label
+
+    def push(self, name: str, label: str) -> str:
+        path = self.path_of(label)
+        self.around.setdefault(path, self.paths[min(len(self.names), DEEPEST - 1)])
+        self.names.append(name)
+        self.paths.append(path)
+        self.count[name] = self.count.get(name, 0) + 1
+        return path
+
+    def pop(self) -> tuple[str, str]:
+        name = self.names.pop()
+        self.count[name] -= 1
+        return name, self.paths.pop()
+
+
+def _paths(own: list[Event], ends: dict[int, int], stack: _Open | None = None) -> Iterator[tuple[int, str, str, str]]:
     """(place, kind, path, text) of the tokens that count for a template; dropped parts are one token
-    each, and one that is never closed is read as any element."""
-    stack: list[str] = []
-    names: list[str] = []
+    each, and one that is never closed is read as any element. Takes time in proportion to the page."""
+    stack = stack or _Open()
     stop = -1
     for at, event in enumerate(own):
         if at <= stop:
@@ -152,29 +182,24 @@ def _paths(own: list[Event], ends: dict[int, int]) -> Iterator[tuple[int, str, s
         if event.kind == "open":
             label = f"{event.name}.{event.marks}" if event.marks.strip("|") else event.name
             void = event.name in VOID
-            if (void or at in ends) and is_dropped(event, any(n in REGIONS for n in names)):
-                yield at, "drop", "/".join([*stack, label]), ""
+            if (void or at in ends) and is_dropped(event, any(stack.count.get(n) for n in REGIONS)):
+                yield at, "drop", stack.path_of(label), ""
                 if not void:
                     stop = ends[at]
                 continue
             if void:
                 continue
-            if event.name in ("p", "li") and names and names[-1] == event.name:
+            if event.name in ("p", "li") and stack.names and stack.names[-1] == event.name:
                 stack.pop()
-                names.pop()
-            stack.append(label)
-            names.append(event.name)
-            yield at, "open", "/".join(stack), ""
+            yield at, "open", stack.push(event.name, label), ""
         elif event.kind == "close":
-            if event.name in names:
-                while names:
-                    path = "/".join(stack)
-                    stack.pop()
-                    if names.pop() == event.name:
-                        yield at, "close", path, ""
-                        break
+            while stack.count.get(event.name):
+                name, path = stack.pop()
+                if name == event.name:
+                    yield at, "close", path, ""
+                    break
         elif text := event.text.strip():
-            yield at, "text", "/".join(stack), text
+            yield at, "text", stack.paths[-1], text
 
 
 def _token(kind: str, path: str, text: str) -> int:
@@ -196,20 +221,19 @@ def _page_tokens(page: str) -> dict[int, list]:
     token 0 stands for the page itself"""
     own = list(events(page))
     found: dict[int, list] = {0: ["page", None, 1, 0, 0]}
-    inside: dict[str, int] = {}
-    for place, (_, kind, path, text) in enumerate(_paths(own, _ends(own))):
+    masses: dict[str, int] = {}
+    stack = _Open()
+    for place, (_, kind, path, text) in enumerate(_paths(own, _ends(own), stack)):
         entry = found.setdefault(_token(kind, path, text), [kind, path, 0, place, 0])
         entry[2] += 1
         if kind == "text":
             entry[4] += len(text)
-            inside[path] = inside.get(path, 0) + len(text)
-    masses: dict[str, int] = {}
-    for path, mass in inside.items():
-        found[0][4] += mass
-        parts = path.split("/")
-        for n in range(1, len(parts) + 1):
-            above = "/".join(parts[:n])
-            masses[above] = masses.get(above, 0) + mass
+            masses[path] = masses.get(path, 0) + len(text)
+    found[0][4] = sum(masses.values())
+    # a path appears after the one around it
+    for path, around in reversed(stack.around.items()):
+        if around:
+            masses[around] = masses.get(around, 0) + masses.get(path, 0)
     for entry in found.values():
         if entry[0] == "open":
             entry[4] = masses.get(entry[1], 0)
@@ -385,7 +409,9 @@ def main_text(pages: DataFrame, more: Column | None = None) -> DataFrame:
     Null html counts as empty and has an empty text; a null url has no host, and such pages share
     one template. Repeated rows give repeated results; other columns are ignored. Templates join
     from the right: Spark broadcasts them only where it measures them below its threshold. ``more``: a
-    struct of the row that is handed on as column ``more``.
+    struct of the row that is handed on as column ``more``. Pages of any size and depth are read whole;
+    elements beyond ``DEEPEST`` levels count as children of that level. Of several ``article`` elements on
+    a page whose host has no region of its own the first one is read.
     """
     extra = {} if more is None else {"more": more}
     own = pages.select(

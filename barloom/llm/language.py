@@ -132,9 +132,9 @@ def text_evidence(model: np.ndarray, text: str) -> np.ndarray | None:
 class Fusion:
     """Everything the decision needs besides the row: sizes depend on the languages and suffixes only."""
 
-    def __init__(self, model, languages, declared, suffix, overall):
+    def __init__(self, model, languages, declared, overall):
         self.model, self.languages = model, languages
-        self.declared, self.suffix, self.overall = declared, suffix, overall
+        self.declared, self.overall = declared, overall
 
     def prior(self, host, parent, suffix) -> np.ndarray:
         """Each argument: counts of the languages at that level, or None."""
@@ -145,15 +145,13 @@ class Fusion:
                 share = (own + HOST_PULL * share) / (own.sum() + HOST_PULL)
         return share
 
-    def decide(self, text, declared, suffix, host_counts, parent_counts, suffix_counts) -> tuple[str, float, float, bool]:
+    def decide(self, text, declared, host_counts, parent_counts, suffix_counts) -> tuple[str, float, float, bool]:
         scores = text_evidence(self.model, text)
         if scores is None:
             return UNKNOWN, 0.0, 0.0, False
         log = TEXT_WEIGHT * scores + np.log(self.prior(host_counts, parent_counts, suffix_counts))
         if declared in self.declared:
             log = log + self.declared[declared]
-        if suffix in self.suffix:
-            log = log + self.suffix[suffix]
         share = np.exp(log - log.max())
         share /= share.sum()
         best = int(share.argmax())
@@ -203,19 +201,13 @@ def fit(rows: DataFrame, languages: list[str]):
     overall = np.zeros(len(languages))
     for r in pairs.groupBy("best").agg(F.sum("n").alias("n")).collect():
         overall[r["best"]] = r["n"]
-    fusion = Fusion(model, languages, _likelihoods(declared, languages), _likelihoods(suffix, languages), overall)
+    fusion = Fusion(model, languages, _likelihoods(declared, languages), overall)
     return fusion, _counts(pairs, "host", languages), _counts(pairs, "parent", languages), dict((r[0], r[1]) for r in suffix)
 
 
-def with_language(
-    df: DataFrame, text: str = "text", declared: str = "lang", address: str = "source", languages: list[str] = LANGUAGES
-) -> DataFrame:
-    """``df`` with a struct column ``language_id`` (``RESULT``).
-
-    A null or too short text has no trigrams: language ``und``, rejected. Null declarations and
-    addresses are no evidence. The host tables join from the right; Spark broadcasts them only
-    where it measures them below its threshold, and splits hot hosts otherwise.
-    """
+def _judged(df: DataFrame, text: str, declared: str, address: str, languages: list[str]) -> DataFrame:
+    """``row`` (a struct of all columns of ``df``) and ``language_id``: whatever the columns are called, they
+    meet no name used here."""
     fusion, hosts, parents, suffixes = fit(evidence(df, text, declared, address), languages)
 
     @F.pandas_udf(RESULT)
@@ -223,24 +215,38 @@ def with_language(
         import pandas as pd
 
         rows = [
-            fusion.decide(t, d, s, h, p, suffixes.get(s))
+            fusion.decide(t, d, h, p, suffixes.get(s))
             for t, d, s, h, p in zip(texts, declarations, suffix, host_counts, parent_counts, strict=True)
         ]
         return pd.DataFrame(rows, columns=["lang_pred", "posterior", "text_score", "kept"])
 
-    parts = address_parts(F.col(address))
-    keys = {f"_{n}": c for n, c in parts.items()}
-    rows = df.withColumns(keys | {"_declared": _declared(F.col(declared))})
-    rows = rows.join(hosts.withColumnRenamed("host", "_host"), "_host", "left")
-    rows = rows.join(parents.withColumnRenamed("parent", "_parent"), "_parent", "left")
-    own = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = rows.withColumn("language_id", decide(own, "_declared", "_suffix", "host_counts", "parent_counts"))
-    return rows.select(*(F.col(f"`{c}`") for c in df.columns), "language_id")
+    parts = [c.alias(n) for n, c in address_parts(F.col(address)).items()]
+    own = F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), own, _declared(F.col(declared)).alias("declared"), *parts)
+    rows = rows.join(hosts, "host", "left").join(parents, "parent", "left")
+    return rows.select("row", decide("text", "declared", "suffix", "host_counts", "parent_counts").alias("language_id"))
 
 
-def identify(df: DataFrame, key: str = "doc_id", **columns) -> DataFrame:
-    """``key, lang_pred, posterior, text_score, kept`` of every row."""
-    return with_language(df, **columns).select(key, "language_id.*")
+def with_language(
+    df: DataFrame, text: str = "text", declared: str = "lang", address: str = "source", languages: list[str] = LANGUAGES
+) -> DataFrame:
+    """``df`` with a struct column ``language_id`` (``RESULT``), which replaces one of that name.
+
+    A null or too short text has no trigrams: language ``und``, rejected. Null declarations and
+    addresses are no evidence. Of equal posteriors the first language counts. Repeated rows give repeated
+    results, an empty table none; other columns stay as they are under any name. The host tables join
+    from the right; Spark broadcasts them only where it measures them below its threshold, and splits
+    hot hosts otherwise.
+    """
+    judged = _judged(df, text, declared, address, languages)
+    return judged.select(*(F.col("row").getField(c).alias(c) for c in df.columns if c != "language_id"), "language_id")
+
+
+def identify(
+    df: DataFrame, key: str = "doc_id", text: str = "text", declared: str = "lang", address: str = "source", languages: list[str] = LANGUAGES
+) -> DataFrame:
+    """``key, lang_pred, posterior, text_score, kept`` of every row, as of ``with_language``."""
+    return _judged(df, text, declared, address, languages).select(F.col("row").getField(key).alias(key), "language_id.*")
 
 
 def identify_pages(pages: DataFrame, languages: list[str] = LANGUAGES) -> DataFrame:
@@ -253,6 +259,8 @@ def identify_pages(pages: DataFrame, languages: list[str] = LANGUAGES) -> DataFr
     return identify(rows, "page_id", declared="declared", address="url", languages=languages)
 
 
-def keep_identified(df: DataFrame, **columns) -> DataFrame:
+def keep_identified(
+    df: DataFrame, text: str = "text", declared: str = "lang", address: str = "source", languages: list[str] = LANGUAGES
+) -> DataFrame:
     """The rows of ``df`` whose language is one of the known ones, all columns as they are."""
-    return with_language(df, **columns).where("language_id.kept").drop("language_id")
+    return _judged(df, text, declared, address, languages).where("language_id.kept").select("row.*")

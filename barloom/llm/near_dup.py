@@ -415,24 +415,33 @@ def _common(sets: list[np.ndarray], x: tuple[int, int], y: tuple[int, int]) -> n
 def keep_one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stay when one document of each near-duplicate group is kept: the one
     with the smallest ``doc_id``, once. Texts that share a ``doc_id`` are documents of their own; rows
-    equal in ``doc_id`` and text are one. All columns as they are; rows without ``doc_id`` stay."""
+    equal in ``doc_id`` and text are one, of which the one with the least hash of its other columns
+    stays. All columns as they are, whatever their names; rows without ``doc_id`` stay."""
     text = F.col("text").cast("string")
-    digest = F.xxhash64(text.isNull(), F.coalesce(text, F.lit("")))
-    keyed = docs.where("doc_id is not null").withColumn("_digest", digest)
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    # a row travels as one struct, so that its columns meet no name used here
+    keyed = docs.where("doc_id is not null").select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
+        F.col("doc_id").cast("long").alias("doc_id"),
+        text.alias("text"),
+        F.xxhash64(text.isNull(), F.coalesce(text, F.lit(""))).alias("digest"),
+        (F.xxhash64(F.to_json(F.struct(*others))) if others else F.lit(0)).cast("long").alias("turn"),
+    )
     # staged, so that Spark measures how few there are
-    several = keyed.groupBy(F.col("doc_id").alias("_id")).agg(F.min("_digest").alias("_least"), F.max("_digest").alias("_most"))
-    several = stage_columns(several.where("_least <> _most").drop("_most"), "several-texts")
+    several = keyed.groupBy("doc_id").agg(F.min("digest").alias("least"), F.max("digest").alias("most"))
+    several = stage_columns(several.where("least <> most").drop("most"), "several-texts")
     if several.isEmpty():
         known = near_duplicates(docs, size, percent).where("kept and doc_id is not null").select("doc_id").distinct()
-        rows = keyed.join(known, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        rows = keyed.join(known, "doc_id", "left_semi").groupBy("doc_id")
     else:
         # further texts of an id take part under a number of their own
-        further = F.col("_least").isNotNull() & (F.col("_least") != F.col("_digest"))
-        node = F.when(further, F.xxhash64("doc_id", "_digest", F.lit("further text"))).otherwise(F.col("doc_id").cast("long"))
-        keyed = keyed.join(several, F.col("doc_id") == F.col("_id"), "left").withColumn("_node", node)
-        groups = near_duplicates(keyed.select(F.col("_node").alias("doc_id"), "text"), size, percent)
-        groups = groups.select(F.col("doc_id").alias("_node"), "component_id").distinct()
-        ids = keyed.select("_node", "doc_id", "_digest").distinct().join(groups, "_node")
-        first = ids.groupBy("component_id").agg(F.min(F.struct("doc_id", "_digest", "_node")).alias("first"))
-        rows = keyed.join(first.select("first._node"), "_node", "left_semi").dropDuplicates(["_node"])
-    return rows.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+        further = F.col("least").isNotNull() & (F.col("least") != F.col("digest"))
+        node = F.when(further, F.xxhash64("doc_id", "digest", F.lit("further text"))).otherwise(F.col("doc_id"))
+        keyed = keyed.join(several, "doc_id", "left").withColumn("node", node)
+        groups = near_duplicates(keyed.select(F.col("node").alias("doc_id"), "text"), size, percent)
+        groups = groups.select(F.col("doc_id").alias("node"), "component_id").distinct()
+        ids = keyed.select("node", "doc_id", "digest").distinct().join(groups, "node")
+        first = ids.groupBy("component_id").agg(F.min(F.struct("doc_id", "digest", "node")).alias("first"))
+        rows = keyed.join(first.select("first.node"), "node", "left_semi").groupBy("node")
+    rows = rows.agg(F.min_by("row", "turn").alias("row")).select("row.*")
+    return rows.unionByName(docs.where("doc_id is null"))
