@@ -91,14 +91,18 @@ class PieceEncoder:
         return not (self.spaced and (raw[-1:] in (b" ", b"\n") or any(s in raw for s in _AMBIGUOUS_SPACE)))
 
     def _learn(self, words: set[str], heads: set[str]) -> set[str]:
+        # of plain Latin characters exactly the letters are alphabetic: such a word is one piece
+        letters = [w for w in words if w.isalpha()]
+        own = list(map(" ".__add__, letters)) if self.spaced else letters
         find = (lambda w: _BYTE_PIECES.findall(" " + w)) if self.spaced else _WORD_PIECES.findall
-        parts = {w: find(w) for w in words}
-        needed = {p for found in parts.values() for p in found}
+        parts = {w: find(w) for w in words.difference(letters)}
+        needed = set(own).union(*parts.values())
         if self.spaced:
             needed.update(p for h in heads for p in _BYTE_PIECES.findall(h))
         new = needed.difference(self.pieces)
         self._ask(list(new))
         pieces = self.pieces
+        self.words.update(zip(letters, map(pieces.__getitem__, own), strict=True))
         self.words.update((w, pieces[found[0]] if len(found) == 1 else b"".join([pieces[p] for p in found])) for w, found in parts.items())
         return new
 
