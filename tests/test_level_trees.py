@@ -51,7 +51,7 @@ FOLDS = splits.PurgedFolds(2, 5)
 
 @pytest.mark.parametrize("depth,l1,least", [(1, 0.0, 1), (3, 0.0, 4), (2, 0.05, 1)])
 def test_boosted_levels_equal_the_learner_of_one_task(data, depth, l1, least):
-    params = {"n_estimators": 3, "max_depth": depth, "learning_rate": 0.5, "min_child_weight": least, "reg_alpha": l1, "reg_lambda": 0.3}
+    params = {"n_estimators": 2, "max_depth": depth, "learning_rate": 0.5, "min_child_weight": least, "reg_alpha": l1, "reg_lambda": 0.3}
     got = level_trees.boosted_predictions(data, FOLDS, NAMES, **params)
     x = lambda p: p[NAMES].to_numpy(float)
     check(got, by_hand(data, lambda a, b, _: histogram_trees.boosted(x(a), a["target_5d"].to_numpy(), x(b), 1, **params)))
@@ -79,8 +79,9 @@ def test_forest_equals_trees_grown_on_the_same_draws(spark, data):
     check(level_trees.forest_predictions(data, FOLDS, NAMES, trees, depth, 2), by_hand(data, fit))
 
 
-def test_subsets_of_rows_and_columns_still_learn(data):
-    params = {"n_estimators": 11, "max_depth": 2, "learning_rate": 0.4, "subsample": 0.7, "colsample_bytree": 0.7}
+def test_subsets_of_rows_and_columns_still_learn(data, monkeypatch):
+    monkeypatch.setattr(level_trees, "ROUNDS_PER_TABLE", 2)
+    params = {"n_estimators": 5, "max_depth": 2, "learning_rate": 0.7, "subsample": 0.7, "colsample_bytree": 0.7}
     rows = ordered(level_trees.boosted_predictions(data.where("ticker = 'A'"), splits.Holdout(), NAMES, **params))
     error, spread = rows["actual"] - rows["prediction"], rows["actual"] - rows["actual"].mean()
     assert (error**2).mean() < 0.5 * (spread**2).mean()
