@@ -8,7 +8,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
-from barloom.functions import histogram_trees
+from barloom.functions import histogram_trees, shared_boosting
 from barloom.functions.shared_boosting import boosted_together
 from barloom.operators.sequences import sequence_windows, too_short
 from barloom.operators.series import with_positions
@@ -364,3 +364,33 @@ def test_the_best_candidate_is_refitted_and_logged(spark):
     assert {r.ticker: r["count"] for r in tuned.predictions.groupBy("ticker").count().collect()} == {"A": 30, "B": 32}
     runs = outputs.read_runs(spark, f"{folder}/runs").collect()
     assert {r.params["ticker"] for r in runs} == {"A", "B"} and all("cv_mse" in r.metrics and "max_depth" in r.params for r in runs)
+
+
+def test_fits_of_many_training_sets_grown_together_equal_single_fits(monkeypatch):
+    rng, calls = np.random.default_rng(8), []
+    sets = [(rng.normal(size=(n, 3)), level + rng.normal(size=n) * level / 30, rng.normal(size=(9, 3)))
+            for n, level in ((60, 1e-3), (61, 1e6), (60, 1.0), (2, 1.0), (45, 1e-9))]
+    sets.append((sets[0][0], np.full(60, 0.5), sets[0][2]))
+    grow = shared_boosting._grow
+    monkeypatch.setattr(shared_boosting, "_grow", lambda *a: calls.append(1) or grow(*a))
+    params = trees.random_candidates(1)[0]
+    boosted = shared_boosting.LEARNERS["boosted"](sets, params, 42)
+    assert len(calls) == params["n_estimators"]  # one round grows a tree of every set
+    calls.clear()
+    forests = shared_boosting.LEARNERS["forest"](sets[:1], trees.VALIDATION_FOREST, 42)
+    assert len(calls) == 1
+    forests += shared_boosting.LEARNERS["forest"](sets[1:], trees.TOURNAMENT_FOREST, 42)
+    for i, (x, y, tested) in enumerate(sets):
+        shape = trees.TOURNAMENT_FOREST if i else trees.VALIDATION_FOREST
+        np.testing.assert_allclose(boosted[i], histogram_trees.boosted(x, y, tested, 42, **params), rtol=1e-12)
+        np.testing.assert_allclose(forests[i], histogram_trees.forest(x, y, tested, 42, **shape), rtol=1e-12)
+
+
+def test_a_set_that_is_not_finite_leaves_its_neighbours_alone():
+    rng = np.random.default_rng(9)
+    x, tested = rng.normal(size=(40, 2)), rng.normal(size=(5, 2))
+    y = rng.normal(size=40)
+    spoilt = np.where(np.arange(40) == 7, np.inf, y)
+    with np.errstate(all="ignore"):
+        found = shared_boosting.LEARNERS["boosted"]([(x, spoilt, tested), (x, y, tested)], trees.TUNED_BOOSTING, 42)
+    np.testing.assert_allclose(found[1], histogram_trees.boosted(x, y, tested, 42, **trees.TUNED_BOOSTING), rtol=1e-12)
