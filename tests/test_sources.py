@@ -204,3 +204,10 @@ def test_cluster_session_needs_a_shared_folder(spark):
     )
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.staging_root(remote)
+
+
+def test_latest_rows_are_found_without_sorting_all_rows(spark):
+    rows = [("A", DAY_1, 0.1, 0.2, 50.0, 1.0, 0.01, 1), ("A", DAY_2, None, 0.3, 51.0, 2.0, 0.02, 0), ("B", DAY_1, 0.4, 0.5, 52.0, 3.0, 0.03, 1)]
+    latest = outputs.latest_features(spark.createDataFrame(rows, FEATURE_STORE))
+    assert sorted(map(tuple, latest.collect())) == [rows[1], rows[2]]
+    assert "SortAggregate" not in latest._jdf.queryExecution().executedPlan().toString()
