@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.operators import series
+from barloom.session import stage
 from tests.frames import bars_frame, ordered, walk
 
 
@@ -99,3 +100,40 @@ def test_exponential_means_shuffle_the_rows_once(spark, mixed):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     by_block = [line for line in plan.splitlines() if "_blk" in line and "Exchange" in line]
     assert any("ReusedExchange" in line for line in by_block)
+
+
+def _row_shuffles(spark, df, key):
+    """Exchanges by ``(ticker, key)`` of a plan without broadcast joins, reused ones not counted."""
+    kept = {name: spark.conf.get(name) for name in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        plan = df()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name, value in kept.items():
+            spark.conf.set(name, value)
+    lines = [line for line in plan.splitlines() if "ReusedExchange" not in line]
+    return sum("Exchange hashpartitioning(ticker#" in line and f", {key}#" in line.split("hashpartitioning")[1] for line in lines)
+
+
+def test_indicators_shuffle_no_finished_columns_by_block(spark, mixed):
+    from barloom.operators.indicators import indicators
+
+    assert _row_shuffles(spark, lambda: indicators(bars_frame(spark, *mixed)), "_blk") == 1
+
+
+def test_datasets_are_numbered_in_the_blocks_of_their_target(spark):
+    from barloom.plans.dataset import modeling_dataset, positioned_dataset
+    from barloom.schemas import FEATURE_STORE
+
+    parts = [walk("LONG", 1300, 1), walk("SHORT", 30, 2), walk("GONE", 4, 3)]
+    parts[0].loc[[0, 511, 512, 900], "close"] = 0.0  # no return from a close of zero: rows go inside blocks
+    bars = stage(bars_frame(spark, *parts), "t-bars")
+    names = FEATURE_STORE.fieldNames()[2:]
+    rows = stage(bars.select("ticker", "date", *[F.lit(1.0).alias(c) for c in names]), "t-rows")
+    got = ordered(positioned_dataset(rows, bars))
+    want = ordered(series.with_positions(modeling_dataset(rows, bars)))
+    pd.testing.assert_frame_equal(got, want)
+    assert len(got) == 1300 - 5 - 4 + 25
+    assert _row_shuffles(spark, lambda: positioned_dataset(rows, bars), "_seg") == 3  # rows, their counts, the offsets
+    assert _row_shuffles(spark, lambda: positioned_dataset(rows, bars), "_blk") == 1
