@@ -111,11 +111,11 @@ def indicators(bars: DataFrame) -> DataFrame:
 
 def forward_target(rows: DataFrame, horizon: int = HORIZON) -> DataFrame:
     """Add the return over the next ``horizon`` rows; null for the last ones of a ticker."""
-    return blocked_target(rows, horizon).drop("rn", "_blk")
+    return blocked_target(with_positions(rows), horizon).drop("rn", "_blk")
 
 
 def blocked_target(rows: DataFrame, horizon: int = HORIZON) -> DataFrame:
-    """``forward_target`` with each row's position ``rn`` and block ``_blk``."""
+    """``forward_target`` of positioned rows, with each row's position ``rn`` and block ``_blk``."""
     ahead = F.lead("close", horizon).over(block_window())
-    blocked = with_context(with_positions(rows), after=horizon)
+    blocked = with_context(rows, after=horizon)
     return blocked.withColumn(TARGET, F.try_divide(ahead, F.col("close")) - 1).where("_core").drop("n", "_core")

@@ -65,8 +65,14 @@ def with_positions(
 
     ``(keys, date)`` must be unique and not null; a null fails the job.
     """
+    return positions_in_segments(segmented(df, *keys, date=date), keys, date)
+
+
+def positions_in_segments(
+    rows: DataFrame, keys: Sequence[str] = ("ticker",), date: str = "date"
+) -> DataFrame:
+    """:func:`with_positions` of rows that :func:`segmented` or a join in segments has placed."""
     keys = list(keys)
-    rows = segmented(df, *keys, date=date)
     counts = rows.groupBy(*keys, "_seg").agg(F.count("*").alias("_count"))
     offsets = counts.select(
         *keys,
@@ -79,7 +85,7 @@ def with_positions(
     return (
         rows.join(offsets, [*keys, "_seg"], "left")
         .withColumn("rn", F.col("_offset") + F.row_number().over(inside) - 1)
-        .select(*df.columns, "rn", "n")
+        .select(*[c for c in rows.columns if c != "_seg"], "rn", "n")
     )
 
 

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 
 from barloom.operators.columns import drop_any_null, drop_incomplete
 from barloom.operators.indicators import blocked_target
-from barloom.operators.joins import join_features_prices
-from barloom.operators.series import positions_in_blocks
+from barloom.operators.joins import join_in_segments
+from barloom.operators.series import positions_in_blocks, positions_in_segments
 from barloom.schemas import FEATURE_PRESETS, KEYS, TARGET
 
 
@@ -33,8 +33,8 @@ def modeling_dataset(
 def _complete_rows(feature_rows: DataFrame, bars: DataFrame, features, drop: str = "subset") -> DataFrame:
     """The dataset's rows with their place ``rn`` among the joined rows and its block ``_blk``."""
     names = preset(features)
-    joined = join_features_prices(feature_rows.select(*KEYS, *names), bars)
-    rows = blocked_target(joined.select(*KEYS, "close", *names))
+    joined = join_in_segments(feature_rows.select(*KEYS, *names), bars)
+    rows = blocked_target(positions_in_segments(joined.select(*KEYS, "close", *names, "_seg")))
     if drop == "any":
         return drop_any_null(rows)
     if drop != "subset":

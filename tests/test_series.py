@@ -137,3 +137,21 @@ def test_datasets_are_numbered_in_the_blocks_of_their_target(spark):
     assert len(got) == 1300 - 5 - 4 + 25
     assert _row_shuffles(spark, lambda: positioned_dataset(rows, bars), "_seg") == 3  # rows, their counts, the offsets
     assert _row_shuffles(spark, lambda: positioned_dataset(rows, bars), "_blk") == 1
+
+
+def test_datasets_join_by_segment_without_a_shuffle_by_day(spark):
+    from barloom.operators.joins import join_features_prices, join_in_segments
+    from barloom.plans.dataset import positioned_dataset
+    from barloom.schemas import FEATURE_STORE
+
+    bars = bars_frame(spark, walk("LONG", 1300, 1), walk("SHORT", 30, 2))
+    bars = bars.withColumn("close", F.when(F.dayofmonth("date") != 7, F.col("close")))  # a null price is a price row
+    bars = bars.unionByName(bars.limit(1).withColumn("date", F.lit(None).cast("date")))
+    names = FEATURE_STORE.fieldNames()[2:]
+    rows = bars.where("day(date) % 3 > 0 or date is null").select("ticker", "date", *[F.lit(1.0).alias(c) for c in names])
+    rows = stage(rows.unionByName(rows.limit(1).withColumn("ticker", F.lit("NO BARS"))), "t-rows")
+    bars = stage(bars, "t-bars")
+    got = ordered(join_in_segments(rows, bars).drop("_seg"))
+    pd.testing.assert_frame_equal(got, ordered(join_features_prices(rows, bars)), check_like=True)
+    assert len(got) > 800 and got["close"].isna().any()
+    assert _row_shuffles(spark, lambda: positioned_dataset(rows, bars), "date") == 0
