@@ -1,9 +1,10 @@
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from barloom.functions import unit_root
-from barloom.operators.stationarity import adf_test
+from barloom.operators.stationarity import _groups, adf_test
 from tests.frames import bars_frame, walk
 
 
@@ -61,3 +62,18 @@ def test_p_value_limits():
     assert unit_root.p_value(5.0) == 1.0 and unit_root.p_value(-30.0) == 0.0
     values = [unit_root.p_value(t) for t in np.linspace(-18, 2.7, 200)]
     assert pd.Series(values).is_monotonic_increasing
+
+
+def test_tasks_stream_many_series_without_a_call_for_each(spark, series):
+    result = adf_test(bars_frame(spark, *series.values()), "close")
+    assert "FlatMapGroups" not in result._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7])
+def test_groups_are_whole_wherever_batches_end(size):
+    keys, blocks = list("aaabbcaa"), [0, 0, 1, 1, 1, 1, 2, 2]
+    batch = pa.RecordBatch.from_pydict({"k": keys, "b": blocks, "x": list(range(8))})
+    cut = [batch.slice(i, size) for i in range(0, 8, size)] + [batch.slice(8)]
+    got = [c["x"][a:b].tolist() for c, a, b in _groups(iter(cut), ("k", "b"))]
+    assert got == [[0, 1], [2], [3, 4], [5], [6, 7]]
+    assert list(_groups(iter([batch.slice(8)]), ("k",))) == []
