@@ -26,7 +26,7 @@ def clean_and_load(spark: SparkSession, landing_path: str, table_path: str) -> D
     validate_bars(kept, raise_on_failure=True)
     cleaned = stage(fill_bars(kept), "clean-bars")
     check_guards(cleaned)
-    upsert_table(cleaned, table_path, MARKET_DATA)
+    upsert_table(cleaned, table_path, MARKET_DATA, staged=True)
     return cleaned
 
 

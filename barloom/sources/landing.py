@@ -17,9 +17,12 @@ from pyspark.sql import types as T
 
 from barloom.schemas import BAR_COLUMNS, MACRO
 from barloom.session import stage
+from barloom.sources import files
 
 #: Folder of the manifest inside a landing zone; readers of the zone skip names with this prefix.
 MANIFEST = "_landings"
+#: Landings that a scan may name one by one.
+LANDINGS_LISTED = 1000
 
 
 def read_if_exists(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
@@ -38,29 +41,30 @@ def utc_today() -> dt.date:
 def land(
     batch: DataFrame, path: str, key: str = "ticker", ingest_date: dt.date | None = None
 ) -> DataFrame:
-    """Append a batch to the landing zone; returns ``key, row_count`` of what was landed."""
+    """Append a batch to the landing zone; returns ``key, row_count`` of what was landed.
+
+    The first batch of a day is written once, as it is computed; a later one is staged and merged with it.
+    """
     spark = batch.sparkSession
     day = ingest_date or utc_today()
-    landed = stage(
-        batch.withColumns(
-            {
-                "landed_at": F.current_timestamp(),
-                "delivery": F.monotonically_increasing_id(),
-                "ingest_date": F.lit(day).cast("date"),
-            }
-        ),
-        "landing",
+    now = spark.range(1).select(F.unix_micros(F.current_timestamp())).first()[0]
+    landed = batch.withColumns(
+        {
+            "landed_at": F.timestamp_micros(F.lit(now)),
+            "delivery": F.monotonically_increasing_id(),
+            "ingest_date": F.lit(day).cast("date"),
+        }
     )
-    counts = landed.groupBy(key).agg(F.count("*").alias("row_count"))
-    if landed.isEmpty():
-        return counts
-    rows = landed
     present = read_if_exists(spark, path, landed.schema)
+    rows = landed
     if present is not None:
-        kept = present.where(F.col("ingest_date") == F.lit(day)).join(
-            landed.select(key).distinct(), key, "left_anti"
-        )
-        rows = stage(landed.unionByName(kept.select(*landed.columns)), "landing-merged")
+        today = present.where(F.col("ingest_date") == F.lit(day))
+        if not today.isEmpty():
+            landed = stage(landed, "landing")
+            if landed.isEmpty():
+                return landed.groupBy(key).agg(F.count("*").alias("row_count"))
+            kept = today.join(landed.select(key).distinct(), key, "left_anti")
+            rows = stage(landed.unionByName(kept.select(*landed.columns)), "landing-merged")
     # Clustered by key; the hash lets a key with very many rows span several partitions.
     (
         rows.repartitionByRange(key, F.xxhash64(*batch.columns))
@@ -70,10 +74,17 @@ def land(
         .partitionBy("ingest_date")
         .parquet(path)
     )
-    landed.groupBy(key, "ingest_date", "landed_at").agg(F.count("*").alias("row_count")).write.mode(
-        "append"
-    ).parquet(f"{path}/{MANIFEST}")
-    return counts
+    written = spark.read.schema(landed.schema).parquet(path).where(
+        (F.col("ingest_date") == F.lit(day)) & (F.unix_micros("landed_at") == now)
+    )
+    counts = stage(
+        written.groupBy(key, "ingest_date", "landed_at").agg(F.count("*").alias("row_count")), "landing-counts"
+    )
+    if not counts.isEmpty():
+        counts.write.mode("append").parquet(f"{path}/{MANIFEST}")
+    elif present is None:
+        files.remove(spark, path)
+    return counts.select(key, "row_count")
 
 
 def read_newest(spark: SparkSession, path: str, key: str = "ticker") -> DataFrame:
@@ -88,6 +99,12 @@ def read_newest(spark: SparkSession, path: str, key: str = "ticker") -> DataFram
     ).select(key, "_at.ingest_date", "_at.landed_at")
     days = [r.ingest_date for r in newest.select("ingest_date").distinct().collect()]
     rows = spark.read.parquet(path).where(F.col("ingest_date").isin(days))
+    known = manifest.where(F.col("ingest_date").isin(days) & F.col(key).isNotNull())
+    times = newest.select(F.unix_micros("landed_at").alias("at")).distinct().limit(LANDINGS_LISTED + 1).collect()
+    replaced = known.join(newest, [key, "ingest_date", "landed_at"], "left_anti")
+    if len(times) <= LANDINGS_LISTED and replaced.isEmpty():
+        # all landings of these days are the newest of their keys: no row needs to look its key up
+        return rows.where(F.unix_micros("landed_at").isin([r["at"] for r in times]) & F.col(key).isNotNull())
     return rows.join(newest, [key, "ingest_date", "landed_at"], "left_semi")
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.schemas import FEATURE_STORE, MARKET_DATA, RESULTS
-from barloom.session import fresh_path
+from barloom.session import fresh_path, stage
 from barloom.sources import landing, outputs, tables
 from tests.frames import bars_frame, ordered, walk
 
@@ -211,3 +211,42 @@ def test_latest_rows_are_found_without_sorting_all_rows(spark):
     latest = outputs.latest_features(spark.createDataFrame(rows, FEATURE_STORE))
     assert sorted(map(tuple, latest.collect())) == [rows[1], rows[2]]
     assert "SortAggregate" not in latest._jdf.queryExecution().executedPlan().toString()
+
+
+def test_first_landing_of_a_day_is_written_once(spark, monkeypatch):
+    staged = []
+    monkeypatch.setattr(landing, "stage", lambda df, name: (staged.append(name), stage(df, name))[1])
+    path = fresh_path(spark, "t-land")
+    assert landing.land(bars_frame(spark, walk("A", 5)).where("close < 0"), path, ingest_date=DAY_1).count() == 0
+    assert landing.read_if_exists(spark, path, MARKET_DATA) is None
+    for day in (DAY_1, DAY_2):
+        counts = landing.land(bars_frame(spark, walk("A", 5), walk("B", 4)), path, ingest_date=day)
+        assert {r.ticker: r.row_count for r in counts.collect()} == {"A": 5, "B": 4}
+    assert set(staged) == {"landing-counts"}
+    landing.land(bars_frame(spark, walk("B", 3)), path, ingest_date=DAY_2)
+    assert "landing-merged" in staged
+
+
+def test_newest_rows_meet_their_keys_only_where_a_landing_was_replaced(spark):
+    path = fresh_path(spark, "t-land")
+    first = bars_frame(spark, walk("A", 5), walk("B", 4))
+    nameless = first.where("ticker = 'A'").withColumn("ticker", F.lit(None).cast("string"))
+    landing.land(first.unionByName(nameless), path, ingest_date=DAY_1)
+    rows = lambda: {r.ticker: r["count"] for r in landing.read_newest(spark, path).groupBy("ticker").count().collect()}
+    plan = landing.read_newest(spark, path)._jdf.queryExecution().optimizedPlan().toString()
+    assert rows() == {"A": 5, "B": 4} and "Join" not in plan
+    landing.land(bars_frame(spark, walk("B", 7)), path, ingest_date=DAY_2)
+    assert rows() == {"A": 5, "B": 7}
+    # rows whose landing never reached the manifest do not count
+    late = spark.read.parquet(path).where("ticker = 'B' and ingest_date = '2024-01-02'")
+    late.withColumns({"ticker": F.lit("C"), "landed_at": F.current_timestamp()}).drop("ingest_date").write.parquet(f"{path}/ingest_date=2024-01-03")
+    late.withColumns({"ticker": F.lit("C"), "landed_at": F.current_timestamp()}).drop("ingest_date").write.mode("append").parquet(f"{path}/ingest_date=2024-01-02")
+    assert rows() == {"A": 5, "B": 7}
+
+
+def test_a_staged_delivery_is_neither_grouped_nor_written_again(spark, monkeypatch):
+    path, staged = fresh_path(spark, "t-table"), []
+    rows = stage(bars_frame(spark, walk("A", 40), walk("B", 30)), "t-rows")
+    monkeypatch.setattr(tables, "stage", lambda df, name: (staged.append(name), stage(df, name))[1])
+    tables.upsert_table(rows, path, MARKET_DATA, staged=True)
+    assert not staged and _close(tables.scan_table(spark, path, MARKET_DATA)) == _close(rows)
