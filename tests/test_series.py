@@ -155,3 +155,22 @@ def test_datasets_join_by_segment_without_a_shuffle_by_day(spark):
     pd.testing.assert_frame_equal(got, ordered(join_features_prices(rows, bars)), check_like=True)
     assert len(got) > 800 and got["close"].isna().any()
     assert _row_shuffles(spark, lambda: positioned_dataset(rows, bars), "date") == 0
+
+
+def test_features_find_their_regime_inside_their_block(spark):
+    from barloom.operators.regime import regimes
+    from barloom.plans.features import features
+
+    def moody(ticker, n, seed):
+        part = walk(ticker, n, seed)
+        calm = np.sin(np.arange(n) / 40) > 0
+        steps = np.random.default_rng(seed).normal(np.where(calm, 0.004, -0.004), np.where(calm, 0.004, 0.03))
+        return part.assign(close=100 * np.exp(np.cumsum(steps)))
+
+    bars = stage(bars_frame(spark, moody("LONG", 1100, 1), moody("EDGE", 513, 2), walk("SHORT", 90, 3)), "t-bars")
+    got = stage(features(bars), "t-features")
+    want = got.drop("regime").join(regimes(bars), ["ticker", "date"]).select(*got.columns)
+    pd.testing.assert_frame_equal(ordered(got), ordered(want))
+    assert got.where("ticker = 'LONG'").select("regime").distinct().count() == 2
+    assert _row_shuffles(spark, lambda: features(bars), "refit") == 0
+    assert _row_shuffles(spark, lambda: features(bars), "_blk") == 3  # rows, rows of returns, labels
