@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from barloom.llm import chunk_codec, packing, token_count, token_file
+from barloom.llm import chunk_codec, encoding, packing, token_count, token_file
 from barloom.llm.encoding import PieceEncoder
 from barloom.llm.queries import BYTE_TOKENIZER, WORD_TOKENIZER, tokenizer_path
 from tests.llm.cases import ODD_TEXTS, documents, empty_documents, plain
@@ -57,6 +57,48 @@ def _encoder(path):
     return _ENCODERS.setdefault(path, PieceEncoder(path))
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(PIECES, max_size=12).map("".join), max_size=6))
+def test_texts_side_by_side_equal_the_library(texts):
+    encoder = _encoder(BYTES)
+    want = [packed(encoder.library.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert encoder.encode(texts) == want
+    forgetful = encoding.BytePieces(encoder.library, max_pieces=3)
+    plain_texts = [(raw, ids) for t, ids in zip(texts, want, strict=True) if (raw := encoder._plain(t)) is not None]
+    for _ in range(2):
+        assert forgetful.encode([raw for raw, _ in plain_texts]) == [ids for _, ids in plain_texts]
+    assert len(forgetful.slots) <= 3 and len(forgetful.stops) == len(forgetful.slots) + 1
+    assert len(forgetful.ids) == forgetful.stops[-1]
+
+
+class Asked:
+    """The library, noting the texts that go through all its steps."""
+
+    def __init__(self, library):
+        self.library, self.texts = library, []
+
+    @classmethod
+    def from_file(cls, path):
+        return cls(Tokenizer.from_file(path))
+
+    def __getattr__(self, name):
+        return getattr(self.library, name)
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts += texts
+        return self.library.encode_batch_fast(texts, **options)
+
+
+def test_runs_of_letters_go_to_the_model_alone(monkeypatch):
+    monkeypatch.setattr("tokenizers.Tokenizer", Asked)
+    encoder = PieceEncoder(BYTES)
+    text = "The thonre inwh ästÀÃig.\nThat thonre. 12 don't"
+    for new in ([" 12", "'t", ".", "\n"], []):
+        assert encoder.encode([text, text]) == [packed(library_ids(BYTES, text))] * 2
+        assert sorted(encoder.library.texts) == sorted(new)
+        encoder.library.texts.clear()
+
+
 def test_token_counts(spark):
     docs = documents(spark)
     got = Counter(tuple(r) for r in token_count.token_counts(docs, BYTES).collect())
