@@ -149,3 +149,22 @@ def test_feature_rows_carry_the_regime(spark):
     assert len(merged) == len(got) == 601 - 25
     assert (merged["regime"] == merged["regime_alone"]).all()
     assert not got.isna().any().any()
+
+
+def test_many_histories_side_by_side_equal_single_fits(monkeypatch):
+    rng = np.random.default_rng(5)
+    histories = [two_state(int(n), seed)[1] for seed, n in enumerate(rng.integers(60, 260, 90))]
+    histories += [np.zeros(100), rng.normal(0, 0.01, 120)]
+    plain = []
+    for history in histories:
+        with np.errstate(all="ignore"):
+            theta, odds, fitted = switching._fit(history[:, None], np.array([len(history)]))
+        plain.append(int((odds[0] > 1) == (theta[1, 0] > theta[0, 0])) if fitted[0] else None)
+    widths, step = [], switching._Lanes.step
+    monkeypatch.setattr(switching._Lanes, "step", lambda self, theta: widths.append(self.y.shape) or step(self, theta))
+    for lanes, few in ((16, 1), (64, 1000), (512, 20)):
+        monkeypatch.setattr(switching, "LANES", lanes)
+        monkeypatch.setattr(switching, "FEW_LANES", few)
+        assert switching.latest_regimes(histories) == plain
+    # lanes take the next history, and no history waits in lanes of much longer ones
+    assert max(lanes for _, lanes in widths) < len(histories) and len({rows for rows, _ in widths}) > 1
